@@ -30,6 +30,11 @@ def digest_int(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
+def strip(text: Column | str) -> Column:
+    """Text without white space at both ends (tabs and line ends too, not only blanks)."""
+    return F.btrim(text, F.lit(" \t\r\n\x0b\x0c"))
+
+
 def tokens(text: Column) -> Column:
     """Parts between runs of white space, without empty ones."""
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")

@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wafermill.functions.columns import plain_float, plain_int
+from wafermill.functions.columns import plain_float, plain_int, strip
 from wafermill.plans.attach import attach
 from wafermill.plans.quantiles import exact_percentiles
 from wafermill.plans.ranks import range_rank
@@ -18,7 +18,7 @@ def parse_typed_value(df: DataFrame, raw: str, *keep: str) -> DataFrame:
 
     Tried in that order; quoted text loses its quotes, any other text stays as it is.
     """
-    s = F.trim(F.col(raw))
+    s = strip(F.col(raw))
     as_int, as_float = plain_int(s), plain_float(s)
     as_bool = F.when(s.isin("True", "False"), s == "True")
     quoted = s.rlike("^'[^'\\\\]*'$") | s.rlike('^"[^"\\\\]*"$')

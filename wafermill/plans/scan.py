@@ -13,18 +13,16 @@ def carry_forward(
     by: list[str],
     order: str,
     marks: dict[str, Column],
-    chunk: Column | None = None,
+    chunk: int = LINES_PER_CHUNK,
 ) -> DataFrame:
     """For each name in ``marks`` add the last non-null mark at or before the row.
 
-    ``chunk`` must grow with ``order``. Rows are windowed inside (by, chunk); one row per
+    ``chunk`` is the span of ``order`` that goes into one task. Rows are windowed inside (by, chunk); one row per
     chunk carries the last mark of the chunks before it. A report with billions of lines
     therefore runs as many even tasks, and the chunk rows are the only ones windowed by
     ``by`` alone.
     """
-    if chunk is None:
-        chunk = F.floor(F.col(order) / F.lit(LINES_PER_CHUNK))
-    cut = df.withColumn("_chunk", chunk)
+    cut = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
     for name, mark in marks.items():
         cut = cut.withColumn(f"_m_{name}", mark)
     inside = Window.partitionBy(*by, "_chunk").orderBy(order)

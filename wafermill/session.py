@@ -20,6 +20,7 @@ def local_session(cores: str = "8", app: str = "wafermill") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="wafermill-"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="wafermill-wh-"))
         .getOrCreate()
     )
