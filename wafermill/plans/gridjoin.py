@@ -40,17 +40,18 @@ def near_pairs(
     by: list[str],
     grow: Column | int = 0,
     cell: int = 128,
-    max_grow: Column | int | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """All (a, b) in the same ``by`` whose boxes touch once ``a`` is grown by ``grow``.
 
     Inputs carry ``by``, ``id``, ``xl``, ``yl``, ``xh``, ``yh``; ``grow`` may be a column
     of ``a``. Output has ``by``, ``a_id``, ``a_xl``.. and ``b_id``, ``b_xl``... A pair is
     kept only in the cell that holds the lower-left corner of the common box, so no
-    ``distinct`` is needed. ``max_grow`` is not used for results, only for the levels of b.
+    ``distinct`` is needed. Columns named in ``carry`` come along from both sides.
     """
     grow = F.lit(grow) if isinstance(grow, int) else grow
-    own = [*by, "id", *BOX]
+    kept = ["id", *BOX, *(carry or [])]
+    own = [*by, *kept]
     left = a.withColumn("_g", grow.cast("long")).withColumn("_lv", _level(cell, F.col("_g")))
     right = b.select(*own).withColumn("_g", F.lit(0).cast("long")).withColumn("_lv", _level(cell, F.lit(0)))
     left = left.select(*own, "_g", "_lv")
@@ -68,7 +69,7 @@ def near_pairs(
     def side(df: DataFrame, tag: str) -> DataFrame:
         return df.select(
             *by, "_at", "_cx", "_cy", "_size",
-            *[F.col(c).alias(f"{tag}_{c}") for c in ["id", *BOX, "_g"]],
+            *[F.col(c).alias(f"{tag}_{c}") for c in [*kept, "_g"]],
         )
 
     keys = [*by, "_at", "_cx", "_cy"]
@@ -83,7 +84,7 @@ def near_pairs(
                 & (high >= F.col(f"b_{axis}l"))
                 & (_floor_div(F.greatest(low, F.col(f"b_{axis}l")), F.col("_size")) == F.col(f"_c{axis}"))
             )
-        return pairs.select(*by, *[f"{t}_{c}" for t in ("a", "b") for c in ["id", *BOX]])
+        return pairs.select(*by, *[f"{t}_{c}" for t in ("a", "b") for c in kept])
 
     if not levels:
         levels.append(0)
