@@ -42,8 +42,8 @@ SELECT CASE WHEN user_id % 5 < 2 THEN 0 ELSE user_id % 5 - 1 END AS component, e
        CASE event_id % 4 WHEN 0 THEN 'met1' WHEN 1 THEN 'via1' WHEN 2 THEN 'met2' ELSE 'poly' END AS layer,
        CAST(floor(event_id / 4096) AS BIGINT) * 4096 + event_id * 7919 % 4001 - 2000 AS xl,
        event_id * 6101 % 4003 - 2000 AS yl,
-       CAST(floor(event_id / 4096) AS BIGINT) * 4096 + event_id * 7919 % 4001 + 20 + event_id % 61 - 2000 AS xh,
-       event_id * 6101 % 4003 + 20 + event_id % 47 - 2000 AS yh
+       CAST(floor(event_id / 4096) AS BIGINT) * 4096 + event_id * 7919 % 4001 + 20 + event_id % 61 + CASE WHEN event_id % 16 < 4 THEN 120 ELSE 0 END - 2000 AS xh,
+       event_id * 6101 % 4003 + 20 + event_id % 47 + CASE WHEN event_id % 16 < 4 THEN 110 ELSE 0 END - 2000 AS yh
 FROM {events}
 """
 
