@@ -24,14 +24,19 @@ FROM results {group}
 """
 
 
+def rounded(df, digits):
+    """Means rounded for the comparison; the operators keep them whole."""
+    return df.select(*[F.round(c, digits).alias(c) if c.startswith("avg_") else c for c in df.columns])
+
+
 @query("dataset_report", with_views("results") + REPORT.format(keys="", group=""))
 def _(spark, sf):
-    return records.dataset_report(view(spark, sf, "results"))
+    return rounded(records.dataset_report(view(spark, sf, "results")), 4)
 
 
 @query("dataset_report_by_family", with_views("results") + REPORT.format(keys="pcell,", group="GROUP BY pcell"))
 def _(spark, sf):
-    return records.dataset_report(view(spark, sf, "results"), ["pcell"])
+    return rounded(records.dataset_report(view(spark, sf, "results"), ["pcell"]), 4)
 
 
 @query(
@@ -78,7 +83,7 @@ def _(spark, sf):
     rows = view(spark, sf, "results").withColumn(
         "pex_status", F.when(F.col("area_um2") > 250, "PEX Complete").otherwise("PEX Error")
     )
-    return records.run_summary(rows, ["pcell"])
+    return rounded(records.run_summary(rows, ["pcell"]), 6)
 
 
 @query(

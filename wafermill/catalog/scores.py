@@ -129,7 +129,7 @@ PARTS = ["resistance_score", "capacitance_score", "symmetry_score", "verificatio
 SELECT *, row_number() OVER (PARTITION BY pcell ORDER BY final_score DESC NULLS LAST, sample_id) AS rank FROM fin""",
 )
 def _(spark, sf):
-    return scores.final_score_rank(_scored(spark, sf), ["pcell"], "sample_id", PARTS).select(
+    return scores.final_score_rank(_scored(spark, sf), ["pcell"], "sample_id", PARTS, 9).select(
         "sample_id", "pcell", "final_score", "rank"
     )
 
@@ -144,7 +144,8 @@ CORR = ["execution_time", "resistance_density", "capacitance_density", "symmetry
     ),
 )
 def _(spark, sf):
-    return scores.correlation_matrix(scores.density_features(view(spark, sf, "results")), CORR)
+    got = scores.correlation_matrix(scores.density_features(view(spark, sf, "results")), CORR)
+    return got.withColumn("r", F.round("r", 6))
 
 
 @query(

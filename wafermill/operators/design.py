@@ -72,14 +72,8 @@ def inventory_levels(specs: DataFrame) -> DataFrame:
 
 def grid_size(levels: DataFrame) -> DataFrame:
     """Number of grid points per family: product of level counts to the power of copies."""
-    power = F.round(F.sum(F.col("count") * F.ln(F.col("n_levels").cast("double"))), 9)
-    return levels.groupBy("family").agg(
-        F.aggregate(
-            F.collect_list(F.pow(F.col("n_levels").cast("double"), F.col("count").cast("double"))),
-            F.lit(1.0), lambda a, b: a * b,
-        ).alias("grid_size"),
-        power.alias("log_size"),
-    )
+    points = F.pow(F.col("n_levels").cast("double"), F.col("count").cast("double"))
+    return levels.groupBy("family").agg(F.product(points).alias("grid_size"))
 
 
 def allocate_budget(dims: DataFrame, by: list[str], total: str, weight: str, order: str) -> DataFrame:

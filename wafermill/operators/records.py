@@ -89,7 +89,7 @@ def dataset_report(results: DataFrame, by: list[str] | None = None) -> DataFrame
         "lvs_passes",
         (good - F.col("lvs_passes")).alias("lvs_failures"),
         _percent(F.col("lvs_passes"), good).alias("lvs_rate"),
-        F.round("avg_time", 4).alias("avg_time"),
+        "avg_time",
         "min_time",
         "max_time",
     )
@@ -135,7 +135,7 @@ def run_summary(results: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     def mean(name: str, scale: int) -> Column:
         value = F.coalesce(F.col(name), F.lit(0.0)).cast(f"decimal(24,{scale})")
-        return F.round(F.avg(F.when(ok, value)).cast("double"), 6)
+        return F.avg(F.when(ok, value)).cast("double")
 
     return (
         results.groupBy(*(by or []))

@@ -54,24 +54,28 @@ def drc_summary(lines: DataFrame, components: DataFrame | None = None) -> DataFr
 
 
 def _mismatch(line: Column) -> Column:
+    """The mismatch a line tells of, or null. A plain text test goes before the patterns."""
+
     def found(pattern: str, kind: str, here: str, there: str) -> Column:
         return F.struct(
             F.lit(kind).alias("type"), strip(F.regexp_extract(line, pattern, 1)).alias("name"),
             F.lit(here).alias("present_in"), F.lit(there).alias("missing_in"),
         )
 
-    return (
+    return F.when(
+        F.contains(line, F.lit("(no matching ")),
         F.when(line.rlike(NET_LEFT), found(NET_LEFT, "net", "layout", "schematic"))
         .when(line.rlike(INSTANCE_LEFT), found(INSTANCE_LEFT, "instance", "layout", "schematic"))
         .when(line.rlike(NET_RIGHT), found(NET_RIGHT, "net", "schematic", "layout"))
-        .when(line.rlike(INSTANCE_RIGHT), found(INSTANCE_RIGHT, "instance", "schematic", "layout"))
+        .when(line.rlike(INSTANCE_RIGHT), found(INSTANCE_RIGHT, "instance", "schematic", "layout")),
     )
 
 
 def lvs_mismatches(lines: DataFrame) -> DataFrame:
     """Nets and instances present on one side only; the first matching pattern counts."""
     return (
-        lines.select("component", "line_no", _mismatch(strip("line")).alias("m"))
+        lines.where(F.contains("line", F.lit("(no matching ")))
+        .select("component", "line_no", _mismatch(strip("line")).alias("m"))
         .where("m IS NOT NULL")
         .select("component", "line_no", "m.*")
     )

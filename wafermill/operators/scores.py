@@ -53,32 +53,37 @@ def safe_log10(value: Column) -> Column:
 def parasitic_score(results: DataFrame, by: list[str], columns: dict[str, str], weight: float = 0.99) -> DataFrame:
     """Score each column in ``columns`` (input -> output) against its group's median and IQR.
 
-    The two statistics tables have one row per group; they are attached only after their
-    size is known.
+    The quartiles of all columns come from one pass over long rows, the maxima from one
+    aggregate. Both tables have one row per group and are attached only after their size
+    is known.
     """
-    out = results
-    for name, score in columns.items():
-        stats = exact_percentiles(results, by, name, {"_q1": 0.25, "_med": 0.5, "_q3": 0.75})
-        placed = attach(out, stats, by, "left")
-        iqr = F.col("_q3") - F.col("_q1")
-        off = F.when(iqr != 0, (F.col(name) - F.col("_med")) / iqr)
-        low = F.col(name) <= F.col("_med")
-        raw = F.when(low, F.exp(weight * off)).otherwise(F.exp(-weight * off))
-        placed = placed.withColumn("_low", low).withColumn("_raw", raw)
-        tops = placed.groupBy(*by).agg(
-            F.max(F.when(F.col("_low"), F.col("_raw"))).alias("_top_low"),
-            F.max(F.when(~F.col("_low"), F.col("_raw"))).alias("_top_high"),
+    long = results.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x")) for c in columns
+    ])).alias("_m")).select(*by, "_m.*")
+    quartiles = exact_percentiles(long, [*by, "_name"], "_x", {"q1": 0.25, "med": 0.5, "q3": 0.75})
+    stats = quartiles.groupBy(*by).agg(*[
+        F.max(F.when(F.col("_name") == c, F.col(q))).alias(f"_{q}_{c}") for c in columns for q in ("q1", "med", "q3")
+    ])
+    placed = attach(results, stats, by, "left")
+    for c in columns:
+        iqr = F.col(f"_q3_{c}") - F.col(f"_q1_{c}")
+        off = F.when(iqr != 0, (F.col(c) - F.col(f"_med_{c}")) / iqr)
+        low = F.col(c) <= F.col(f"_med_{c}")
+        placed = placed.withColumn(f"_low_{c}", low).withColumn(
+            f"_raw_{c}", F.when(low, F.exp(weight * off)).otherwise(F.exp(-weight * off))
         )
-        out = (
-            attach(placed, tops, by, "left")
-            .withColumn(
-                score,
-                F.when(F.col("_low"), 0.5 + 0.5 * F.col("_raw") / F.col("_top_low"))
-                .when(~F.col("_low"), 0.5 * (-F.col("_raw") / F.col("_top_high"))),
-            )
-            .drop("_q1", "_med", "_q3", "_low", "_raw", "_top_low", "_top_high")
+    tops = placed.groupBy(*by).agg(*[
+        F.max(F.when(F.col(f"_low_{c}") == side, F.col(f"_raw_{c}"))).alias(f"_top_{side}_{c}")
+        for c in columns for side in (True, False)
+    ])
+    out = attach(placed, tops, by, "left")
+    for c, score in columns.items():
+        out = out.withColumn(
+            score,
+            F.when(F.col(f"_low_{c}"), 0.5 + 0.5 * F.col(f"_raw_{c}") / F.col(f"_top_True_{c}"))
+            .when(~F.col(f"_low_{c}"), 0.5 * (-F.col(f"_raw_{c}") / F.col(f"_top_False_{c}"))),
         )
-    return out
+    return out.select(*results.columns, *columns.values())
 
 
 def symmetry_and_verification_score(results: DataFrame, threshold: float = 50.0) -> DataFrame:
@@ -90,15 +95,18 @@ def symmetry_and_verification_score(results: DataFrame, threshold: float = 50.0)
     ).withColumn("verification_score", F.greatest(F.lit(0.0), 1.0 - (drc + lvs) / F.lit(threshold)))
 
 
-def final_score_rank(scored: DataFrame, by: list[str], key: str, parts: list[str]) -> DataFrame:
+def final_score_rank(
+    scored: DataFrame, by: list[str], key: str, parts: list[str], digits: int | None = None
+) -> DataFrame:
     """Sum of the part scores, zeroed when verification is 0, and the rank within ``by``.
 
-    Ties go to the smaller ``key``. The rank is a global range sort, so a family with a
+    Ties go to the smaller ``key``; ``digits`` rounds the score before it is ranked. The rank is a global range sort, so a family with a
     third of all designs is ranked by many tasks.
     """
     total = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
     hard_stop = F.col("verification_score") == 0
-    summed = scored.withColumn("final_score", F.round(F.when(hard_stop, 0.0).otherwise(total), 9))
+    score = F.when(hard_stop, 0.0).otherwise(total)
+    summed = scored.withColumn("final_score", score if digits is None else F.round(score, digits))
     return range_rank(summed, by, [F.col("final_score").desc_nulls_last(), F.col(key).asc()], "rank")
 
 
@@ -120,7 +128,7 @@ def correlation_matrix(df: DataFrame, columns: list[str], by: list[str] | None =
         for a, b in product(columns, columns)
     ]
     return wide.select(*by, F.explode(F.array(*cells)).alias("c")).select(
-        *by, "c.a", "c.b", F.round("c.r", 6).alias("r")
+        *by, "c.a", "c.b", "c.r"
     )
 
 

@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from wafermill.session import cut_lineage
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 2**20
 
 
 def sized_small(small: DataFrame) -> tuple[DataFrame, bool]:
-    """Write ``small`` out once and say whether it is safe to broadcast."""
+    """Write ``small`` out once and say whether it is safe to broadcast.
+
+    Both the number of rows and their text size are checked, on at most one row more than
+    the limit.
+    """
     kept = cut_lineage(small)
-    return kept, kept.count() <= BROADCAST_ROWS
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    seen = kept.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(size, F.lit(0)).alias("b")).first()
+    return kept, seen["n"] <= BROADCAST_ROWS and seen["b"] <= BROADCAST_BYTES
 
 
 def attach(df: DataFrame, small: DataFrame, on: list[str] | Column, how: str = "inner") -> DataFrame:

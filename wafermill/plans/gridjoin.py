@@ -12,20 +12,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wafermill.session import cut_lineage
+
 BOX = ["xl", "yl", "xh", "yh"]
 
 
-def _level(cell: int, grow: Column) -> Column:
+def _level(grow: Column) -> Column:
+    """Smallest power of two that is at least the side of the grown rectangle."""
     side = F.greatest(F.col("xh") - F.col("xl"), F.col("yh") - F.col("yl")) + 2 * grow
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side.cast("double"), F.lit(1.0)) / cell))).cast("int")
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side.cast("double"), F.lit(1.0))))).cast("int")
 
 
 def _floor_div(value: Column, size: Column) -> Column:
     return F.floor(value.cast("double") / size).cast("long")
 
 
-def _cells(df: DataFrame, grow: Column, cell: int, level: str) -> DataFrame:
-    size = F.lit(cell).cast("long") * F.pow(F.lit(2.0), F.col(level)).cast("long")
+def _cells(df: DataFrame, grow: Column, level: str) -> DataFrame:
+    size = F.pow(F.lit(2.0), F.col(level)).cast("long")
     sized = df.withColumn("_size", size)
     for axis in ("x", "y"):
         low = _floor_div(F.col(f"{axis}l") - grow, F.col("_size"))
@@ -39,8 +42,8 @@ def near_pairs(
     b: DataFrame,
     by: list[str],
     grow: Column | int = 0,
-    cell: int = 128,
     carry: list[str] | None = None,
+    base_share: float = 0.8,
 ) -> DataFrame:
     """All (a, b) in the same ``by`` whose boxes touch once ``a`` is grown by ``grow``.
 
@@ -48,23 +51,38 @@ def near_pairs(
     of ``a``. Output has ``by``, ``a_id``, ``a_xl``.. and ``b_id``, ``b_xl``... A pair is
     kept only in the cell that holds the lower-left corner of the common box, so no
     ``distinct`` is needed. Columns named in ``carry`` come along from both sides.
+
+    The lowest level is the one that fits ``base_share`` of the rectangles; 0 keeps every
+    level, which suits boxes whose sizes follow the local density. The inputs are written
+    out once, since the level count and both sides of the join read them.
     """
     grow = F.lit(grow) if isinstance(grow, int) else grow
     kept = ["id", *BOX, *(carry or [])]
     own = [*by, *kept]
-    left = a.withColumn("_g", grow.cast("long")).withColumn("_lv", _level(cell, F.col("_g")))
-    right = b.select(*own).withColumn("_g", F.lit(0).cast("long")).withColumn("_lv", _level(cell, F.lit(0)))
-    left = left.select(*own, "_g", "_lv")
-    levels = sorted(
-        r[0] for r in left.select("_lv").union(right.select("_lv")).distinct().collect() if r[0] is not None
-    )
+    first = cut_lineage(a.withColumn("_g", grow.cast("long")).select(*own, "_g"))
+    second = first if a is b else cut_lineage(b.select(*own))
+    left = first.withColumn("_lv", _level(F.col("_g")))
+    right = second.select(*own).withColumn("_g", F.lit(0).cast("long")).withColumn("_lv", _level(F.lit(0)))
+    counted = left.select("_lv").union(right.select("_lv")).where("_lv IS NOT NULL").groupBy("_lv").count()
+    # At most one row per power of two comes to the driver.
+    sizes = sorted((r["_lv"], r["count"]) for r in counted.collect())
+    total, seen, base = sum(n for _, n in sizes), 0, 0
+    for level, n in sizes:
+        seen += n
+        if seen >= base_share * total:
+            base = level
+            break
+    base = base if base_share > 0 else (sizes[0][0] if sizes else 0)
+    levels = sorted({max(level, base) for level, _ in sizes}) or [0]
+    left = left.withColumn("_lv", F.greatest("_lv", F.lit(base)))
+    right = right.withColumn("_lv", F.greatest("_lv", F.lit(base)))
 
     def placed(df: DataFrame, include_own: bool, include_coarser: bool) -> DataFrame:
         at = F.filter(
             F.array(*[F.lit(v) for v in levels]),
-            lambda v: ((v == F.col("_lv")) & include_own) | ((v > F.col("_lv")) & include_coarser),
+            lambda v: ((v == F.col("_lv")) & F.lit(include_own)) | ((v > F.col("_lv")) & F.lit(include_coarser)),
         )
-        return _cells(df.withColumn("_at", F.explode(at)), F.col("_g"), cell, "_at")
+        return _cells(df.withColumn("_at", F.explode(at)), F.col("_g"), "_at")
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         return df.select(
@@ -86,8 +104,6 @@ def near_pairs(
             )
         return pairs.select(*by, *[f"{t}_{c}" for t in ("a", "b") for c in kept])
 
-    if not levels:
-        levels.append(0)
     pairs = joined(placed(left, True, False), placed(right, True, True))
     if len(levels) > 1:
         pairs = pairs.union(joined(placed(left, False, True), placed(right, True, False)))

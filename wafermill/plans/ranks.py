@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wafermill.plans.attach import attach
 from wafermill.session import cut_lineage
 
 
@@ -44,8 +45,9 @@ def range_rank(
 
     One range shuffle on (by, order) puts the rows in global order; the position inside
     the sorted partition comes from ``monotonically_increasing_id``. The sorted rows are
-    checkpointed so that partition numbers stay fixed when executors are lost, and the
-    only other exchange is one row per (partition, key).
+    checkpointed so that partition numbers stay fixed when executors are lost. The first
+    position of each key in each partition is broadcast when that table is small, so the
+    rows themselves move only once.
     """
     keys = [F.col(k).asc_nulls_first() for k in by] + order
     ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
@@ -67,7 +69,7 @@ def range_rank(
     for k in by:
         same = same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
     return (
-        placed.join(starts, same)
+        attach(placed, starts, same)
         .withColumn(out, (F.col("_pos") + F.col("_shift") + 1).cast("long"))
         .drop("_pos", "_p", "_shift", *[f"_by_{k}" for k in by])
     )
