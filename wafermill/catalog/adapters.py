@@ -1,7 +1,8 @@
 """Views that give the test tables the shapes the operators work on.
 
 Each view is one SQL text used twice: by Spark with the Parquet tables bound to its
-``{table}`` marks, and by DuckDB as a common table expression.
+``{table}`` marks, and by DuckDB as a common table expression. ``{each k 3}`` behind a
+table repeats its rows with k = 0, 1, 2: a generator in both engines, not a join in Spark.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ SELECT l_orderkey AS component,
        CASE k WHEN 0 THEN CASE WHEN l_partkey % 9 = 0 THEN '----------------------------------------'
                                ELSE concat('m', l_linenumber, '.', l_suppkey % 5, ' : min. spacing') END
               ELSE concat('  ', l_partkey, ' ', l_suppkey, ' ', CAST(l_quantity AS BIGINT)) END AS line
-FROM {lineitem} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) two
+FROM {lineitem} {each k 2}
 """
 
 VIEWS["hierarchy"] = """
@@ -102,9 +103,18 @@ def _marks(text: str) -> list[str]:
     return [t for t in TABLES if re.search(r"\{" + t + r"\}", text)]
 
 
+def _each(text: str, form: str) -> str:
+    def fill(mark: re.Match) -> str:
+        numbers = ", ".join(str(i) for i in range(int(mark[2])))
+        return form.format(name=mark[1], numbers=numbers)
+
+    return re.sub(r"\{each (\w+) (\d+)\}", fill, text)
+
+
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run ``text`` in Spark with each ``{table}`` bound to the Parquet table."""
     text = text.replace("{first}", "0").replace("{second}", "1")
+    text = _each(text, "LATERAL VIEW explode(array({numbers})) each_{name} AS {name}")
     bound = {t: load(spark, sf_dir, t) for t in _marks(text)}
     return spark.sql(text, **bound)
 
@@ -116,6 +126,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def duck(text: str) -> str:
     """The DuckDB form of an adapter text."""
     text = text.replace("{first}", "1").replace("{second}", "2")
+    text = _each(text, "CROSS JOIN (SELECT unnest([{numbers}]) AS {name}) each_{name}")
     for t in _marks(text):
         text = text.replace("{" + t + "}", t)
     return text

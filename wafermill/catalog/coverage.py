@@ -8,11 +8,11 @@ from wafermill.operators import coverage
 
 AXIS_VALUES = """
 SELECT o_orderkey AS sample_id, concat('f', o_orderkey % 6) AS pcell, concat('a', k) AS axis, k AS pos, CAST(o_custkey % 50 + k AS DOUBLE) AS value
-FROM {orders} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) two
+FROM {orders} {each k 2}
 """
 AXIS_SPECS = """
 SELECT concat('f', n_nationkey) AS pcell, concat('a', k) AS axis, CAST(n_regionkey AS DOUBLE) AS min, CAST(n_nationkey + 60 AS DOUBLE) AS max
-FROM {nation} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) two
+FROM {nation} {each k 2}
 """
 
 

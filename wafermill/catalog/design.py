@@ -56,7 +56,7 @@ def _(spark, sf):
 
 BUDGETS = """
 SELECT c_custkey AS plan, k AS idx, CAST(floor(abs(c_acctbal)) AS BIGINT) AS total, CAST((c_custkey * (k + 3)) % 6 + 1 AS INTEGER) AS dims
-FROM {customer} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) f
+FROM {customer} {each k 5}
 """
 SPLIT = """
 r AS (SELECT *, {total} * (dims / CAST(sum(dims) OVER (PARTITION BY plan{more}) AS DOUBLE)) AS raw FROM {src}),
@@ -77,7 +77,7 @@ def _(spark, sf):
 
 SEARCH = """
 SELECT s_suppkey AS plan, k AS idx, CAST(floor(abs(s_acctbal)) AS BIGINT) AS start, CAST(k + 1 AS INTEGER) AS dims, CAST(s_suppkey % 3 + 2 AS INTEGER) AS s1, CAST(s_suppkey % 2 * 3 + 2 AS INTEGER) AS s2
-FROM {supplier} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) f
+FROM {supplier} {each k 2}
 """
 
 
@@ -110,7 +110,7 @@ def _(spark, sf):
 
 
 PLANS = """
-SELECT concat('p', s_suppkey) AS pcell, concat('x', k) AS axis, CAST(s_suppkey * 7 % 40 + 3 AS INTEGER) AS n FROM {supplier} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) f
+SELECT concat('p', s_suppkey) AS pcell, concat('x', k) AS axis, CAST(s_suppkey * 7 % 40 + 3 AS INTEGER) AS n FROM {supplier} {each k 2}
 """
 UNIT = "CAST('0x' || substr(md5({x}), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
 LHS = """
@@ -128,7 +128,7 @@ def _(spark, sf):
 
 CANDIDATES = """
 SELECT concat('p', s_suppkey) AS pcell, CAST(c AS INTEGER) AS candidate, concat('x', k) AS axis, CAST(s_suppkey * 3 % 15 + 4 AS INTEGER) AS n
-FROM {supplier} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) f CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) g
+FROM {supplier} {each k 2} {each c 4}
 """
 CAND_LHS = """
 , i AS (SELECT p.*, i AS sample_id FROM p, LATERAL (SELECT unnest(range(n)) AS i)),
@@ -157,7 +157,7 @@ def _(spark, sf):
 
 INT_PLANS = """
 SELECT concat('p', s_suppkey) AS pcell, concat('x', k) AS axis, CAST(s_suppkey * 7 % 40 + 3 AS INTEGER) AS n, CAST(1 AS INTEGER) AS min, CAST(s_suppkey % 5 + k + 1 AS INTEGER) AS max
-FROM {supplier} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) f
+FROM {supplier} {each k 2}
 """
 LEVELS = """
 , i AS (SELECT p.*, i AS sample_id, md5(concat_ws(':', '{seed}', pcell, axis, i)) AS t FROM p, LATERAL (SELECT unnest(range(n)) AS i)),

@@ -227,7 +227,9 @@ def assemble_samples(long: DataFrame) -> DataFrame:
         F.max(F.when((F.col("axis") == axis) & (F.col("pos") == pos), F.col("value"))).alias(name[(axis, pos)])
         for axis, pos in wanted
     ]
-    picks += [F.max(F.when(F.col("axis") == a, F.col("text"))).alias(f"{a}__text") for a in ("type", "add_output_stage")]
+    # Choices become booleans here, so that the aggregate stays a hash aggregate.
+    choices = {"type": "nmos", "add_output_stage": "true"}
+    picks += [F.max(F.when(F.col("axis") == a, F.col("text") == yes)).alias(f"{a}__yes") for a, yes in choices.items()]
     wide = long.groupBy("pcell", "sample_id").agg(*picks)
     family = F.col("pcell")
     paired, scalar = family.isin(PAIRED), family.isin(SCALAR)
@@ -249,8 +251,8 @@ def assemble_samples(long: DataFrame) -> DataFrame:
         F.when(both, F.array(whole("fingers"), whole("fingers"))).when(family == "diff_pair", F.array(whole("fingers"))).alias("fingers"),
         F.when(both, F.array(whole("multipliers"), whole("multipliers"))).alias("multipliers"),
         F.when(family == "current_mirror", whole("numcols")).alias("numcols"),
-        F.when(family == "diff_pair", F.col("type__text") == "nmos").alias("n_or_p_fet"),
-        F.when(opamp, F.col("add_output_stage__text") == "true").alias("add_output_stage"),
+        F.when(family == "diff_pair", F.col("type__yes")).alias("n_or_p_fet"),
+        F.when(opamp, F.col("add_output_stage__yes")).alias("add_output_stage"),
         *[F.when(opamp, F.array(*[at(*s) for s in spots])).alias(out) for out, spots in COMPOSITES.items()],
         F.when(opamp, whole("mim_cap_rows")).alias("mim_cap_rows"),
         F.when(opamp, whole("rmult")).alias("rmult"),

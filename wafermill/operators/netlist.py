@@ -56,20 +56,19 @@ def netlist_instances(lines: DataFrame, chunk: int = LINES_PER_CHUNK) -> DataFra
 
 def netlist_name(lines: DataFrame) -> DataFrame:
     """Token after the first line that holds ``subckt``; default ``Netlist``."""
-    hit = F.contains("line", F.lit("subckt"))
-    first = lines.groupBy("path").agg(F.min_by("line", F.when(hit, F.col("line_no"))).alias("_first"))
-    return first.select(
-        "path", F.coalesce(F.try_element_at(F.split("_first", " "), F.lit(2)), F.lit("Netlist")).alias("circuit_name")
-    )
+    named = lines.where(F.contains("line", F.lit("subckt")))
+    first = named.groupBy("path").agg(F.min_by("line", "line_no").alias("_first"))
+    name = F.coalesce(F.try_element_at(F.split("_first", " "), F.lit(2)), F.lit("Netlist"))
+    return lines.select("path").distinct().join(first, "path", "left").select("path", name.alias("circuit_name"))
 
 
 def top_design_name(lines: DataFrame) -> DataFrame:
     """Name on the last ``.ends`` line of each file, null when that line is bare."""
     text = strip("line")
-    last = lines.groupBy("path").agg(
-        F.max_by(text, F.when(text.startswith(".ends"), F.col("line_no"))).alias("_last")
-    )
-    return last.select("path", F.try_element_at(tokens(F.col("_last")), F.lit(2)).alias("top"))
+    ends = lines.where(text.startswith(".ends"))
+    last = ends.groupBy("path").agg(F.max_by(text, "line_no").alias("_last"))
+    top = F.try_element_at(tokens(F.col("_last")), F.lit(2))
+    return lines.select("path").distinct().join(last, "path", "left").select("path", top.alias("top"))
 
 
 def connection_table(instances: DataFrame, subckts: DataFrame) -> DataFrame:
