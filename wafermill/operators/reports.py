@@ -12,7 +12,6 @@ from wafermill.functions.columns import plain_float, strip, tokens
 from wafermill.plans.scan import LINES_PER_CHUNK, carry_forward
 
 # Texts and patterns of the reports.
-SEPARATOR = "----------------------------------------"
 NET_LEFT = r"Net:\s*([^|]+)\s*\|\s*\(no matching net\)"
 INSTANCE_LEFT = r"Instance:\s*([^|]+)\s*\|\s*\(no matching instance\)"
 NET_RIGHT = r"\|\s*([^|]+)\s*\(no matching net\)"
@@ -29,7 +28,8 @@ CAP_UNITS = {"F": 1e-15, "f": 1e-15, "P": 1e-12, "N": 1e-9, "U": 1e-6}
 
 def drc_violations(lines: DataFrame, chunk: int = LINES_PER_CHUNK) -> DataFrame:
     """Each digit line is a violation of the last rule line (letter first) above it."""
-    trimmed = lines.withColumn("line", strip("line")).where(F.col("line") != SEPARATOR)
+    # Separators, blanks and other lines play no part, so they are not moved.
+    trimmed = lines.withColumn("line", strip("line")).where(F.col("line").rlike("^[a-zA-Z0-9]"))
     rule = F.when(F.col("line").rlike("^[a-zA-Z]"), F.col("line"))
     marked = carry_forward(trimmed, ["component"], "line_no", {"rule": rule}, chunk)
     return marked.where(F.col("line").rlike("^[0-9]")).select(

@@ -25,7 +25,7 @@ def carry_forward(
     cut = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
     for name, mark in marks.items():
         cut = cut.withColumn(f"_m_{name}", mark)
-    inside = Window.partitionBy(*by, "_chunk").orderBy(order)
+    inside = Window.partitionBy(*by, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     tails = cut.groupBy(*by, "_chunk").agg(
         *[
