@@ -72,10 +72,16 @@ def top_design_name(lines: DataFrame) -> DataFrame:
 
 
 def connection_table(instances: DataFrame, subckts: DataFrame) -> DataFrame:
-    """Instance pin -> net, by position in the child's pin list."""
-    nets = instances.select("path", "line_no", "subckt", "inst", F.col("model").alias("child"), F.posexplode("nets").alias("pos", "net"))
-    pins = subckts.select("path", F.col("subckt").alias("child"), F.posexplode("pins").alias("pos", "pin"))
-    return attach(nets, pins, ["path", "child", "pos"])
+    """Instance pin -> net, by position in the child's pin list.
+
+    The pin lists are joined whole, one row per instance, and taken apart afterwards.
+    """
+    children = subckts.select("path", F.col("subckt").alias("child"), "pins")
+    both = attach(instances.withColumnRenamed("model", "child"), children, ["path", "child"])
+    n = F.least(F.size("nets"), F.size("pins"))
+    pairs = F.arrays_zip(F.slice("pins", 1, n).alias("pin"), F.slice("nets", 1, n).alias("net"))
+    flat = both.select("path", "line_no", "subckt", "inst", "child", F.posexplode(pairs).alias("pos", "p"))
+    return flat.select("path", "line_no", "subckt", "inst", "child", "pos", F.col("p")["pin"].alias("pin"), F.col("p")["net"].alias("net"))
 
 
 def normalise_netlist_lines(

@@ -203,13 +203,9 @@ def wide_parts(shapes: DataFrame, by: list[str], width: int) -> DataFrame:
 
 
 def shape_areas(shapes: DataFrame, by: list[str]) -> DataFrame:
-    """Area and bounding box of every merged shape."""
+    """Area of every merged shape."""
     labelled = merge_shapes(shapes, by)
-    area = boolean_rects(labelled, None, [*by, "label"], "or").groupBy(*by, "label").agg(F.sum(rect_area()).alias("area"))
-    box = labelled.groupBy(*by, "label").agg(
-        F.min("xl").alias("xl"), F.min("yl").alias("yl"), F.max("xh").alias("xh"), F.max("yh").alias("yh")
-    )
-    return area.join(box, [*by, "label"])
+    return boolean_rects(labelled, None, [*by, "label"], "or").groupBy(*by, "label").agg(F.sum(rect_area()).alias("area"))
 
 
 def area_filter(shapes: DataFrame, by: list[str], low: int, high: int | None = None, inside: bool = True) -> DataFrame:
