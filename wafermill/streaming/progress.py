@@ -57,7 +57,7 @@ def progress_stream(spark: SparkSession, path: str, by: list[str], planned: int,
         .start()
     )
     run.awaitTermination()
-    states = spark.read.parquet(f"{out}/state/*")
+    states = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/state")
     last = states.agg(F.max("batch")).first()[0]
     return states.where(F.col("batch") == last).drop("batch")
 
