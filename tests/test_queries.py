@@ -5,9 +5,10 @@ from conftest import SF_DIR
 
 import __spark_entry__ as entry_module
 from compare import compare
+from wafermill import catalog
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_equals_sql(spark, duck, name):
     problem = compare(spark, duck, SF_DIR, name)
     assert problem in (None, "empty result"), problem
@@ -18,4 +19,5 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.oracle_sql()) == set(entry_module.queries())
+    assert set(catalog.ORACLES) == set(catalog.QUERIES)
+    assert set(catalog.QUERIES) <= set(entry_module.queries())
