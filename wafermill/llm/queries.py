@@ -35,3 +35,52 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+# The rules of the comparison, and listed sites that the rules leave open.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+URL_LISTED = [
+    ("ads-track.example.com", "/"), ("spam-farm.example.org", "/"), ("casino-win.example.net", "/"),
+    ("adult-x.example.com", "/"), ("cheap-pills.example.net", "/"), ("cheap-pills.example.com", "/"),
+    ("free-bets.example.net", "/"),
+]
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page's URL."""
+    from wafermill.llm.urlfilter import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    listed = spark.createDataFrame(URL_LISTED, "host string, path string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules, listed)
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
+
+
+ORACLES["op8_url_filter"] = f"""
+WITH rules(h, p, v) AS (VALUES {_values(URL_RULES)}),
+listed(h, p) AS (VALUES {_values(URL_LISTED)}),
+parts AS (
+    SELECT page_id,
+           translate(regexp_extract(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '^[^/?#]*'),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages),
+urls AS (SELECT DISTINCT host, path FROM parts),
+judged AS (
+    SELECT u.host, u.path,
+           arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.v, length(r.h || r.p)) AS v
+    FROM urls u JOIN rules r ON ('.' || u.host) LIKE ('%.' || r.h) AND starts_with(u.path, r.p)
+    GROUP BY ALL),
+hit AS (
+    SELECT DISTINCT u.host, u.path
+    FROM urls u JOIN listed l ON ('.' || u.host) LIKE ('%.' || l.h) AND starts_with(u.path, l.p))
+SELECT page_id, a.host, a.path, rule,
+       coalesce(v, CASE WHEN h.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       h.host IS NOT NULL AS listed
+FROM parts a LEFT JOIN judged j ON a.host = j.host AND a.path = j.path
+LEFT JOIN hit h ON a.host = h.host AND a.path = h.path
+"""
