@@ -84,3 +84,12 @@ SELECT page_id, a.host, a.path, rule,
 FROM parts a LEFT JOIN judged j ON a.host = j.host AND a.path = j.path
 LEFT JOIN hit h ON a.host = h.host AND a.path = h.path
 """
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest document of its component."""
+    from wafermill.llm.simhash import near_duplicates
+
+    got = near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
