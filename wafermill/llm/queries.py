@@ -93,3 +93,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, how many go as repeats, and a digest of what stays."""
+    from wafermill.llm.substrings import remove_repeats
+
+    got = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    return got.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_removed").alias("n_removed"),
+        F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+ORACLES["op5_substring_dedup"] = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, sha256(array_to_string(w[i:i + 12], ' ')) AS k
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)),
+firsts AS (SELECT k, min(doc_id) AS lo FROM windows GROUP BY k),
+gone AS (
+    SELECT DISTINCT doc_id, i + j AS p
+    FROM (SELECT w.doc_id, i FROM windows w JOIN firsts f ON w.k = f.k WHERE w.doc_id > f.lo), range(13) r(j)),
+kept AS (
+    SELECT d.doc_id, string_agg(d.word, ' ' ORDER BY d.p) AS t, count(*) AS n
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words) d
+    ANTI JOIN gone g ON g.doc_id = d.doc_id AND g.p = d.p
+    GROUP BY d.doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
+"""
