@@ -128,3 +128,16 @@ SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGIN
        sha256(coalesce(t, '')) AS kept_sha256
 FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
 """
+
+
+@query
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the ids of all documents to a Huffman-coded file and read them back."""
+    from wafermill.llm.tokenfile import read_token_file, write_token_file
+    from wafermill.session import scratch_path
+
+    path = scratch_path(spark, "token-file")
+    write_token_file(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_file(spark, path).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
