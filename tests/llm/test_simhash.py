@@ -71,6 +71,7 @@ def test_deep_tree_and_dense_ball(spark, monkeypatch):
 
     monkeypatch.setattr(simhash, "LEAF", 64)
     monkeypatch.setattr(simhash, "GUESTS", 100)
+    monkeypatch.setattr(simhash, "SMALL", 16)
     rng = np.random.default_rng(3)
     far = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
     flips = (np.uint64(1) << rng.integers(0, 64, (500, 3)).astype(np.uint64)).sum(axis=1, dtype=np.uint64)
@@ -97,6 +98,38 @@ def test_deep_tree_and_dense_ball(spark, monkeypatch):
     assert {v: root(v) for v in unsigned} == want
 
 
+def test_shards_split_in_memory(monkeypatch):
+    from wafermill.llm import simhash
+
+    monkeypatch.setattr(simhash, "SMALL", 20)
+    rng = np.random.default_rng(9)
+    far = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    flips = (np.uint64(1) << rng.integers(0, 64, (500, 4)).astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+    values = np.unique(np.concatenate((far, far ^ flips, np.uint64(99) ^ flips)))
+    rng.shuffle(values)
+    data, guests = values[:700], values[700:]
+    for among in (True, False):
+        u, v = simhash._links(data, guests, among, 4)
+        pairs = {(int(a), int(b)) for a in values for b in data if a != b and (int(a) ^ int(b)).bit_count() <= 4}
+        if not among:
+            pairs = {(a, b) for a, b in pairs if a in set(guests.tolist())}
+
+        def groups(edges):
+            label = {int(x): int(x) for x in values}
+
+            def root(i):
+                while label[i] != i:
+                    i = label[i]
+                return i
+
+            for a, b in edges:
+                low, high = sorted((root(a), root(b)))
+                label[high] = low
+            return {x: root(x) for x in label}
+
+        assert groups(zip(u, v)) == groups(pairs)
+
+
 def test_routing_finds_every_pair():
     rng = np.random.default_rng(5)
     points = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)

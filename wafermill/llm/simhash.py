@@ -25,8 +25,9 @@ from wafermill.plans.components import connected_components
 SEED = 42
 #: Fingerprints that shape the tree (those with the smallest digests). All fingerprints are sorted into it.
 TREE_SAMPLE = 8192
-#: Fingerprints a leaf should hold, and the largest number of guests and residents in one task's cell.
-LEAF, GUESTS = 4096, 65536
+#: Fingerprints a shard should hold, guests that meet them in one cell, and the size from which
+#: distances are taken without splitting further.
+LEAF, GUESTS, SMALL = 32768, 65536, 1024
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -79,24 +80,10 @@ class VantageTree:
         for node in range(1, 1 << depth):
             points = held.pop(node, np.zeros(0, np.uint64))
             if len(points):
-                self.vantage[node], self.cut[node] = self._split(points)
+                self.vantage[node], self.cut[node] = _split(points, radius)
             inner = np.bitwise_count(points ^ self.vantage[node]) <= self.cut[node]
             held[2 * node], held[2 * node + 1] = points[inner], points[~inner]
 
-    def _split(self, points: np.ndarray) -> tuple[np.uint64, int]:
-        """The vantage point and distance with the fewest points at the boundary, halves being 1 to 2 at most."""
-        best = None
-        for v in points[:: max(1, len(points) // 12)]:
-            at = np.bincount(np.bitwise_count(points ^ v), minlength=65)
-            below = np.cumsum(at)
-            for cut in range(64):
-                small = min(below[cut], len(points) - below[cut])
-                edge = below[cut] - (below[cut - self.radius] if cut >= self.radius else 0)
-                key = (small * 3 < len(points), edge if small * 3 >= len(points) else -small, cut)
-                if best is None or key < best[0]:
-                    best = (key, v, cut)
-        return best[1], best[2]
-
     def route(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, guest) for the home leaf of each fingerprint and the leaves it visits.
 
@@ -119,24 +106,68 @@ class VantageTree:
         return row, node, guest
 
 
+def _split(points: np.ndarray, radius: int) -> tuple[np.uint64, int]:
+    """The vantage point and distance with the fewest points at the boundary, halves being 1 to 2 at most."""
+    best = None
+    for v in points[:: max(1, len(points) // 12)]:
+        below = np.cumsum(np.bincount(np.bitwise_count(points ^ v), minlength=65))
+        for cut in range(64):
+            small = min(below[cut], len(points) - below[cut])
+            edge = below[cut] - (below[cut - radius] if cut >= radius else 0)
+            key = (small * 3 < len(points), edge if small * 3 >= len(points) else -small, cut)
+            if best is None or key < best[0]:
+                best = (key, v, cut)
+    return best[1], best[2]
+
+
 def _links(data: np.ndarray, guests: np.ndarray, among: bool, radius: int) -> tuple[list[int], list[int]]:
     """Links that join the same fingerprints as all pairs within ``radius`` do, one per fingerprint.
 
-    Guests are compared with the data; data among themselves if ``among``.
+    Guests are compared with the data; data among themselves if ``among``. The shard is split by
+    vantage points in memory, with the same bounds as the tree above it.
     """
     label = np.arange(len(data))
     met: list[tuple[int, int]] = []
-    for rows, own in ((data, True), (guests, False)) if among else ((guests, False),):
-        for at in range(0, len(rows), 256):
-            block = rows[at : at + 256]
-            close = np.bitwise_count(block[:, None] ^ data[None, :]) <= radius
-            hits = close.sum(axis=1)
-            for i in np.flatnonzero(hits > (1 if own else 0)):
-                found = np.unique(label[np.flatnonzero(close[i])])
-                for other in found[1:]:
-                    label[label == other] = found[0]
-                if not own:
-                    met.append((at + i, int(np.flatnonzero(close[i])[0])))
+
+    def merge(members: np.ndarray) -> int:
+        found = np.unique(label[members])
+        for other in found[1:]:
+            label[label == other] = found[0]
+        return int(found[0])
+
+    def visit(own: np.ndarray, sent: np.ndarray, again: np.ndarray, within: bool) -> None:
+        """Compare ``own`` with itself (if ``within``), with guests ``sent`` and with data ``again``."""
+        parts = [(data, again, False), (guests, sent, True)]
+        if len(own) <= SMALL:
+            parts = [(data, np.concatenate((own, again)) if within else again, False), parts[1]]
+        elif len(own):
+            sample = data[own[:: max(1, len(own) // 4096)]]
+            vantage, cut = _split(sample, radius)
+            far = np.bitwise_count(data[own] ^ vantage).astype(np.int64)
+            inner = far <= cut
+            if inner.any() and not inner.all():
+                sides = []
+                for values, which, _ in parts:
+                    gone = np.bitwise_count(values[which] ^ vantage).astype(np.int64)
+                    sides.append((which[gone <= cut + radius], which[gone > cut - radius]))
+                # A link across the boundary is found by its inner end on the outer side.
+                edge = own[inner & (far > cut - radius)] if within else own[:0]
+                visit(own[inner], sides[1][0], sides[0][0], within)
+                visit(own[~inner], sides[1][1], np.concatenate((sides[0][1], edge)), within)
+                return
+            parts = [(data, np.concatenate((own, again)) if within else again, False), parts[1]]
+        for values, which, guest in parts:
+            for at in range(0, len(which), 256):
+                rows = which[at : at + 256]
+                close = np.bitwise_count(values[rows][:, None] ^ data[own][None, :]) <= radius
+                for i in np.flatnonzero(close.any(axis=1)):
+                    near = own[np.flatnonzero(close[i])]
+                    if guest:
+                        met.append((int(rows[i]), merge(near)))
+                    else:
+                        merge(np.append(near, rows[i]))
+
+    visit(np.arange(len(data)), np.arange(len(guests)), np.zeros(0, np.int64), among)
     ends = [(data[i], data[k]) for i, k in enumerate(label) if i != k]
     ends += [(guests[i], data[label[k]]) for i, k in met]
     return [int(a) for a, _ in ends], [int(b) for _, b in ends]
