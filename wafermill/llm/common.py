@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wafermill.session import scratch_path
 
@@ -48,3 +50,22 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         size += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def gathered_filter(masks: DataFrame, words: int) -> np.ndarray:
+    """The 64-bit words of a filter from rows (``word``, ``mask``): 8 * ``words`` bytes, whatever
+    the number of rows. Executors put stretches of it together; only those come to the driver."""
+    stretch = 1 << 12
+
+    def packed(rows: pa.Table) -> pa.Table:
+        own = np.zeros(stretch, "<u8")
+        at = rows.column("word").to_numpy()
+        own[at % stretch] = rows.column("mask").to_numpy().view(np.uint64)
+        return pa.table({"part": pa.array([int(at[0]) // stretch], pa.int64()), "bits": pa.array([own.tobytes()], pa.binary())})
+
+    merged = masks.groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    parts = merged.groupBy((F.col("word") / stretch).cast("bigint").alias("part")).applyInArrow(packed, "part bigint, bits binary")
+    out = np.zeros(words, np.uint64)
+    for row in parts.collect():
+        out[row["part"] * stretch :][:stretch] = np.frombuffer(row["bits"], "<u8")
+    return out

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wafermill.llm.common import slices, stored
+from wafermill.llm.common import gathered_filter, slices, stored
 
 TOKEN = re.compile(r"[^\W_]+(?:[.,'’-][^\W_]+)*|[.!?:;\n]")
 NUMBER = re.compile(r"[+-]?\d[\d.,]*(?:st|nd|rd|th)?\Z")
@@ -176,9 +176,7 @@ def find_leaks(
             where, mask = _bits(*(b.column(c).to_numpy().view(np.uint64) for c in ("one", "two")))
             yield pa.RecordBatch.from_arrays([pa.array(where), _signed(mask)], names=["word", "mask"])
 
-    got = own.select("one", "two").mapInArrow(bits, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    bloom = np.zeros(FILTER_WORDS, np.uint64)  # at most FILTER_WORDS rows came
-    bloom[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
+    bloom = gathered_filter(own.select("one", "two").mapInArrow(bits, "word bigint, mask bigint"), FILTER_WORDS)
     sent = spark.sparkContext.broadcast(bloom)
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

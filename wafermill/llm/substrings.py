@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wafermill.llm.common import WORD, discard, slices, stored
+from wafermill.llm.common import WORD, discard, gathered_filter, slices, stored
 
 #: 64-bit words of the filter that travels with the tasks (16 MB). More names than it can tell
 #: apart only let more rows through to the exact join.
@@ -201,10 +201,7 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
             w2, m2 = _filter_bits(symbol[some], name[some], lo[some])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((w1, w2))), _signed(np.concatenate((m1, m2)))], names=["word", "mask"])
 
-    table = shared.mapInArrow(bits, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    got = table.toPandas()  # at most FILTER_WORDS rows
-    bloom = np.zeros(FILTER_WORDS, np.uint64)
-    bloom[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
+    bloom = gathered_filter(shared.mapInArrow(bits, "word bigint, mask bigint"), FILTER_WORDS)
     sent = spark.sparkContext.broadcast(bloom)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
