@@ -165,3 +165,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "item_id", "n_windows", "n_item_windows", "literal")
+
+
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page and its length in code points."""
+    from wafermill.llm.htmltext import extract_text
+
+    got = extract_text(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
