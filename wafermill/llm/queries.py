@@ -174,3 +174,11 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = extract_text(table(spark, sf_dir, "pages"))
     return got.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents, with what they save and how their wording differs."""
+    from wafermill.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
