@@ -213,7 +213,8 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     ids, lengths = table["id"].to_numpy(np.int64), table["length"].to_numpy(np.int64)
     blocks = spark.read.parquet(f"{path}/blocks")
     totals = blocks.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"))
-    # One row for each partition that wrote blocks.
+    # One row for each partition that wrote blocks: small enough to be sent to every executor, so
+    # that the blocks are decoded where they are read.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
 
@@ -228,6 +229,6 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 starts = ends - sizes + row["before"] + row["_offset"]
                 yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(starts), pa.array(raw, pa.binary())], names=["doc_id", "start", "ids"])
 
-    return blocks.select("part", "before", "docs", "sizes", "bits", "marks").join(parts, "part").drop("part").mapInArrow(
+    return blocks.select("part", "before", "docs", "sizes", "bits", "marks").join(F.broadcast(parts), "part").drop("part").mapInArrow(
         decoded, "doc_id bigint, start bigint, ids binary"
     )
