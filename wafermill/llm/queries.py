@@ -182,3 +182,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wafermill.llm.licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors with the largest inner product for every twentieth vector."""
+    from wafermill.llm.neighbours import nearest_neighbours
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
