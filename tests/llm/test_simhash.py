@@ -70,7 +70,7 @@ def test_deep_tree_and_dense_ball(spark, monkeypatch):
     from wafermill.llm import simhash
 
     monkeypatch.setattr(simhash, "LEAF", 64)
-    monkeypatch.setattr(simhash, "GUESTS", 100)
+    monkeypatch.setattr(simhash, "MOST", 90)
     monkeypatch.setattr(simhash, "SMALL", 16)
     rng = np.random.default_rng(3)
     far = rng.integers(0, 1 << 63, 600, dtype=np.uint64)

@@ -25,9 +25,10 @@ from wafermill.plans.components import connected_components
 SEED = 42
 #: Fingerprints that shape the tree (those with the smallest digests). All fingerprints are sorted into it.
 TREE_SAMPLE = 8192
-#: Fingerprints a shard should hold, guests that meet them in one cell, and the size from which
-#: distances are taken without splitting further.
-LEAF, GUESTS, SMALL = 32768, 65536, 1024
+#: Fingerprints a shard should hold; most residents and guests of one cell (a shard with more, which
+#: distances do not split, is cut into blocks); size from which distances are taken without
+#: splitting further.
+LEAF, MOST, SMALL = 32768, 131072, 1024
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -179,7 +180,7 @@ def near_links(prints: DataFrame, radius: int) -> DataFrame:
     give one link a member and not all pairs.
 
     Leaves with many residents (dense groups that no distance splits) are cut into blocks of about
-    LEAF residents and GUESTS guests, so that a task's cell stays small whatever the data.
+    MOST residents and as many guests, so that a task's cell stays small whatever the data.
     """
     spark = prints.sparkSession
     total = prints.count()
@@ -202,12 +203,12 @@ def near_links(prints: DataFrame, radius: int) -> DataFrame:
     residents, visits = np.ones(2 << depth, np.int64), np.ones(2 << depth, np.int64)
     for r in sizes:
         if not r["guest"]:
-            residents[r["leaf"]] = -(-r["n"] // LEAF)
+            residents[r["leaf"]] = -(-r["n"] // MOST)
     for r in sizes:
         if r["guest"]:
             visits[r["leaf"]] = r["n"]
     # Residents of other blocks of a leaf come as guests too.
-    visits = -(-(visits + residents * LEAF) // GUESTS)
+    visits = -(-(visits + (residents - 1) * MOST) // MOST)
     first = np.concatenate(([0], np.cumsum(residents * visits)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
