@@ -7,7 +7,7 @@ import xxhash
 from conftest import SF_DIR
 
 from wafermill.llm import queries
-from wafermill.llm.simhash import VantageTree, fingerprint, near_duplicates, near_links
+from wafermill.llm.simhash import Prints, Rule, VantageTree, drop_near_duplicates, fingerprint, near_duplicates, near_links
 
 SCHEMA = "doc_id bigint, text string, fp string"
 
@@ -78,8 +78,8 @@ def test_deep_tree_and_dense_ball(spark, monkeypatch):
     near = far[:100] ^ flips[:100]
     ball = np.uint64(12345678901234567) ^ flips
     values = np.unique(np.concatenate((far, near, ball)))
-    prints = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp bigint")
-    links = near_links(prints.repartition(7), 4).collect()
+    prints = spark.createDataFrame([(int(v), int(v), b"", 0) for v in values.view(np.int64)], "node bigint, fp bigint, more binary, shingles bigint")
+    links = near_links(prints.repartition(7), Rule(4)).collect()
     assert len(links) < 40 * len(values)
     unsigned = {int(v): int(v) for v in values}
     want = slow_components(unsigned, 4)
@@ -109,7 +109,9 @@ def test_shards_split_in_memory(monkeypatch):
     rng.shuffle(values)
     data, guests = values[:700], values[700:]
     for among in (True, False):
-        u, v = simhash._links(data, guests, among, 4)
+        none = lambda x: Prints(x, np.zeros((len(x), 0), np.uint64), np.zeros(len(x), np.int64))
+        links = simhash._links(none(data), none(guests), among, Rule(4))
+        links = [(int((guests if far else data)[i]), int(data[k])) for far, i, k in links]
         pairs = {(int(a), int(b)) for a in values for b in data if a != b and (int(a) ^ int(b)).bit_count() <= 4}
         if not among:
             pairs = {(a, b) for a, b in pairs if a in set(guests.tolist())}
@@ -127,7 +129,7 @@ def test_shards_split_in_memory(monkeypatch):
                 label[high] = low
             return {x: root(x) for x in label}
 
-        assert groups(zip(u, v)) == groups(pairs)
+        assert groups(links) == groups(pairs)
 
 
 def test_routing_finds_every_pair():
@@ -143,3 +145,35 @@ def test_routing_finds_every_pair():
     for i in range(2000):
         if (int(both[i]) ^ int(both[i + 2000])).bit_count() <= 4:
             assert (i, home[i + 2000]) in seen or (i + 2000, home[i]) in seen
+
+
+def jaccard(a, b, width=5):
+    sets = []
+    for text in (a, b):
+        w = text.lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = np.random.default_rng(11)
+    rows, near = [], []
+    for i in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        rows.append((i, " ".join(words), "x"))
+        if i % 3 == 0:
+            changed = list(words)
+            for at in rng.choice(len(words), max(1, len(words) // 60), replace=False):
+                changed[at] = "changed"
+            rows.append((1000 + i, " ".join(changed), "x"))
+            if jaccard(rows[-1][1], rows[-2][1]) > 0.85:
+                near.append(1000 + i)
+        if i % 3 == 1:
+            rows.append((1000 + i, " ".join(words[: len(words) // 2]), "x"))
+    rows += [(5000, rows[0][1], "x"), (5001, rows[0][1].upper(), "x"), (7, rows[7][1], "x"), (None, "null id text", "x"), (8000, None, "x"), (8001, None, "x"), (8002, "", "x")]
+    kept = {r["doc_id"] for r in drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(range(120)) <= kept and None in kept
+    assert not kept & {5000, 5001, 8001, 8002} and 8000 in kept
+    assert {1000 + i for i in range(120) if i % 3 == 1} <= kept
+    assert len(near) > 20 and len(kept & set(near)) <= 0.05 * len(near)
+    assert drop_near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
