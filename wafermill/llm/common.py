@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +12,6 @@ from pyspark.sql import functions as F
 
 from wafermill.session import scratch_path
 
-#: Words of the byte-exact contracts: everything but the six ASCII white-space characters.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wafermill.llm.common import WORD, discard, gathered_filter, slices, stored
+from wafermill.llm.common import discard, gathered_filter, slices, stored
 
 #: 64-bit words of the filter that travels with the tasks (16 MB). More names than it can tell
 #: apart only let more rows through to the exact join.
@@ -68,7 +68,7 @@ class Spans:
     digests: tuple[np.ndarray, np.ndarray]
 
 
-def find_spans(words: list[list[str]], window: int) -> Spans:
+def find_spans(words: list[list[bytes]], window: int) -> Spans:
     """Cut the windows of the texts (lists of words) into spans and name them."""
     counts = np.array([len(w) for w in words], np.int64)
     digest = xxhash.xxh3_64_intdigest
@@ -80,7 +80,7 @@ def find_spans(words: list[list[str]], window: int) -> Spans:
     is_word[0] = False
     is_word[begin + counts] = False
     word = np.empty(total, np.uint64)
-    word[is_word] = np.fromiter((digest(w) for w in flat), np.uint64, len(flat))
+    word[is_word] = np.array(list(map(digest, flat)), np.uint64)
     word[~is_word] = np.arange(total - len(flat), dtype=np.uint64)
     size = np.zeros(total, np.int64)
     size[is_word] = np.fromiter(map(len, flat), np.int64, len(flat))
@@ -135,7 +135,8 @@ def find_spans(words: list[list[str]], window: int) -> Spans:
     first, last, pick = at[opens], at[closes], best[opens]
     own = pick < 0
     safe = np.where(own, 0, pick)
-    symbol = np.where(own, windows[0][opens], name[safe])
+    # All words that a symbol depends on stand for it: they lie in every window that picks it.
+    symbol = np.where(own, windows[0][opens], digests(0, np.maximum(left[safe], 0), np.minimum(right[safe], total)))
     offset = np.where(own, 0, start[safe] - first).astype(np.uint64)
     named = _mix(digests(1, first, last + window) + _mix(offset + np.uint64(7)))
     doc = np.searchsorted(begin, first, side="right") - 1
@@ -169,7 +170,7 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     def parsed(batches):
         for whole in batches:
             for part in slices(whole, "_text"):
-                yield part, find_spans([WORD.findall(t or "") for t in part.column("_text").to_pylist()], window)
+                yield part, find_spans([(t or "").encode().split() for t in part.column("_text").to_pylist()], window)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, spans in parsed(batches):
@@ -281,14 +282,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             for part in slices(whole, text_col):
                 counts, removed, kept = [], [], []
                 for text, ranges in zip(part.column(text_col).to_pylist(), part.column("_ranges").to_pylist(), strict=True):
-                    words = WORD.findall(text or "")
+                    words = (text or "").encode().split()
                     stay = np.ones(len(words), bool)
                     for r in ranges or ():
                         stay[r["_from"] : r["_to"]] = False
                     left = [words[i] for i in np.flatnonzero(stay)] if ranges else words
                     counts.append(len(words))
                     removed.append(len(words) - len(left))
-                    kept.append(" ".join(left))
+                    kept.append(b" ".join(left).decode())
                 columns = [part.column(c) for c in part.schema.names if c != "_ranges"]
                 names = [c for c in part.schema.names if c != "_ranges"]
                 yield pa.RecordBatch.from_arrays(
