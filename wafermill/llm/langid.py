@@ -168,16 +168,15 @@ def best_path(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarr
     return label
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ``lang_pred``, ``score`` and ``spans``.
+def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the columns in ``keep``, ``lang_pred``, ``score`` and ``spans``.
 
     ``spans`` lists runs of words of one language (first and last word by number, language,
     letters). ``lang_pred`` has most of the letters (ties: the alphabetically first language),
     ``score`` is its share of them. A null text, one without a letter, or a model without
-    languages gives ``und``, score 0 and no spans. Whole texts, row by row, no shuffle; only the
-    id and the text are read. Repeated rows, null ids and empty tables pass as they are.
+    languages gives ``und``, score 0 and no spans. Whole texts, row by row, no shuffle; other
+    columns are not read. Repeated rows, null ids and empty tables pass as they are.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     names = model.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +211,13 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     )
                 span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string()), ("letters", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(preds, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, span)],
-                    names=["_id", "lang_pred", "score", "spans"],
+                    [*(part.column(c) for c in own_names), pa.array(preds, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, span)],
+                    names=[*own_names, "lang_pred", "score", "spans"],
                 )
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    schema = f"_id {kind}, lang_pred string, score double, spans array<struct<first:bigint,last:bigint,lang:string,letters:bigint>>"
-    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    own_names = [f"_k{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, own_names, strict=True)], F.col(text_col).alias("_text"))
+    span_type = "array<struct<first:bigint,last:bigint,lang:string,letters:bigint>>"
+    schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, own_names, strict=True))
+    found = rows.mapInArrow(run, f"{schema}, lang_pred string, score double, spans {span_type}")
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, own_names, strict=True)], "lang_pred", "score", "spans")
