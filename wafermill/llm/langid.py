@@ -68,14 +68,19 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, per_language: int = 1500, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", penalty: float = 12.0) -> LanguageModel:
-    """Fit the scores on at most ``per_language`` labelled rows of each language (those with the
-    smallest digests of their ids). Rows without a label or text are left out. Counting is done
+    """Fit the scores on at most ``per_language`` labelled rows of each language, picked by digests of
+    their ids. Rows without a label or text are left out. Counting is done
     by Spark; the counts of letter triples, bounded by the sample, come to the driver.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("_h"), F.xxhash64(F.col(text_col)).alias("_t")
     )
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_t")))
+    # About a third more rows than wanted pass by their digest; only these are ranked.
+    sizes = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().collect()  # one row a language
+    shares = [(r["lang"], 1.0 if r["count"] <= per_language else min(1.0, 1.3 * per_language / r["count"])) for r in sizes]
+    few = docs.sparkSession.createDataFrame(shares, "lang string, _share double")
+    likely = rows.join(F.broadcast(few), "lang").where(F.pmod("_h", F.lit(1 << 32)) < F.col("_share") * (1 << 32))
+    ranked = likely.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_t")))
     words = ranked.where(F.col("_n") <= per_language).select(
         "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))).alias("word")
     )
