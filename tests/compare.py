@@ -90,7 +90,7 @@ def main() -> int:
     names = [n for n in all_names if not args or any(n == a or n.startswith(a + "*") or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
     if args and args[0].startswith("@"):
         wanted = {a[1:] for a in args}
-        names = [n for n in all_names if entry_module.queries()[n].__module__.rsplit(".", 1)[1] in wanted]
+        names = [n for n in all_names if entry_module.queries()[n].__module__.rsplit(".", 1)[-1] in wanted]
     bad = 0
     for n in names:
         start = time.time()

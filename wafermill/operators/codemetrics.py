@@ -54,6 +54,10 @@ def _compiled(batches: Iterator[pd.DataFrame], code: str) -> Iterator[pd.DataFra
     for batch in batches:
         flags, messages = [], []
         for source in batch[code]:
+            if not isinstance(source, str):
+                flags.append(False)
+                messages.append("no code")
+                continue
             try:
                 with warnings.catch_warnings():
                     warnings.simplefilter("ignore")
@@ -69,7 +73,8 @@ def _compiled(batches: Iterator[pd.DataFrame], code: str) -> Iterator[pd.DataFra
 def compile_check(files: DataFrame, key: str, code: str, key_type: str = "bigint") -> DataFrame:
     """Whether each code text parses as Python, with the message. Nothing is executed.
 
-    There is no SQL form of a Python parser, so the texts go to Python in Arrow batches.
+    There is no SQL form of a Python parser, so the texts go to Python in Arrow batches. A null
+    text does not compile.
     """
     return files.select(key, code).mapInPandas(
         lambda it: _compiled(it, code), f"{key} {key_type}, compiles boolean, message string"

@@ -40,8 +40,13 @@ def netlist_instances(lines: DataFrame, chunk: int = LINES_PER_CHUNK) -> DataFra
     rows = rows.where(F.col("line").rlike("^[A-Za-z]")).withColumn("_p", tokens(F.col("line")))
     plain = F.filter("_p", lambda p: ~F.contains(p, F.lit("=")))
     pairs = F.filter("_p", lambda p: F.contains(p, F.lit("=")))
+    # Of a parameter given twice the last one holds; a value may contain further equal signs.
+    key = lambda p: F.substring_index(p, "=", 1)
+    final = F.filter(
+        pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: key(later) == key(p))
+    )
     params = F.map_from_entries(
-        F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1), F.substring_index(p, "=", -1)))
+        F.transform(final, lambda p: F.struct(key(p), F.substr(p, F.length(key(p)) + 2)))
     )
     return rows.withColumn("_w", plain).select(
         "path",
@@ -127,17 +132,19 @@ def normalise_netlist_lines(
     return lines.withColumn("line", new)
 
 
-def device_totals(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def device_totals(edges: DataFrame) -> DataFrame:
     """Instances of every descendant below every ancestor, multiplied along the paths.
 
     Edges are ``(parent, child, n)``. Each level is one join and one aggregate that merges
     equal (ancestor, node) pairs, so shared blocks do not multiply the work. A hierarchy
-    deeper than ``max_depth`` (or a loop) is an error.
+    may have any depth; a block that holds itself is an error.
     """
     base = cut_lineage(edges.groupBy("parent", "child").agg(F.sum("n").alias("n")))
     front = base.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), "n")
     total = front
-    for _ in range(max_depth):
+    while True:
+        if not front.where(F.col("ancestor").eqNullSafe(F.col("node"))).isEmpty():
+            raise RuntimeError("loop in the hierarchy")
         step = base.select(F.col("parent").alias("node"), F.col("child").alias("_c"), F.col("n").alias("_n"))
         front = cut_lineage(
             front.join(step, "node")
@@ -147,27 +154,33 @@ def device_totals(edges: DataFrame, max_depth: int = 64) -> DataFrame:
         if front.isEmpty():
             return total.groupBy("ancestor", "node").agg(F.sum("n").alias("n"))
         total = total.union(front)
-    raise RuntimeError("hierarchy deeper than the limit, or a loop in it")
 
 
-def expand_hierarchy(edges: DataFrame, top: str, max_depth: int = 64) -> DataFrame:
-    """Every subcircuit reached from ``top`` with its path, depth and count on that path."""
+def expand_hierarchy(edges: DataFrame, top: str) -> DataFrame:
+    """Every subcircuit reached from ``top`` with its path, depth and count on that path.
+
+    The edges are written out once, as every level reads them. A hierarchy may have any depth;
+    a block that holds itself is an error.
+    """
+    edges = cut_lineage(edges)
     step = edges.select(F.col("parent").alias("_p"), "child", F.col("n").alias("_n"))
     front = edges.where(F.col("parent") == top).select(
-        F.col("child").alias("node"), F.concat(F.lit(top + "/"), F.col("child")).alias("path"), "n", F.lit(1).alias("depth")
+        F.col("child").alias("node"), F.concat(F.lit(top + "/"), F.col("child")).alias("path"), "n", F.lit(1).alias("depth"),
+        F.array(F.lit(top), "child").alias("_line"),
     )
     found = front
-    for _ in range(max_depth):
+    while True:
+        if not front.where(F.size(F.array_distinct("_line")) < F.size("_line")).isEmpty():
+            raise RuntimeError("loop in the hierarchy")
         front = cut_lineage(
             front.join(step, front["node"] == step["_p"]).select(
                 F.col("child").alias("node"), F.concat("path", F.lit("/"), F.col("child")).alias("path"),
-                (F.col("n") * F.col("_n")).alias("n"), (F.col("depth") + 1).alias("depth"),
+                (F.col("n") * F.col("_n")).alias("n"), (F.col("depth") + 1).alias("depth"), F.array_append("_line", F.col("child")).alias("_line"),
             )
         )
         if front.isEmpty():
-            return found
+            return found.drop("_line")
         found = found.union(front)
-    raise RuntimeError("hierarchy deeper than the limit, or a loop in it")
 
 
 def device_rows(devices: DataFrame, *keep: str) -> DataFrame:

@@ -72,7 +72,9 @@ def rules_long(nested: DataFrame, rules: str, *keep: str) -> DataFrame:
 
 
 def _rule_maps(rules: DataFrame) -> DataFrame:
-    return rules.groupBy("pdk", "glayer1", "glayer2").agg(
+    """Rules of a pair as a map. Of a rule given twice for a pair the larger, stricter value holds."""
+    once = rules.groupBy("pdk", "glayer1", "glayer2", "rule").agg(F.max("value").alias("value"))
+    return once.groupBy("pdk", "glayer1", "glayer2").agg(
         F.map_from_entries(F.collect_list(F.struct("rule", "value"))).alias("rules")
     )
 

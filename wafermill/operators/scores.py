@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wafermill.functions.columns import plain_float, plain_int, strip
-from wafermill.plans.attach import attach
+from wafermill.plans.attach import attach, null_safe_join
 from wafermill.plans.quantiles import exact_percentiles
 from wafermill.plans.ranks import range_rank
 
@@ -159,7 +159,7 @@ def histogram(df: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
     )
     frame = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    return frame.join(counts, [*by, "bin"], "left").select(
+    return null_safe_join(frame, counts, [*by, "bin"], "left").select(
         *by, "bin",
         (F.col("_lo") + F.col("bin") * width).alias("bin_low"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"),

@@ -23,11 +23,22 @@ def sized_small(small: DataFrame) -> tuple[DataFrame, bool]:
     return kept, seen["n"] <= BROADCAST_ROWS and seen["b"] <= BROADCAST_BYTES
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of one name, where null equals null. The keys are those of ``left``."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in on else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(renamed, same, how).drop(*[f"_right_{c}" for c in on])
+
+
 def attach(df: DataFrame, small: DataFrame, on: list[str] | Column, how: str = "inner") -> DataFrame:
     """Join ``small`` to ``df``; broadcast only after its rows have been counted.
 
     With few rows the big side stays where it is, so a hot key costs nothing. A table over
-    the limit is joined by a shuffle, where the adaptive skew join splits hot keys.
+    the limit is joined by a shuffle, where the adaptive skew join splits hot keys. Null keys
+    in ``on`` (a list of names) match each other.
     """
     kept, few = sized_small(small)
-    return df.join(F.broadcast(kept) if few else kept, on, how)
+    other = F.broadcast(kept) if few else kept
+    return null_safe_join(df, other, on, how) if isinstance(on, list) else df.join(other, on, how)

@@ -5,56 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wafermill.session import cut_lineage
+from wafermill.plans.attach import null_safe_join
+from wafermill.session import cut_lineage, written
 
 
-def _mark(edges: DataFrame) -> tuple:
+def _mark(edges: DataFrame, by: list[str]) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
+        F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)")).alias("h"),
     ).first()
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, by: list[str], max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, by: list[str]) -> DataFrame:
     """Label every node of ``edges(by..., u, v)`` with the smallest node it reaches.
 
     Returns (by..., node, label) for nodes that have an edge. Each round is two joins with
-    one row per node on one side (which the adaptive skew join can split for a hot node)
-    and partial aggregates, never a collected neighbour list. Rounds grow with the
-    logarithm of the size. Each round is checkpointed in the shared folder.
+    one row per node on one side and partial aggregates, never a collected neighbour list.
+    The small side is written out first, so that both sides of the join are plain exchanges
+    and the adaptive skew join can split a hot node. Rounds go on until nothing changes, which
+    takes about the logarithm of the size. Each round is checkpointed in the shared folder.
     """
     now = cut_lineage(
         edges.where("u <> v")
         .select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    before = _mark(now)
-    for _ in range(max_rounds):
+    before = _mark(now, by)
+    while True:
         both = now.select(*by, "u", "v").union(now.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*by, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = written(both.groupBy(*by, "u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "component-low")
         large = (
-            both.where("v > u")
-            .join(low, [*by, "u"])
+            null_safe_join(both.where("v > u"), low, [*by, "u"])
             .select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .distinct()
         )
-        low2 = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
+        large = cut_lineage(large)
+        low2 = written(large.groupBy(*by, "u").agg(F.min("v").alias("m")), "component-low")
         small = (
-            large.join(low2, [*by, "u"])
+            null_safe_join(large, low2, [*by, "u"])
             .select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .union(low2.select(*by, "u", F.col("m").alias("v")))
             .distinct()
         )
         now = cut_lineage(small)
-        after = _mark(now)
+        after = _mark(now, by)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("connected components did not settle")
     return now.select(*by, F.col("u").alias("node"), F.col("v").alias("label")).union(
         now.select(*by, F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )

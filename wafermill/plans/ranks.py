@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wafermill.plans.attach import attach
+from wafermill.plans.attach import attach, null_safe_join
 from wafermill.session import cut_lineage
 
 
@@ -31,8 +31,7 @@ def hash_rank(
     )
     inside = Window.partitionBy(*by, "_slice").orderBy(token, *ties)
     return (
-        cut.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*by, "_slice"])
+        null_safe_join(cut.withColumn("_rn", F.row_number().over(inside)), offsets, [*by, "_slice"])
         .withColumn(out, (F.col("_rn") + F.col("_before")).cast("long"))
         .drop("_slice", "_rn", "_before")
     )
@@ -98,7 +97,7 @@ def running_sums(
     local = placed
     for n, c in sums.items():
         local = local.withColumn(n, F.sum(c).over(inside))
-    joined = local.join(starts, [*by, "_part"])
+    joined = attach(local, starts, [*by, "_part"])
     for n in sums:
         joined = joined.withColumn(n, F.col(n) + F.col(f"_s_{n}"))
     return joined.drop("_part", "_pos", *[f"_s_{n}" for n in sums])

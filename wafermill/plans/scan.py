@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wafermill.plans.attach import null_safe_join
+
 LINES_PER_CHUNK = 65536
 
 
@@ -39,7 +41,7 @@ def carry_forward(
     out = cut
     for n in marks:
         out = out.withColumn(n, F.last(f"_m_{n}", ignorenulls=True).over(inside))
-    out = out.join(carried, [*by, "_chunk"])
+    out = null_safe_join(out, carried, [*by, "_chunk"])
     for n in marks:
         out = out.withColumn(n, F.coalesce(n, f"_c_{n}"))
     return out.drop("_chunk", *[f"_m_{n}" for n in marks], *[f"_c_{n}" for n in marks])

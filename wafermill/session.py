@@ -31,13 +31,16 @@ def local_session(cores: str = "8", app: str = "wafermill") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing (tests, notebooks) a fresh local folder is made
-    and set as the checkpoint folder.
+    Only in local mode a fresh local folder is made where that setting is missing (tests,
+    notebooks). On a cluster every node would write to its own disk, so that is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     context = spark.sparkContext
+    one_machine = context.master == "local" or context.master.startswith("local[")
+    if conf is None and context.getCheckpointDir() is None and not one_machine:
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(conf or tempfile.mkdtemp(prefix="wafermill-"))
     return conf or context.getCheckpointDir()
@@ -48,6 +51,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/wafermill/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: a plain scan, without the partitioning it had."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``: survives the loss of executors."""
     shared_dir(df.sparkSession)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wafermill.session import cut_lineage
+
 RESULT_SCHEMA = (
     "sample_id bigint, component_name string, success boolean, drc_pass boolean, lvs_pass boolean, "
     "execution_time double, parameters map<string,string>, output_directory string, pex_status string, "
@@ -40,8 +42,12 @@ def write_flat_csv(df: DataFrame, path: str) -> None:
 
 
 def write_training_matrix(params: DataFrame, results: DataFrame, key: str, path: str) -> None:
-    """Aligned parameter and result tables, one row per sample in each."""
-    both = params.join(results, key)
+    """Aligned parameter and result tables, one row per sample in each.
+
+    Every sample with parameters is in both; results it does not have are null. The joined rows
+    are written once and both tables come from there, so they stay aligned.
+    """
+    both = cut_lineage(params.join(results, key, "left"))
     both.select(*params.columns).write.parquet(f"{path}/params")
     both.select(key, *[c for c in results.columns if c != key]).write.parquet(f"{path}/results")
 

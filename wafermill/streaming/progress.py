@@ -45,7 +45,10 @@ def progress_stream(spark: SparkSession, path: str, by: list[str], planned: int,
     out = scratch_path(spark, "progress")
     stream = spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(path)
 
+    done: list[int] = []
+
     def keep(state: DataFrame, batch: int) -> None:
+        done.append(batch)
         state.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/state/{batch:09d}")
 
     run = (
@@ -57,9 +60,9 @@ def progress_stream(spark: SparkSession, path: str, by: list[str], planned: int,
         .start()
     )
     run.awaitTermination()
-    states = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/state")
-    last = states.agg(F.max("batch")).first()[0]
-    return states.where(F.col("batch") == last).drop("batch")
+    if not done:
+        return progress(spark.createDataFrame([], STREAM_SCHEMA), by, planned)
+    return spark.read.parquet(f"{out}/state/{max(done):09d}").drop("batch")
 
 
 def progress_rows(results: DataFrame, by: list[str], order: str, planned: int) -> DataFrame:
@@ -69,7 +72,7 @@ def progress_rows(results: DataFrame, by: list[str], order: str, planned: int) -
         results.select(*by, order, "success", spent.alias("_t")),
         by,
         [F.col(order).asc()],
-        {"completed": F.lit(1).cast("long"), "_ok": F.col("success").cast("long"), "_spent": F.col("_t")},
+        {"completed": F.lit(1).cast("long"), "_ok": F.coalesce("success", F.lit(False)).cast("long"), "_spent": F.col("_t")},
     )
     return sums.select(
         *by, order, "completed",
