@@ -10,7 +10,7 @@ from wafermill.operators import boolean, coverage, design, nets, spatial
 from wafermill.plans.attach import attach
 from wafermill.plans.components import connected_components
 from wafermill.plans.expand import numbered_rows
-from wafermill.plans.gridjoin import near_pairs
+from wafermill.plans.gridjoin import candidates, near_pairs
 from wafermill.plans.quantiles import exact_percentiles
 from wafermill.plans.ranks import hash_rank, range_rank, running_sums
 
@@ -127,17 +127,42 @@ def gap2(a, b):
     return dx * dx + dy * dy
 
 
-@pytest.mark.parametrize("share", [0.0, 0.8, 1.0])
-def test_near_pairs_equal_all_pairs(spark, share):
+def test_near_pairs_equal_all_pairs(spark):
     rows = random_shapes(300, 5, copies=0)
     df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("shape_id", "id")
-    got = {(r.a_id, r.b_id) for r in near_pairs(df, df, ["component"], 17, base_share=share).collect()}
+    got = {(r.a_id, r.b_id) for r in near_pairs(df, df, ["component"], 17).collect()}
     want = {
         (a[1], b[1]) for a in rows for b in rows
         if a[0] == b[0] and a[3] - 17 <= b[5] and a[5] + 17 >= b[3] and a[4] - 17 <= b[6] and a[6] + 17 >= b[4]
     }
     assert got == want
-    assert near_pairs(df, df, ["component"], 17, base_share=share).count() == len(want)
+    assert near_pairs(df, df, ["component"], 17).count() == len(want)
+
+
+def wires_and_squares():
+    wires = [(0, k, "l", 0, 100 * k, 1_000_000, 100 * k + 10) for k in range(400)]
+    rng = random.Random(5)
+    squares = [(0, 1000 + k, "l", x, y, x + 40, y + 40) for k in range(600) for x, y in [(rng.randrange(10**6), rng.randrange(10**6, 2 * 10**6))]]
+    return wires, squares
+
+
+def test_long_wires_meet_their_neighbours_only(spark):
+    wires, squares = wires_and_squares()
+
+    def looked_at(rows):
+        df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("shape_id", "id")
+        return candidates(df, df, ["component"], 20).count()
+
+    alone, small = looked_at(wires), looked_at(squares)
+    assert alone < 12 * len(wires) and small < 12 * len(squares)
+    assert looked_at(wires + squares) < 4 * (alone + small)
+    turned = [(c, i, layer, yl, xl, yh, xh) for c, i, layer, xl, yl, xh, yh in wires]
+    assert looked_at(turned) == alone
+
+
+def test_null_groups_meet(spark):
+    df = spark.createDataFrame([(None, 1, "l", 0, 0, 5, 5), (None, 2, "l", 5, 5, 9, 9), (1, 3, "l", 0, 0, 9, 9)], SCHEMA).withColumnRenamed("shape_id", "id")
+    assert near_pairs(df, df, ["component"]).where("a_id < b_id").count() == 1
 
 
 def test_copies_make_no_pairs_of_their_own(spark):

@@ -82,7 +82,7 @@ def nearest_neighbour(points: DataFrame, family: list[str], key: str, axes: list
         F.floor("g0").alias("xl"), F.floor("g1").alias("yl"),
         F.ceil("g0").alias("xh"), F.ceil("g1").alias("yh"),
     )
-    pairs = near_pairs(queries, targets, family, 0, coords, base_share=0.0).where("a_id <> b_id")
+    pairs = near_pairs(queries, targets, family, 0, coords).where("a_id <> b_id")
     near = pairs.groupBy(*family, F.col("a_id").alias("id")).agg(
         F.min(F.sqrt(_squared("a_c", "b_c", dims))).alias("_near")
     )

@@ -17,12 +17,22 @@ def extract_nets(shapes: DataFrame, connections: list[tuple[str, str]]) -> DataF
     The net is named by its smallest shape id.
     """
     rects = distinct_rects(shapes, ["component", "layer"])
-    pairs = near_pairs(rects, rects, ["component"], carry=["layer"]).where("a_id < b_id")
-    joined = [(a, b) for a, b in connections] + [(b, a) for a, b in connections]
-    linked = F.col("a_layer") == F.col("b_layer")
-    for a, b in dict.fromkeys(joined):
-        linked = linked | ((F.col("a_layer") == a) & (F.col("b_layer") == b))
-    edges = pairs.where(linked).select("component", F.col("a_id").alias("u"), F.col("b_id").alias("v"))
+    # Each shape is repeated for the links its layer has, so that only linked layers meet.
+    ends = [{}, {}]
+    for n, pair in enumerate(dict.fromkeys(tuple(sorted(c)) for c in connections if c[0] != c[1])):
+        for side, layer in enumerate(pair):
+            ends[side].setdefault(layer, []).append(n)
+
+    def linked(side: int) -> DataFrame:
+        links = F.array(F.lit(-1))
+        for layer, numbers in ends[side].items():
+            links = F.when(F.col("layer") == layer, F.array(*[F.lit(n) for n in [-1, *numbers]])).otherwise(links)
+        rows = rects.withColumn("_link", F.explode(links))
+        # Link -1 is the layer itself.
+        return rows.withColumn("_own", F.when(F.col("_link") == -1, F.col("layer")))
+
+    pairs = near_pairs(linked(0), linked(1), ["component", "_link", "_own"]).where("_link >= 0 OR a_id < b_id")
+    edges = pairs.select("component", F.col("a_id").alias("u"), F.col("b_id").alias("v"))
     labels = connected_components(edges, ["component"])
     named = rects.join(labels.select("component", F.col("node").alias("id"), "label"), ["component", "id"], "left")
     named = named.select("component", "layer", *BOX, F.coalesce("label", "id").alias("net"))

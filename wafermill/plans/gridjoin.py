@@ -1,10 +1,10 @@
 """Pairs of nearby rectangles as an equi-join on grid cells.
 
-A rectangle lives on the coarsest-needed level of a pyramid of grids: the first level
-whose cell is at least as wide as the grown rectangle, so it touches at most four cells.
-Smaller rectangles also probe the coarser levels that exist in the data. A chip-wide
-rectangle therefore costs four rows, not millions, and no cell is ever joined without a
-rectangle of its own size in it.
+Each axis has its own pyramid of grids. A rectangle lives, along each axis, on the first level
+whose cells are at least as long as the grown rectangle, so it touches at most two cells an
+axis, whatever its shape: a long wire has long, flat cells. Two rectangles meet on the coarser
+of their levels along each axis. So along each axis one of them is on its own level, which
+makes four cases; a rectangle is only sent to levels that rectangles of the other table have.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wafermill.plans.attach import null_safe_join
 from wafermill.session import cut_lineage
 
 BOX = ["xl", "yl", "xh", "yh"]
 
 
-def _level(grow: Column) -> Column:
-    """Smallest power of two that is at least the side of the grown rectangle."""
-    side = F.greatest(F.col("xh") - F.col("xl"), F.col("yh") - F.col("yl")) + 2 * grow
+def _level(side: Column) -> Column:
+    """Smallest power of two that is at least ``side``."""
     return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side.cast("double"), F.lit(1.0))))).cast("int")
 
 
@@ -27,14 +27,71 @@ def _floor_div(value: Column, size: Column) -> Column:
     return F.floor(value.cast("double") / size).cast("long")
 
 
-def _cells(df: DataFrame, grow: Column, level: str) -> DataFrame:
-    size = F.pow(F.lit(2.0), F.col(level)).cast("long")
-    sized = df.withColumn("_size", size)
+def _levelled(df: DataFrame) -> DataFrame:
     for axis in ("x", "y"):
-        low = _floor_div(F.col(f"{axis}l") - grow, F.col("_size"))
-        high = _floor_div(F.col(f"{axis}h") + grow, F.col("_size"))
-        sized = sized.withColumn(f"_c{axis}", F.explode(F.sequence(low, high)))
-    return sized
+        df = df.withColumn(f"_l{axis}", _level(F.col(f"{axis}h") - F.col(f"{axis}l") + 2 * F.col("_g")))
+    return df.where("_lx IS NOT NULL AND _ly IS NOT NULL")
+
+
+def _levels(df: DataFrame) -> list[tuple[int, int]]:
+    """The pairs of levels in use: at most one for each two powers of two."""
+    return sorted((r["_lx"], r["_ly"]) for r in df.select("_lx", "_ly").distinct().collect())
+
+
+def _placed(df: DataFrame, places: Column) -> DataFrame:
+    """One row for each place (case and two levels) and cell that a rectangle touches there."""
+    out = df.withColumn("_at", F.explode(places))
+    for axis in ("x", "y"):
+        size = F.pow(F.lit(2.0), F.col(f"_at.{axis}")).cast("long")
+        low = _floor_div(F.col(f"{axis}l") - F.col("_g"), size)
+        high = _floor_div(F.col(f"{axis}h") + F.col("_g"), size)
+        out = out.withColumn(f"_c{axis}", F.explode(F.sequence(low, high)))
+    return out
+
+
+def candidates(
+    a: DataFrame, b: DataFrame, by: list[str], grow: Column | int = 0, carry: list[str] | None = None
+) -> DataFrame:
+    """The pairs that share a cell, before their boxes are compared: what the join has to look at."""
+    grow = F.lit(grow) if isinstance(grow, int) else grow
+    kept = ["id", *BOX, *(carry or [])]
+    own = [*by, *kept]
+    first = cut_lineage(_levelled(a.withColumn("_g", grow.cast("long"))).select(*own, "_g", "_lx", "_ly"))
+    second = (first if a is b else b).select(*own).withColumn("_g", F.lit(0).cast("long"))
+    second = cut_lineage(_levelled(second).select(*own, "_g", "_lx", "_ly"))
+    of_a, of_b = _levels(first), _levels(second)
+
+    def array(case: int, pairs, keep) -> Column:
+        """Places of a case for which ``keep(x, y)`` holds."""
+        items = [F.struct(F.lit(case).alias("case"), F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs]
+        kind = "array<struct<case:int,x:int,y:int>>"
+        return F.filter(F.array(*items).cast(kind), lambda p: keep(p["x"], p["y"])) if items else F.array().cast(kind)
+
+    lx, ly = F.col("_lx"), F.col("_ly")
+    xs_a, ys_a = sorted({x for x, _ in of_a}), sorted({y for _, y in of_a})
+    xs_b, ys_b = sorted({x for x, _ in of_b}), sorted({y for _, y in of_b})
+    own_place = lambda case: F.array(F.struct(F.lit(case).alias("case"), lx.alias("x"), ly.alias("y")))
+    places_a = F.concat(
+        own_place(1),
+        # The other one's level along y, the own one along x, and the other way round.
+        array(2, [(x, y) for x in xs_a for y in ys_b], lambda x, y: (x == lx) & (y > ly)),
+        array(3, [(x, y) for x in xs_b for y in ys_a], lambda x, y: (x > lx) & (y == ly)),
+        array(4, of_b, lambda x, y: (x > lx) & (y > ly)),
+    )
+    places_b = F.concat(
+        array(1, of_a, lambda x, y: (x >= lx) & (y >= ly)),
+        array(2, [(x, y) for x in xs_a for y in ys_b], lambda x, y: (x >= lx) & (y == ly)),
+        array(3, [(x, y) for x in xs_b for y in ys_a], lambda x, y: (x == lx) & (y >= ly)),
+        own_place(4),
+    )
+
+    def side(df: DataFrame, tag: str, places: Column) -> DataFrame:
+        return _placed(df, places).select(
+            *by, F.col("_at.case").alias("_case"), F.col("_at.x").alias("_px"), F.col("_at.y").alias("_py"), "_cx", "_cy",
+            *[F.col(c).alias(f"{tag}_{c}") for c in [*kept, "_g"]],
+        )
+
+    return null_safe_join(side(first, "a", places_a), side(second, "b", places_b).drop("b__g"), [*by, "_case", "_px", "_py", "_cx", "_cy"])
 
 
 def near_pairs(
@@ -43,71 +100,26 @@ def near_pairs(
     by: list[str],
     grow: Column | int = 0,
     carry: list[str] | None = None,
-    base_share: float = 0.8,
 ) -> DataFrame:
     """All (a, b) in the same ``by`` whose boxes touch once ``a`` is grown by ``grow``.
 
     Inputs carry ``by``, ``id``, ``xl``, ``yl``, ``xh``, ``yh``; ``grow`` may be a column
     of ``a``. Output has ``by``, ``a_id``, ``a_xl``.. and ``b_id``, ``b_xl``... A pair is
     kept only in the cell that holds the lower-left corner of the common box, so no
-    ``distinct`` is needed. Columns named in ``carry`` come along from both sides.
-
-    The lowest level is the one that fits ``base_share`` of the rectangles; 0 keeps every
-    level, which suits boxes whose sizes follow the local density. The inputs are written
-    out once, since the level count and both sides of the join read them.
+    ``distinct`` is needed. Columns named in ``carry`` come along from both sides. Null groups
+    match each other. The inputs are written out once, since the levels and the join read them.
     """
-    grow = F.lit(grow) if isinstance(grow, int) else grow
-    kept = ["id", *BOX, *(carry or [])]
-    own = [*by, *kept]
-    first = cut_lineage(a.withColumn("_g", grow.cast("long")).select(*own, "_g"))
-    second = first if a is b else cut_lineage(b.select(*own))
-    left = first.withColumn("_lv", _level(F.col("_g")))
-    right = second.select(*own).withColumn("_g", F.lit(0).cast("long")).withColumn("_lv", _level(F.lit(0)))
-    counted = left.select("_lv").union(right.select("_lv")).where("_lv IS NOT NULL").groupBy("_lv").count()
-    # At most one row per power of two comes to the driver.
-    sizes = sorted((r["_lv"], r["count"]) for r in counted.collect())
-    total, seen, base = sum(n for _, n in sizes), 0, 0
-    for level, n in sizes:
-        seen += n
-        if seen >= base_share * total:
-            base = level
-            break
-    base = base if base_share > 0 else (sizes[0][0] if sizes else 0)
-    levels = sorted({max(level, base) for level, _ in sizes}) or [0]
-    left = left.withColumn("_lv", F.greatest("_lv", F.lit(base)))
-    right = right.withColumn("_lv", F.greatest("_lv", F.lit(base)))
-
-    def placed(df: DataFrame, include_own: bool, include_coarser: bool) -> DataFrame:
-        at = F.filter(
-            F.array(*[F.lit(v) for v in levels]),
-            lambda v: ((v == F.col("_lv")) & F.lit(include_own)) | ((v > F.col("_lv")) & F.lit(include_coarser)),
-        )
-        return _cells(df.withColumn("_at", F.explode(at)), F.col("_g"), "_at")
-
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(
-            *by, "_at", "_cx", "_cy", "_size",
-            *[F.col(c).alias(f"{tag}_{c}") for c in [*kept, "_g"]],
+    pairs = candidates(a, b, by, grow, carry)
+    g = F.col("a__g")
+    for axis in ("x", "y"):
+        size = F.pow(F.lit(2.0), F.col(f"_p{axis}")).cast("long")
+        low, high = F.col(f"a_{axis}l") - g, F.col(f"a_{axis}h") + g
+        pairs = pairs.where(
+            (low <= F.col(f"b_{axis}h"))
+            & (high >= F.col(f"b_{axis}l"))
+            & (_floor_div(F.greatest(low, F.col(f"b_{axis}l")), size) == F.col(f"_c{axis}"))
         )
-
-    keys = [*by, "_at", "_cx", "_cy"]
-
-    def joined(l: DataFrame, r: DataFrame) -> DataFrame:
-        g = F.col("a__g")
-        pairs = side(l, "a").join(side(r, "b").drop("_size", "b__g"), keys)
-        for axis in ("x", "y"):
-            low, high = F.col(f"a_{axis}l") - g, F.col(f"a_{axis}h") + g
-            pairs = pairs.where(
-                (low <= F.col(f"b_{axis}h"))
-                & (high >= F.col(f"b_{axis}l"))
-                & (_floor_div(F.greatest(low, F.col(f"b_{axis}l")), F.col("_size")) == F.col(f"_c{axis}"))
-            )
-        return pairs.select(*by, *[f"{t}_{c}" for t in ("a", "b") for c in kept])
-
-    pairs = joined(placed(left, True, False), placed(right, True, True))
-    if len(levels) > 1:
-        pairs = pairs.union(joined(placed(left, False, True), placed(right, True, False)))
-    return pairs
+    return pairs.select(*by, *[f"{t}_{c}" for t in ("a", "b") for c in ["id", *BOX, *(carry or [])]])
 
 
 def gap_squared() -> Column:
