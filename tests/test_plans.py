@@ -160,6 +160,18 @@ def test_long_wires_meet_their_neighbours_only(spark):
     assert looked_at(turned) == alone
 
 
+def test_large_shapes_make_few_pieces(spark):
+    rows = [(0, 1, "l", 0, 0, 10**6, 10**6), (0, 2, "l", 10**6, 0, 2 * 10**6, 10**6), (None, 3, "l", -5, -5, 10**9, 10**9)]
+    pieces = boolean.layer_or(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(rows[:1], SCHEMA), ["component"]).collect()
+    assert len(pieces) <= 6
+    assert sum((r.xh - r.xl) * (r.yh - r.yl) for r in pieces) == 2 * 10**12 + (10**9 + 5) ** 2
+    wires, squares = wires_and_squares()
+    cover = (0, 9, "l", -100, -100, 3 * 10**6, 3 * 10**6)
+    pieces = boolean.layer_or(spark.createDataFrame(wires + squares + [cover], SCHEMA), spark.createDataFrame([], SCHEMA), ["component"])
+    assert pieces.agg(F.sum((F.col("xh") - F.col("xl")) * (F.col("yh") - F.col("yl")))).first()[0] == (3 * 10**6 + 100) ** 2
+    assert pieces.count() < 20 * (len(wires) + len(squares))
+
+
 def test_null_groups_meet(spark):
     df = spark.createDataFrame([(None, 1, "l", 0, 0, 5, 5), (None, 2, "l", 5, 5, 9, 9), (1, 3, "l", 0, 0, 9, 9)], SCHEMA).withColumnRenamed("shape_id", "id")
     assert near_pairs(df, df, ["component"]).where("a_id < b_id").count() == 1
@@ -202,7 +214,8 @@ def test_boolean_layers_equal_raster(spark, op):
     want = {"or": ga | gb, "and": ga & gb, "not": ga & ~gb, "xor": ga ^ gb}[op].sum()
     da, db = spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)
     assert area(boolean.boolean_rects(da, db, ["component"], op)) == want
-    assert area(boolean.boolean_rects(da, db, ["component"], op, tile=97)) == want
+    assert area(boolean.boolean_rects(da, db, ["component"], op, per_tile=5)) == want
+    assert area(boolean.boolean_rects(da, db, ["component"], op, per_tile=10**6)) == want
 
 
 def test_shrink_and_wide_parts_equal_raster(spark):

@@ -1,9 +1,11 @@
 """Boolean combination of rectangle layers by tiles and slabs.
 
-Rectangles are cut at the borders of square tiles. In a tile the distinct x edges make
-slabs, and in a slab the y edges are swept with a running depth for each side. A tile of
-t units has at most t + 1 distinct edges per axis, however many rectangles lie in it, so
-every window below has a fixed upper size; equal edges are summed before the shuffle.
+Tiles follow the data, not a unit of length: their borders are rectangle edges picked by digest,
+about as many along each axis as make PER_TILE rectangles a tile if they were spread evenly. One
+rectangle alone is one tile, however large it is; a rectangle as long as the chip spans as many
+tiles as there are borders, which is the root of the number of rectangles. In a tile the
+distinct x edges make slabs, and in a slab the y edges are swept with a running depth for each
+side. Equal edges are summed before the shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = 256
+from wafermill.plans.attach import attach, null_safe_join
+from wafermill.session import cut_lineage
+
+PER_TILE = 64
+#: Stands for the open end of the first and the last tile.
+FAR = 2**60
 BOX = ["xl", "yl", "xh", "yh"]
 
 OPERATIONS = {
@@ -22,35 +29,63 @@ OPERATIONS = {
 }
 
 
-def _tile_range(low: Column, high: Column, tile: int, halo: int) -> Column:
-    first = F.floor((low - halo) / tile)
-    last = F.floor((high + halo - 1) / tile)
-    return F.explode(F.sequence(first, last))
-
+def tile_borders(rects: DataFrame, by: list[str], per_tile: int = PER_TILE) -> DataFrame:
+    """Sorted tile borders ``_bx`` and ``_by`` of every group.
 
-def slab_intervals(sides: DataFrame, by: list[str], op: str, tile: int = TILE, halo: int = 0) -> DataFrame:
+    An edge is a border if its digest falls into one of as many classes as leave about
+    sqrt(rectangles / ``per_tile``) of the distinct edges of an axis; groups up to ``per_tile``
+    rectangles have none.
+    """
+    edges = rects.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(axis).alias("axis"), F.col(f"{axis}{end}").alias("v")) for axis in ("x", "y") for end in ("l", "h")
+    ])).alias("e")).select(*by, "e.*")
+    on = lambda axis: F.when(F.col("axis") == axis, F.col("v"))
+    sizes = edges.groupBy(*by).agg(
+        (F.count(F.lit(1)) / 4).alias("_n"), *[F.approx_count_distinct(on(axis)).alias(f"_d{axis}") for axis in ("x", "y")]
+    ).where(F.col("_n") > per_tile)
+    wanted = F.sqrt(F.col("_n") / F.lit(float(per_tile)))
+    classes = F.ceil(F.when(F.col("axis") == "x", F.col("_dx")).otherwise(F.col("_dy")) / wanted).cast("long")
+    picked = attach(edges, sizes, by).where(F.pmod(F.xxhash64("v"), classes) == 0)
+    return picked.groupBy(*by).agg(*[
+        F.sort_array(F.collect_set(on(axis))).alias(f"_b{axis}") for axis in ("x", "y")
+    ])
+
+
+def _tiles(borders: Column, low: Column, high: Column) -> Column:
+    """Numbers of the tiles that [low, high) touches."""
+    first = F.size(F.filter(borders, lambda v: v <= low))
+    return F.explode(F.sequence(first, F.greatest(first, F.size(F.filter(borders, lambda v: v < high)))))
+
+
+def slab_intervals(sides: DataFrame, by: list[str], op: str, halo: int = 0, per_tile: int = PER_TILE) -> DataFrame:
     """Maximal y intervals of the combined layers in every slab of every tile.
 
     ``sides`` has ``by``, the box, and ``a``/``b`` with 1 on the side a rectangle is on.
     With ``halo`` a tile also sees that far beyond its lower and upper border, so an
     interval that starts in the tile is either whole or longer than the halo.
-    Output: by, ty, xl, xh (slab), yl, yh.
+    Output: by, _y0, _y1 (range of the tile), xl, xh (slab), yl, yh.
     """
     cut = sides.where("xl < xh AND yl < yh").select(*by, *BOX, "a", "b")
-    cut = cut.withColumn("tx", _tile_range(F.col("xl"), F.col("xh"), tile, 0))
-    cut = cut.withColumn("ty", _tile_range(F.col("yl"), F.col("yh"), tile, halo))
-    x0, y0 = F.col("tx") * tile, F.col("ty") * tile
+    cut = cut_lineage(cut.groupBy(*by, *BOX).agg(F.max("a").alias("a"), F.max("b").alias("b")))
+    none = F.array().cast("array<bigint>")
+    cut = attach(cut, tile_borders(cut, by, per_tile), by, "left")
+    cut = cut.withColumn("_bx", F.coalesce("_bx", none)).withColumn("_by", F.coalesce("_by", none))
+    cut = cut.withColumn("tx", _tiles(F.col("_bx"), F.col("xl"), F.col("xh")))
+    cut = cut.withColumn("ty", _tiles(F.col("_by"), F.col("yl") - halo, F.col("yh") + halo))
+    border = lambda name, i, end: F.coalesce(F.try_element_at(name, F.when(i > 0, i)), F.lit(end).cast("long"))
+    x0, x1 = border(F.col("_bx"), F.col("tx"), -FAR), border(F.col("_bx"), F.col("tx") + 1, FAR)
+    y0, y1 = border(F.col("_by"), F.col("ty"), -FAR), border(F.col("_by"), F.col("ty") + 1, FAR)
     cut = cut.select(
-        *by, "tx", "ty", "a", "b",
+        *by, "tx", "ty", "a", "b", y0.alias("_y0"), y1.alias("_y1"),
         F.greatest("xl", x0).alias("xl"), F.greatest("yl", y0 - halo).alias("yl"),
-        F.least("xh", x0 + tile).alias("xh"), F.least("yh", y0 + tile + halo).alias("yh"),
+        F.least("xh", x1).alias("xh"), F.least("yh", y1 + halo).alias("yh"),
     )
-    place = [*by, "tx", "ty"]
+    place = [*by, "tx", "ty", "_y0", "_y1"]
     cut = cut.groupBy(*place, *BOX).agg(F.max("a").alias("a"), F.max("b").alias("b"))
     edges = cut.select(*place, F.explode(F.array("xl", "xh")).alias("x")).groupBy(*place).agg(
         F.sort_array(F.collect_set("x")).alias("xs")
     )
-    spread = cut.join(edges, place)
+    spread = null_safe_join(cut, edges, place)
     first, last = F.array_position("xs", F.col("xl")), F.array_position("xs", F.col("xh"))
     spread = spread.withColumn("i", F.explode(F.sequence(first, last - 1)))
     slab = spread.select(
@@ -68,7 +103,7 @@ def slab_intervals(sides: DataFrame, by: list[str], op: str, tile: int = TILE, h
     state = steps.withColumn("on", on).withColumn("was", F.lag("on", 1, False).over(w))
     turns = state.where("on <> was").withColumn("end", F.lead("y").over(w)).where("on")
     return turns.select(
-        *by, "ty", F.col("x0").alias("xl"), F.col("y").alias("yl"), F.col("x1").alias("xh"), F.col("end").alias("yh")
+        *by, "_y0", "_y1", F.col("x0").alias("xl"), F.col("y").alias("yl"), F.col("x1").alias("xh"), F.col("end").alias("yh")
     )
 
 
@@ -80,18 +115,18 @@ def two_sides(a: DataFrame, b: DataFrame | None, by: list[str]) -> DataFrame:
     return left.union(b.select(*by, *BOX, F.lit(0).alias("a"), F.lit(1).alias("b")))
 
 
-def boolean_rects(a: DataFrame, b: DataFrame | None, by: list[str], op: str, tile: int = TILE) -> DataFrame:
+def boolean_rects(a: DataFrame, b: DataFrame | None, by: list[str], op: str, per_tile: int = PER_TILE) -> DataFrame:
     """Disjoint rectangles that cover exactly ``a op b`` (or, and, not, xor)."""
-    return slab_intervals(two_sides(a, b, by), by, op, tile).select(*by, *BOX)
+    return slab_intervals(two_sides(a, b, by), by, op, 0, per_tile).select(*by, *BOX)
 
 
 def rect_area() -> Column:
     return (F.col("xh") - F.col("xl")) * (F.col("yh") - F.col("yl"))
 
 
-def merged_area(shapes: DataFrame, by: list[str], tile: int = TILE) -> DataFrame:
+def merged_area(shapes: DataFrame, by: list[str], per_tile: int = PER_TILE) -> DataFrame:
     """Area of the union per group."""
-    return boolean_rects(shapes, None, by, "or", tile).groupBy(*by).agg(F.sum(rect_area()).alias("area"))
+    return boolean_rects(shapes, None, by, "or", per_tile).groupBy(*by).agg(F.sum(rect_area()).alias("area"))
 
 
 def layer_and(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wafermill.operators.boolean import BOX, TILE, boolean_rects, rect_area, slab_intervals, two_sides
+from wafermill.operators.boolean import BOX, boolean_rects, rect_area, slab_intervals, two_sides
 from wafermill.plans.attach import attach
 from wafermill.plans.components import connected_components
 from wafermill.plans.expand import numbered_rows
@@ -37,15 +37,13 @@ def _runs(shapes: DataFrame, by: list[str], reach: int, gaps: bool, limit: Colum
     found = []
     for direction in ("y", "x"):
         turned = shapes if direction == "y" else _swap(shapes)
-        runs = slab_intervals(two_sides(turned, None, by), by, "or", TILE, reach)
+        runs = slab_intervals(two_sides(turned, None, by), by, "or", reach)
         if gaps:
-            from pyspark.sql import Window
-
-            line = Window.partitionBy(*by, "ty", "xl", "xh").orderBy("yl")
+            line = Window.partitionBy(*by, "_y0", "_y1", "xl", "xh").orderBy("yl")
             runs = runs.withColumn("_next", F.lead("yl").over(line)).where("_next IS NOT NULL")
             runs = runs.withColumn("yl", F.col("yh")).withColumn("yh", F.col("_next")).drop("_next")
-        own = F.floor(F.col("yl") / TILE) == F.col("ty")
-        short = runs.where(own & (F.col("yh") - F.col("yl") < limit)).drop("ty")
+        own = (F.col("yl") >= F.col("_y0")) & (F.col("yl") < F.col("_y1"))
+        short = runs.where(own & (F.col("yh") - F.col("yl") < limit)).drop("_y0", "_y1")
         back = short if direction == "y" else _swap(short).select(*short.columns)
         found.append(back.select(*by, *BOX, F.lit(direction).alias("direction")))
     return found[0].union(found[1])
@@ -178,10 +176,9 @@ def _shrink_y(shapes: DataFrame, by: list[str], d: int) -> DataFrame:
 
     A tile sees ``d`` beyond its borders, so the part of the result inside it is exact.
     """
-    runs = slab_intervals(two_sides(shapes, None, by), by, "or", TILE, d)
-    low, high = F.col("ty") * TILE, F.col("ty") * TILE + TILE
+    runs = slab_intervals(two_sides(shapes, None, by), by, "or", d)
     return runs.select(
-        *by, "xl", F.greatest(F.col("yl") + d, low).alias("yl"), "xh", F.least(F.col("yh") - d, high).alias("yh")
+        *by, "xl", F.greatest(F.col("yl") + d, F.col("_y0")).alias("yl"), "xh", F.least(F.col("yh") - d, F.col("_y1")).alias("yh")
     ).where("yl < yh")
 
 
