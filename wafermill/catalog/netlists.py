@@ -152,8 +152,8 @@ def _(spark, sf):
 
 
 WIRES = """
-SELECT l_suppkey AS netlist, concat('i', l_partkey % 97, '.', l_linenumber) AS pin_a, concat('i', l_orderkey % 101, '.', l_linenumber % 3) AS pin_b
-FROM {lineitem} WHERE l_linenumber > 1 AND l_returnflag = 'R'
+SELECT l_suppkey AS netlist, concat('i', l_partkey % 997, '.', l_linenumber) AS pin_a, concat('i', l_orderkey % 1009, '.', l_linenumber % 7) AS pin_b
+FROM {lineitem}
 """
 
 

@@ -125,12 +125,14 @@ PARTS = ["resistance_score", "capacitance_score", "symmetry_score", "verificatio
 @query(
     "final_score_rank",
     with_views("results")[:-1] + "," + SCORE_SQL + """
-, fin AS (SELECT sample_id, pcell, round(CASE WHEN verification_score = 0 THEN 0 ELSE resistance_score + capacitance_score + symmetry_score + verification_score END, 9) AS final_score FROM scored)
+, fin AS (SELECT sample_id, pcell, """ + ", ".join(
+        f"round(CASE WHEN verification_score = 0 THEN 0 ELSE {p} END, 9) AS {p}" for p in ("resistance_score", "capacitance_score", "symmetry_score", "verification_score")
+    ) + """, round(CASE WHEN verification_score = 0 THEN 0 ELSE resistance_score + capacitance_score + symmetry_score + verification_score END, 9) AS final_score FROM scored)
 SELECT *, row_number() OVER (PARTITION BY pcell ORDER BY final_score DESC NULLS LAST, sample_id) AS rank FROM fin""",
 )
 def _(spark, sf):
     return scores.final_score_rank(_scored(spark, sf), ["pcell"], "sample_id", PARTS, 9).select(
-        "sample_id", "pcell", "final_score", "rank"
+        "sample_id", "pcell", *[F.round(p, 9).alias(p) for p in PARTS], "final_score", "rank"
     )
 
 

@@ -126,8 +126,8 @@ def _(spark, sf):
     "progress_eta",
     with_views("results") + """
 SELECT pcell, count(*) AS processed, round(CAST(sum(CAST(execution_time AS DECIMAL(24,6))) AS DOUBLE) / count(*), 6) AS avg_seconds,
-       round((1000000 - count(*)) * CAST(sum(CAST(execution_time AS DECIMAL(24,6))) AS DOUBLE) / count(*), 6) AS eta_seconds FROM results WHERE success GROUP BY pcell""",
+       round((1000000 - count(*)) * CAST(sum(CAST(execution_time AS DECIMAL(24,6))) AS DOUBLE) / count(*), 6) AS eta_seconds FROM results GROUP BY pcell""",
 )
 def _(spark, sf):
-    rows = view(spark, sf, "results").where("success").withColumn("planned", F.lit(1000000).cast("long"))
+    rows = view(spark, sf, "results").withColumn("planned", F.lit(1000000).cast("long"))
     return training.progress_eta(rows, ["pcell"], "execution_time", "planned")

@@ -98,17 +98,18 @@ def symmetry_and_verification_score(results: DataFrame, threshold: float = 50.0)
 def final_score_rank(
     scored: DataFrame, by: list[str], key: str, parts: list[str], digits: int | None = None
 ) -> DataFrame:
-    """Sum of the part scores, zeroed when verification is 0, and the rank within ``by``.
+    """Part scores and their sum, all zeroed when verification is 0, and the rank within ``by``.
 
     Ties go to the smaller ``key``; ``digits`` rounds the score before it is ranked. The
-    result has ``by``, ``key``, the score and the rank only, as the ranked rows are written
-    out once; join other columns back by ``key``. The rank is a global range sort, so a family with a
+    result has ``by``, ``key``, the parts, the score and the rank only, as the ranked rows are
+    written out once; join other columns back by ``key``. The rank is a global range sort, so a family with a
     third of all designs is ranked by many tasks.
     """
     total = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
     hard_stop = F.col("verification_score") == 0
     score = F.when(hard_stop, 0.0).otherwise(total)
-    summed = scored.select(*by, key, (score if digits is None else F.round(score, digits)).alias("final_score"))
+    kept = [F.when(hard_stop, 0.0).otherwise(F.col(p)).alias(p) for p in parts]
+    summed = scored.select(*by, key, *kept, (score if digits is None else F.round(score, digits)).alias("final_score"))
     return range_rank(summed, by, [F.col("final_score").desc_nulls_last(), F.col(key).asc()], "rank")
 
 
