@@ -100,3 +100,11 @@ def test_t_tail_with_many_degrees():
 
 def test_shared_folder_is_read_from_the_session(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_json_texts_are_whole(spark):
+    from wafermill.functions.columns import is_whole_json
+
+    texts = {'{"a": 1}': True, '[1, 2]': True, '{"a": 1}\n{"b": 2}': False, '{"a": 1} x': False, '{"a": 1': False, "1],[2": False, "1,2": False, '1,"z":0} x': False, "": False}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.coalesce(is_whole_json(F.col("t")), F.lit(False)).alias("ok"))
+    assert {r["t"]: r["ok"] for r in got.collect()} == texts

@@ -132,46 +132,39 @@ def _fenced_lines(spark, sf):
     )
 
 
-# A block without an end is given up when another fenced event of the same file follows.
+# A block without an end (kind 6) reaches to the next fence: it is given up if that opens a block,
+# and takes in all lines before it if that is the stray end of kind 3, or the end of the file.
 FENCED_KINDS = """
-, k AS (SELECT *, max(CASE WHEN kind IN (0, 1, 5, 6) THEN event_id END) OVER (PARTITION BY path ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later,
+, k AS (SELECT *, last_value(CASE WHEN kind IN (0, 1, 3, 5, 6) THEN kind END IGNORE NULLS)
+               OVER (PARTITION BY path ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+        first_value(CASE WHEN kind IN (0, 1, 3, 5, 6) THEN kind END IGNORE NULLS)
+               OVER (PARTITION BY path ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after,
         max(event_id) OVER (PARTITION BY path) AS last_event FROM fenced)
 """
 
 
 @query(
     "read_fenced_json",
-    with_views("fenced") + """
+    with_views("fenced").rstrip() + FENCED_KINDS + """
 SELECT path, CASE kind WHEN 0 THEN 'block' WHEN 2 THEN 'inline' ELSE 'unterminated' END AS kind, concat('é', user_id, '.py') AS filename, event_type AS issue
-FROM fenced f WHERE kind IN (0, 2) OR (kind = 6 AND event_id = (SELECT max(event_id) FROM fenced g WHERE g.path = f.path))""",
+FROM k WHERE kind = 0 OR (kind = 2 AND before IS DISTINCT FROM 6) OR (kind = 6 AND event_id = last_event)""",
 )
 def _(spark, sf):
-    # Keep only the last event of kind 6 in a file; others would swallow what follows.
-    lines = _fenced_lines(spark, sf)
-    path = written(spark, "fenced", _single_tail(lines), "path")
+    path = written(spark, "fenced", _fenced_lines(spark, sf), "path")
     got = text.read_fenced_json(spark, path, "filename string, issue string")
     return got.select(bucket_of("path").alias("path"), "kind", "item.filename", "item.issue")
 
 
-def _single_tail(lines):
-    event = F.floor(F.col("line_no") / 8)
-    last = lines.groupBy("path").agg(F.max(event).alias("_last"))
-    opens = lines.where(F.col("line") == "```json").select("path", event.alias("_event"))
-    closed = lines.where(F.col("line") == "```").select("path", event.alias("_event"))
-    open_only = opens.join(closed, ["path", "_event"], "left_anti").distinct()
-    stray = open_only.join(last, "path").where("_event < _last").select("path", "_event")
-    return lines.withColumn("_event", event).join(stray, ["path", "_event"], "left_anti").drop("_event")
-
-
 @query(
     "quarantine_bad_json",
-    with_views("fenced") + """
-SELECT path, CASE kind WHEN 1 THEN 'block' ELSE 'inline' END AS kind, count(*) AS bad FROM fenced WHERE kind IN (1, 3) GROUP BY 1, 2""",
+    with_views("fenced").rstrip() + FENCED_KINDS + """
+SELECT path, CASE WHEN kind = 1 OR (kind = 3 AND before = 6) THEN 'block' WHEN kind = 3 THEN 'inline' ELSE 'unterminated' END AS kind, count(*) AS bad
+FROM k WHERE kind IN (1, 3) OR (kind = 6 AND after IS NULL AND event_id < last_event) GROUP BY 1, 2""",
 )
 def _(spark, sf):
     from wafermill.operators.training import quarantine_bad_json
 
-    found = text.fenced_json_texts(_single_tail(_fenced_lines(spark, sf)))
+    found = text.fenced_json_texts(_fenced_lines(spark, sf))
     return quarantine_bad_json(found).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("bad"))
 
 

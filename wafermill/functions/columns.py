@@ -38,3 +38,14 @@ def strip(text: Column | str) -> Column:
 def tokens(text: Column) -> Column:
     """Parts between runs of white space, without empty ones."""
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+
+
+def is_whole_json(text: Column) -> Column:
+    """Is the text one JSON value and nothing else? The parser alone stops after the first value.
+
+    The text must still parse as the only item of a list and as a member followed by another.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit(',"z":0}')))
+    one = F.try_parse_json(text).isNotNull() & listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return one & F.coalesce(F.try_variant_get(member, "$.z", "int") == 0, F.lit(False))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wafermill.functions.columns import plain_float, strip, tokens
+from wafermill.functions.columns import is_whole_json, plain_float, strip, tokens
 from wafermill.plans.scan import LINES_PER_CHUNK, carry_forward
 from wafermill.session import cut_lineage
 
@@ -100,7 +100,7 @@ def fenced_json_texts(lines: DataFrame, trim_body: bool = False, chunk: int = LI
     inline = rows.where(F.col("block").isNull() & F.col("_t").startswith("{")).select(
         "path", "line_no", F.lit("inline").alias("kind"), F.col("_t").alias("text")
     )
-    return blocks.union(inline).withColumn("ok", F.try_parse_json("text").isNotNull())
+    return blocks.union(inline).withColumn("ok", F.coalesce(is_whole_json(F.col("text")), F.lit(False)))
 
 
 def read_fenced_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
