@@ -245,16 +245,16 @@ def _(spark, sf):
     return got.withColumn("fingers", F.array_join("fingers", ",")).withColumn("multipliers", F.array_join("multipliers", ","))
 
 
-@query(
-    "params_to_vector",
-    "SELECT o_orderkey, CAST(o_orderkey % 10 + 1 AS DOUBLE) AS first, CAST(o_orderkey % 3 AS DOUBLE) AS ratio, CAST(o_custkey AS DOUBLE) AS last, CAST(18 AS INTEGER) AS n FROM orders",
-)
+# The 18 values of a sweep row in the order of the vector, as SQL over orders.
+_FIRST, _HALF, _LAST = "CAST(o_orderkey % 10 + 1 AS DOUBLE)", "CAST(o_orderkey % 10 + 1 AS DOUBLE) / 2", "CAST(o_custkey AS DOUBLE)"
+SWEEP_SQL = [
+    *[_FIRST, _HALF] * 4, "CAST(o_orderkey % 3 AS DOUBLE)", _FIRST, _HALF, _FIRST, _FIRST, _FIRST, _LAST, _FIRST, _FIRST, _LAST,
+]
+
+
+@query("params_to_vector", f"SELECT o_orderkey, [{', '.join(SWEEP_SQL)}] AS params FROM orders")
 def _(spark, sf):
-    got = design.params_to_vector(_sweep_rows(spark, sf))
-    return got.select(
-        "o_orderkey", F.col("params")[0].alias("first"), F.col("params")[8].alias("ratio"),
-        F.col("params")[17].alias("last"), F.size("params").alias("n"),
-    )
+    return design.params_to_vector(_sweep_rows(spark, sf)).select("o_orderkey", "params")
 
 
 def _sweep_rows(spark, sf):
@@ -268,10 +268,19 @@ def _sweep_rows(spark, sf):
     )
 
 
+_MISSING = "CAST(-987.654321 AS DOUBLE)"
+_BACK = [f"CASE WHEN o_orderkey % 10 = 0 THEN {_MISSING} ELSE {v} END" for v in SWEEP_SQL]
+
+
 @query(
     "vector_to_params",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN CAST(-987.654321 AS DOUBLE) ELSE o_orderkey % 10 + 1 END AS width, CASE WHEN o_orderkey % 10 = 0 THEN -987 ELSE CAST(o_orderkey % 3 AS INTEGER) END AS ratio,
-       CASE WHEN o_orderkey % 10 = 0 THEN CAST(-987.654321 AS DOUBLE) ELSE o_custkey END AS bias, CAST(o_orderkey % 7 AS DOUBLE) AS ugb, CAST(-987.654321 AS DOUBLE) AS noise FROM orders""",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN -987 ELSE CAST(o_orderkey % 3 AS INTEGER) END AS ratio, "
+    + ", ".join(f"[{', '.join(_BACK[i:j])}] AS {n}" for n, i, j in [
+        ("input_pair_params", 0, 2), ("fvf_shunt_params", 2, 4), ("local_current_bias_params", 4, 6), ("diff_pair_load_params", 6, 8),
+        ("current_mirror_params", 9, 11), ("resistor_params", 11, 15), ("global_current_bias_params", 15, 18),
+    ])
+    + ", " + ", ".join(f'{"CAST(o_orderkey % 7 AS DOUBLE)" if n == "ugb" else _MISSING} AS "{n}"' for n in design.RESULT_NAMES)
+    + " FROM orders",
 )
 def _(spark, sf):
     vectors = design.params_to_vector(_sweep_rows(spark, sf))
@@ -279,11 +288,7 @@ def _(spark, sf):
     named = vectors.select("*", *[
         (F.col("o_orderkey") % 7 if n == "ugb" else F.lit(None)).cast("double").alias(n) for n in design.RESULT_NAMES
     ])
-    got = design.vector_to_results(design.results_to_vector(design.vector_to_params(named, "params")), "results")
-    return got.select(
-        "o_orderkey", F.col("input_pair_params")[0].alias("width"), "ratio",
-        F.col("global_current_bias_params")[2].alias("bias"), "ugb", "noise",
-    )
+    return design.vector_to_results(design.results_to_vector(design.vector_to_params(named, "params")), "results")
 
 
 VIEWS["samples"] = """
