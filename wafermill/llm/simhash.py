@@ -32,8 +32,8 @@ TREE_SAMPLE = 8192
 #: distances do not split, is cut into blocks); size from which distances are taken without
 #: splitting further.
 LEAF, MOST, SMALL = 32768, 131072, 1024
-#: A split is worth it if at most this share of the points lies at its inner boundary.
-WORTH = 0.6
+#: A split is worth it if at most this share of the points would have to visit both sides.
+WORTH = 0.8
 
 
 #: Odd numbers that turn a shingle's hash into further hashes, for fingerprints over 64 bits.
@@ -152,12 +152,13 @@ def _split(points: np.ndarray, radius: int) -> tuple[np.uint64, int] | None:
         below = np.cumsum(np.bincount(np.bitwise_count(points ^ v), minlength=65))
         for cut in range(64):
             small = min(below[cut], len(points) - below[cut])
-            edge = below[cut] - (below[cut - radius] if cut >= radius else 0)
-            key = (small * 3 < len(points), edge if small * 3 >= len(points) else -small, cut)
+            # Points whose ball reaches over the boundary have to visit both sides.
+            both = below[min(cut + radius, 64)] - (below[cut - radius] if cut >= radius else 0)
+            key = (small * 3 < len(points), both if small * 3 >= len(points) else -small, cut)
             if best is None or key < best[0]:
-                best = (key, v, cut, edge, small)
-    _, v, cut, edge, small = best
-    return (v, cut) if small and edge <= WORTH * len(points) else None
+                best = (key, v, cut, both, small)
+    _, v, cut, both, small = best
+    return (v, cut) if small and both <= WORTH * len(points) else None
 
 
 @dataclass
