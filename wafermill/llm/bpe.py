@@ -26,7 +26,7 @@ from wafermill.llm.common import slices
 #: Stands for "the piece ends here" inside the automaton; no byte symbol maps to it.
 END = "￿"
 #: Pieces and pairs that one worker remembers before it starts anew. Results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -72,7 +72,7 @@ class PrefixEncoder:
         """May ``token`` directly follow ``before`` (-1: start of the piece)?"""
         parts = self._merged([*(self.symbols[before] if before >= 0 else []), *self.symbols[token]])
         known = [self.vocab.get(p) for p in parts] == ([before, token] if before >= 0 else [token])
-        if len(self.pairs) >= 4 * REMEMBERED:
+        if len(self.pairs) >= 5 * REMEMBERED:
             self.pairs.clear()
         self.pairs[before << 20 | token] = known
         return known
@@ -109,7 +109,7 @@ class PrefixEncoder:
 class Remembered(dict):
     """A bounded memory of a function of strings: two generations, the older one goes when full."""
 
-    def __init__(self, make, most: int = REMEMBERED):
+    def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 
@@ -146,7 +146,7 @@ class TextCodec:
     other text goes through the library's parts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -154,8 +154,8 @@ class TextCodec:
         self.parts = Tokenizer.from_file(path)
         self.encoder = PrefixEncoder(spec)
         self.symbols = byte_symbols()
-        self.pieces = Remembered(self._piece)
-        self.chunks = Remembered(self._chunk)
+        self.pieces = Remembered(self._piece, remembered)
+        self.chunks = Remembered(self._chunk, remembered)
         self.tokens = {i: t for t, i in spec["model"]["vocab"].items()}
         self.tokens |= {t["id"]: t["content"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):

@@ -34,7 +34,7 @@ def discard(*kept: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``most`` bytes of ``column``, or one row."""
     start = size = 0
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -44,7 +44,7 @@ class LibraryCodec(TextCodec):
 
 @lru_cache(maxsize=2)
 def library_codec(path: str) -> LibraryCodec:
-    return LibraryCodec(path)
+    return LibraryCodec(path, 400_000)
 
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
