@@ -41,23 +41,17 @@ def _labels(host: Column) -> Column:
     return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
-def _bits(key: Column) -> list[Column]:
-    spread = F.xxhash64(key, F.lit("bits"))
-    one = F.lit(1).cast("long")
-    return [F.shiftleft(one, F.shiftrightunsigned(spread, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(WORDS)]
-
-
-def _shift(value: Column, by: Column) -> Column:
-    return F.call_function("shiftleft", value, by)
+def _bits() -> list[Column]:
+    """One bit of each of the four words, from different parts of a key's digest."""
+    spread = F.xxhash64("_key", F.lit("bits"))
+    at = [F.shiftrightunsigned(spread, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(WORDS)]
+    # The function of the DataFrame API takes a fixed distance only; SQL's takes a column.
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), k) for k in at]
 
 
 def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
     """Blocked Bloom filter of ``keys(_key)``: one row per used block with its four words."""
-    spread = F.xxhash64("_key", F.lit("bits"))
-    words = []
-    for i in range(WORDS):
-        bit = F.shiftrightunsigned(spread, 6 * i).bitwiseAND(F.lit(63)).cast("int")
-        words.append(F.bit_or(_shift(F.lit(1).cast("long"), bit)).alias(f"_w{i}"))
+    words = [F.bit_or(bit).alias(f"_w{i}") for i, bit in enumerate(_bits())]
     return keys.groupBy(_block(blocks).alias("_block")).agg(*words)
 
 
@@ -66,11 +60,9 @@ def _block(blocks: int) -> Column:
 
 
 def _passed() -> Column:
-    spread = F.xxhash64("_key", F.lit("bits"))
     good = F.lit(True)
-    for i in range(WORDS):
-        bit = F.shiftrightunsigned(spread, 6 * i).bitwiseAND(F.lit(63)).cast("int")
-        good = good & (F.shiftrightunsigned(F.col(f"_w{i}"), 0).bitwiseAND(_shift(F.lit(1).cast("long"), bit)) != 0)
+    for i, bit in enumerate(_bits()):
+        good = good & (F.col(f"_w{i}").bitwiseAND(bit) != 0)
     return good
 
 
