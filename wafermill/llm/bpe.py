@@ -26,7 +26,7 @@ from wafermill.llm.common import slices
 #: Stands for "the piece ends here" inside the automaton; no byte symbol maps to it.
 END = "￿"
 #: Pieces and pairs that one worker remembers before it starts anew. Results do not depend on it.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 def byte_symbols() -> list[str]:
