@@ -60,3 +60,14 @@ def test_empty_and_drop(spark):
     assert find_leaks(docs.where("false"), items).collect() == []
     assert find_leaks(docs, items.where("false")).collect() == []
     assert drop_leaks(docs, items.where("false")).count() == 4
+
+
+def test_literal_copies_full_of_names_and_numbers(spark):
+    items = [
+        "The Treaty of Versailles was signed on June 28, 1919 by Germany and the Allied Powers.",
+        "Who was the first President of the United States of America, George Washington or John Adams?",
+        "Calculate 15 + 27 - 9 + 33.", "What is 12 times 7?", "Who wrote Romeo and Juliet?", "Convert 5 km 300 m to m.",
+    ]
+    docs = [(i, f"Some other words stand here. {t} And more words follow it.") for i, t in enumerate(items)]
+    docs += [(10, items[0].upper()), (20, "What is 13 times 8?"), (21, "Calculate 15 + 27 - 9 + 34."), (22, "Who wrote Hamlet and Macbeth?")]
+    assert run(spark, docs, list(enumerate(items))) == {(i, i) for i in range(6)} | {(10, 0)}

@@ -1,7 +1,7 @@
 """Benchmark decontamination on templates: numbers, names and units become typed placeholders.
 
-Documents and benchmark items are cut into windows of template words. A hash join finds equal
-windows; the words that the placeholders hide must then map one to one between the item and the
+Documents and benchmark items are cut into windows of template words, and into windows of their own
+words. A hash join finds equal windows; the words that the placeholders hide must then map one to one between the item and the
 document, along one alignment. So a question that was only given other numbers or names is found
 as well as a literal copy.
 """
@@ -42,7 +42,7 @@ _BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def _templates(texts: list[str | None]):
-    """(text number, kind, digest, word) of all template words of the texts, in order."""
+    """(text number, kind, template digest, own digest, word) of all template words of the texts, in order."""
     found = [TOKEN.findall(t or "") for t in texts]
     sizes = np.array([len(f) for f in found], np.int64)
     place: dict[str, int] = {}
@@ -59,19 +59,19 @@ def _templates(texts: list[str | None]):
     text = np.repeat(np.arange(len(texts)), sizes)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64), none, low
+        return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, low
     opens = np.concatenate(([True], (text[1:] != text[:-1]) | stop[at[:-1]]))
     after = np.concatenate(([False], number[at[:-1]] & (text[1:] == text[:-1])))
     kind = np.where(number[at], NUM, np.where(unit[at] & after, UNIT, np.where(name[at] & ~opens, NAME, LITERAL)))
     keep = np.flatnonzero(~stop[at])
     text, at, kind = text[keep], at[keep], kind[keep]
-    return text, kind, np.where(kind == LITERAL, digest[at], _MARKS[kind]), at, low
+    return text, kind, np.where(kind == LITERAL, digest[at], _MARKS[kind]), digest[at], at, low
 
 
-def _windows(text, kind, digest, size: int, least: int):
+def _windows(text, kind, digest, size: int, least: int, salt: int = 0):
     """(first word, two digests) of the windows of ``size`` words with at least ``least`` literal ones."""
     n = max(len(text) - size + 1, 0)
-    one, two = np.full(n, size, np.uint64), np.full(n, size, np.uint64)
+    one, two = np.full(n, size + salt, np.uint64), np.full(n, size + salt, np.uint64)
     for k in range(size):
         one = one * _BASES[0] + digest[k : k + n]
         two = (two ^ digest[k : k + n]) * _BASES[1] + (one >> np.uint64(29))
@@ -91,35 +91,42 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-SCHEMA = "_id bigint, _row bigint, size int, pos bigint, one bigint, two bigint, slots array<string>, words bigint"
+SCHEMA = "_id bigint, _row bigint, size int, pos bigint, one bigint, two bigint, own boolean, slots array<string>, words bigint, usable bigint"
+#: Keeps digests of own words apart from those of template words.
+OWN_SALT = 1 << 20
 
 
 def _window_rows(part: pa.RecordBatch, window: int, sizes: list[int] | None, literals: int, bloom: np.ndarray | None):
-    """Windows of a batch (``_id``, ``_row``, ``_text``). Without ``sizes`` every text is cut into
-    windows of min(its words, ``window``) words."""
-    text, kind, digest, at, low = _templates(part.column("_text").to_pylist())
+    """Windows of a batch (``_id``, ``_row``, ``_text``): of template words, with at least ``literals``
+    literal ones, and (``own``) of the words as they are, whatever their kind. ``usable`` counts the template
+    windows of the text. Without ``sizes`` every text is cut into windows of min(its words, ``window``) words."""
+    text, kind, template, plain, at, low = _templates(part.column("_text").to_pylist())
     counts = np.bincount(text, minlength=part.num_rows)
     begin = np.concatenate(([0], np.cumsum(counts)))
     for size in sizes if sizes is not None else range(1, window + 1):
-        first, one, two = _windows(text, kind, digest, size, min(literals, size))
-        if bloom is not None:
-            where, mask = _bits(one, two)
-            keep = np.flatnonzero(bloom[where] & mask == mask)
-        else:
-            keep = np.flatnonzero(np.minimum(counts[text[first]], window) == size)
-        first, one, two = first[keep], one[keep], two[keep]
-        if not len(first):
-            continue
-        slots = [[low[at[j]] for j in range(a, a + size) if kind[j] != LITERAL] for a in first.tolist()]
-        rows = text[first]
-        yield pa.RecordBatch.from_arrays(
-            [
-                part.column("_id").take(pa.array(rows)), part.column("_row").take(pa.array(rows)),
-                pa.array(np.full(len(first), size, np.int32)), pa.array(first - begin[rows]), _signed(one), _signed(two),
-                pa.array(slots, pa.list_(pa.string())), pa.array(counts[rows]),
-            ],
-            names=["_id", "_row", "size", "pos", "one", "two", "slots", "words"],
-        )
+        usable = None
+        for own in (False, True):
+            first, one, two = _windows(text, kind, plain if own else template, size, 0 if own else min(literals, size), OWN_SALT * own)
+            if usable is None:
+                usable = np.bincount(text[first], minlength=part.num_rows)
+            if bloom is not None:
+                where, mask = _bits(one, two)
+                keep = np.flatnonzero(bloom[where] & mask == mask)
+            else:
+                keep = np.flatnonzero(np.minimum(counts[text[first]], window) == size)
+            first, one, two = first[keep], one[keep], two[keep]
+            if not len(first):
+                continue
+            slots = [[] if own else [f"{kind[j]}{low[at[j]]}" for j in range(a, a + size) if kind[j] != LITERAL] for a in first.tolist()]
+            rows = text[first]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("_id").take(pa.array(rows)), part.column("_row").take(pa.array(rows)),
+                    pa.array(np.full(len(first), size, np.int32)), pa.array(first - begin[rows]), _signed(one), _signed(two),
+                    pa.array(np.full(len(first), own)), pa.array(slots, pa.list_(pa.string())), pa.array(counts[rows]), pa.array(usable[rows]),
+                ],
+                names=["_id", "_row", "size", "pos", "one", "two", "own", "slots", "words", "usable"],
+            )
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -142,10 +149,12 @@ def find_leaks(
 ) -> DataFrame:
     """Documents that hold a benchmark item, literally or with other numbers, names or units.
 
-    A window has ``window`` template words, at least ``literals`` of them literal; an item with
-    fewer words is one window of its own length (items under four words, or with fewer literal
-    words than that, cannot be told from chance and are left out). A document is reported for an
-    item if it holds ``run`` of the item's windows or ``share`` of them, whichever is less.
+    A window has ``window`` words; an item with fewer words is one window of its own length (items
+    under four words cannot be told from chance and are left out). All windows are looked for with
+    their own words; those with at least ``literals`` literal words also as templates, in which
+    numbers, names and units stand for any others. A document is reported for an item if it holds,
+    with the item's own words, ``run`` of the item's windows or ``share`` of all of them,
+    whichever is less, or, as templates, ``run`` or ``share`` of those that can be templates.
     Windows count along one alignment of document and item in which every hidden word of the item
     stands for one word of the document and the other way round; where that fails, only windows
     with the item's own words count.
@@ -168,7 +177,7 @@ def find_leaks(
                 yield from _window_rows(part, window, None, literals, None)
 
     own = items.mapInArrow(item_windows, SCHEMA).where(F.col("size") >= least)
-    own = stored(own.select("size", "one", "two", F.col("_id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "words"), "item-windows")
+    own = stored(own.select("size", "one", "two", F.col("_id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "words", "usable"), "item-windows")
     sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # at most ``window`` rows
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +193,8 @@ def find_leaks(
             for part in slices(whole, "_text"):
                 yield from _window_rows(part, window, sizes, literals, sent.value)
 
-    met = _keyed(docs, id_col, text_col).mapInArrow(doc_windows, SCHEMA).drop("words").join(own, ["size", "one", "two"]).distinct()
-    met = stored(met.select("_id", "_row", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots", "words", "size"), "leak-windows")
+    met = _keyed(docs, id_col, text_col).mapInArrow(doc_windows, SCHEMA).drop("words", "usable").join(own, ["size", "one", "two"]).distinct()
+    met = stored(met.select("_id", "_row", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "own", "slots", "item_slots", "words", "usable", "size"), "leak-windows")
     line = ["_id", "_row", "item_id", "shift"]
     pairs = met.select(*line, F.explode(F.arrays_zip("slots", "item_slots")).alias("p")).select(*line, "p.slots", "p.item_slots").distinct()
     one_way = pairs.groupBy(*line, "item_slots").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*line)
@@ -202,9 +211,15 @@ def find_leaks(
         .agg(
             F.countDistinct("item_pos").alias("n_windows"),
             F.first(total).cast("bigint").alias("n_item_windows"),
-            F.min(literal).alias("literal"),
+            F.countDistinct(F.when(literal, F.col("item_pos"))).alias("n_own"),
+            F.countDistinct(F.when(~F.col("own"), F.col("item_pos"))).alias("n_template"),
+            F.first("usable").alias("usable"),
+        )
+        .withColumn("literal", F.col("n_own") == F.col("n_windows"))
+        .where(
+            (F.col("n_own") >= F.least(F.lit(run), F.ceil(F.col("n_item_windows") * share)))
+            | (F.col("usable") > 0) & (F.col("n_template") >= F.least(F.lit(run), F.ceil(F.col("usable") * share)))
         )
-        .where(F.col("n_windows") >= F.least(F.lit(run), F.ceil(F.col("n_item_windows") * share)))
     )
     return found.select(F.col("_id").alias(id_col), F.col("_row").alias("text_digest"), "item_id", "n_windows", "n_item_windows", "literal")
 
