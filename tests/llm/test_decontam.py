@@ -71,3 +71,16 @@ def test_literal_copies_full_of_names_and_numbers(spark):
     docs = [(i, f"Some other words stand here. {t} And more words follow it.") for i, t in enumerate(items)]
     docs += [(10, items[0].upper()), (20, "What is 13 times 8?"), (21, "Calculate 15 + 27 - 9 + 34."), (22, "Who wrote Hamlet and Macbeth?")]
     assert run(spark, docs, list(enumerate(items))) == {(i, i) for i in range(6)} | {(10, 0)}
+
+
+def test_numbers_may_coincide_and_windows_follow_each_other(spark):
+    ask = "Anna has 12 green apples and 7 red pears in her basket, how many apples and pears are in the basket after 2 days if she eats 2 apples each day?"
+    again = ask.replace("12", "9").replace("7", "9").replace("after 2", "after 3").replace("eats 2", "eats 4")
+    parted = again.replace("how many", "so tell me now how many")
+    assert run(spark, [(1, again), (2, parted)], [(1, ask)]) == {(1, 1), (2, 1)}
+    # Single windows of an item, far apart or in another order, are no copy of it.
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    parts = [" ".join(words[8 * i : 8 * i + 8]) for i in range(8)]
+    far = (" ".join(["filler"] * 300)).join(f" {p} " for p in parts)
+    turned = " and ".join(reversed(parts))
+    assert run(spark, [(1, far), (2, turned), (3, " ".join(words))], [(1, " ".join(words))]) == {(3, 1)}

@@ -1,14 +1,16 @@
 """Benchmark decontamination on templates: numbers, names and units become typed placeholders.
 
 Documents and benchmark items are cut into windows of template words, and into windows of their own
-words. A hash join finds equal windows; the words that the placeholders hide must then map one to one between the item and the
-document, along one alignment. So a question that was only given other numbers or names is found
+words. A hash join finds equal windows, which count along one alignment: in the order of the item and
+close together. A name that the item repeats must stand for one name there. So a question that was only given other numbers or names is found
 as well as a literal copy.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,6 +131,46 @@ def _window_rows(part: pa.RecordBatch, window: int, sizes: list[int] | None, lit
             )
 
 
+def _chain(found: list[tuple]) -> list[tuple]:
+    """The most windows (place in the document, place in the item, ...) that follow each other in both."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(found)
+    # Of windows at one place of the document one can count: later places of the item first.
+    order = sorted(range(len(found)), key=lambda i: (found[i][0], -found[i][1]))
+    for i in order:
+        at = bisect_left(ends, found[i][1])
+        before[i] = last[at - 1] if at else -1
+        ends[at : at + 1], last[at : at + 1] = [found[i][1]], [i]
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(found[i])
+        i = before[i]
+    return out[::-1]
+
+
+def _agreeing(found: list[tuple]) -> list[tuple]:
+    """The windows (place in the document, place in the item, slots, item's slots) without those that were
+    changed at a name which stands for several names in them."""
+    stands: dict[str, set[str]] = {}
+    for _, _, slots, own in found:
+        for mine, other in zip(own, slots, strict=True):
+            if mine.startswith(str(NAME)):
+                stands.setdefault(mine, set()).add(other)
+    return [f for f in found if f[2] == f[3] or all(len(stands.get(mine, ())) <= 1 for mine in f[3])]
+
+
+def aligned(found: list[tuple]) -> Iterator[list[tuple]]:
+    """Alignments of a stretch of a document: windows at one shift, and at all shifts in order."""
+    shifts: dict[int, list[tuple]] = {}
+    for f in found:
+        shifts.setdefault(f[0] - f[1], []).append(f)
+    for own in shifts.values():
+        yield _agreeing(own)
+    if len(shifts) > 1:
+        yield _agreeing(_chain(found))
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(F.col(text_col), F.lit(2)).alias("_row"), F.col(text_col).alias("_text")
@@ -155,12 +197,13 @@ def find_leaks(
     numbers, names and units stand for any others. A document is reported for an item if it holds,
     with the item's own words, ``run`` of the item's windows or ``share`` of all of them,
     whichever is less, or, as templates, ``run`` or ``share`` of those that can be templates.
-    Windows count along one alignment of document and item in which every hidden word of the item
-    stands for one word of the document and the other way round; where that fails, only windows
-    with the item's own words count.
+    Windows count along one alignment of document and item: those at one shift, or those that follow
+    each other in both, within a stretch of the document of twice the item's words. Numbers and units
+    stand for any; windows of a name that stands for several names in the alignment count only
+    with the item's own words.
 
-    Returns ``id_col``, ``text_digest``, ``item_id``, ``n_windows`` (of the item, found),
-    ``n_item_windows`` and ``literal`` (were all found with the item's own words?). ``item_id`` is
+    Returns ``id_col``, ``text_digest``, ``item_id``, ``n_windows`` (of the item, found
+    along the best alignment), ``n_item_windows`` and ``literal`` (were all those found with the item's own words?). ``item_id`` is
     the smallest of the items with one text. Null texts hold nothing; rows with a null id are
     reported under it; rows are told apart by id and text, so repeated rows give one result.
     Empty tables on either side give an empty result. Other columns are not read.
@@ -194,33 +237,40 @@ def find_leaks(
                 yield from _window_rows(part, window, sizes, literals, sent.value)
 
     met = _keyed(docs, id_col, text_col).mapInArrow(doc_windows, SCHEMA).drop("words", "usable").join(own, ["size", "one", "two"]).distinct()
-    met = stored(met.select("_id", "_row", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "own", "slots", "item_slots", "words", "usable", "size"), "leak-windows")
-    line = ["_id", "_row", "item_id", "shift"]
-    pairs = met.select(*line, F.explode(F.arrays_zip("slots", "item_slots")).alias("p")).select(*line, "p.slots", "p.item_slots").distinct()
-    one_way = pairs.groupBy(*line, "item_slots").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*line)
-    other_way = pairs.groupBy(*line, "slots").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*line)
-    broken = one_way.union(other_way).distinct().select(*[F.col(c).alias(f"_b{c}") for c in line])
-    same = F.lit(True)
-    for c in line:
-        same = same & F.col(c).eqNullSafe(F.col(f"_b{c}"))
-    literal = F.coalesce(F.col("slots") == F.col("item_slots"), F.lit(True))
-    kept = met.join(broken, same, "left").where(F.col("_bitem_id").isNull() | literal)
-    total = F.col("words") - F.col("size") + 1
-    found = (
-        kept.groupBy("_id", "_row", "item_id")
-        .agg(
-            F.countDistinct("item_pos").alias("n_windows"),
-            F.first(total).cast("bigint").alias("n_item_windows"),
-            F.countDistinct(F.when(literal, F.col("item_pos"))).alias("n_own"),
-            F.countDistinct(F.when(~F.col("own"), F.col("item_pos"))).alias("n_template"),
-            F.first("usable").alias("usable"),
-        )
-        .withColumn("literal", F.col("n_own") == F.col("n_windows"))
-        .where(
-            (F.col("n_own") >= F.least(F.lit(run), F.ceil(F.col("n_item_windows") * share)))
-            | (F.col("usable") > 0) & (F.col("n_template") >= F.least(F.lit(run), F.ceil(F.col("usable") * share)))
-        )
+    met = stored(met.select("_id", "_row", "item_id", "pos", "item_pos", "own", "slots", "item_slots", "words", "usable", "size"), "leak-windows")
+    # Stretches of twice the item's words that overlap by half: a copy with as many words put in is whole in one.
+    stretch = F.floor(F.col("pos") / F.greatest(F.col("words"), F.lit(window)))
+    near = met.withColumn("stretch", F.explode(F.array(stretch, stretch - 1)))
+    held = near.groupBy("_id", "_row", "item_id", "stretch").agg(
+        F.collect_list(F.struct("pos", "item_pos", "own", "slots", "item_slots")).alias("found"),
+        F.first(F.col("words") - F.col("size") + 1).cast("bigint").alias("n_item_windows"), F.first("usable").alias("usable"),
     )
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, counts, literals_ = [], [], []
+            for k, (found, total, usable) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("found", "n_item_windows", "usable")), strict=True)):
+                best = (0, False)
+                template = {(f["pos"], f["item_pos"]) for f in found if not f["own"]}
+                places = {(f["pos"], f["item_pos"]): (f["pos"], f["item_pos"], f["slots"], f["item_slots"]) for f in sorted(found, key=lambda f: f["own"])}
+                for kept in aligned(list(places.values())):
+                    n = len({f[1] for f in kept})
+                    n_own = len({f[1] for f in kept if f[2] == f[3]})
+                    n_template = len({f[1] for f in kept if f[:2] in template})
+                    if n_own >= min(run, math.ceil(total * share)) or usable and n_template >= min(run, math.ceil(usable * share)):
+                        best = max(best, (n, n == n_own))
+                if best[0]:
+                    rows.append(k)
+                    counts.append(best[0])
+                    literals_.append(best[1])
+            part = batch.select(["_id", "_row", "item_id", "n_item_windows"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(counts, pa.int64()), pa.array(literals_, pa.bool_())], names=[*part.schema.names, "n_windows", "literal"]
+            )
+
+    passed = held.mapInArrow(counted, "_id bigint, _row bigint, item_id bigint, n_item_windows bigint, n_windows bigint, literal boolean")
+    best = F.max(F.struct("n_windows", "literal", "n_item_windows")).alias("best")
+    found = passed.groupBy("_id", "_row", "item_id").agg(best).select("_id", "_row", "item_id", "best.*")
     return found.select(F.col("_id").alias(id_col), F.col("_row").alias("text_digest"), "item_id", "n_windows", "n_item_windows", "literal")
 
 
