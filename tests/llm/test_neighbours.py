@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from wafermill.llm import queries
-from wafermill.llm.neighbours import nearest_neighbours
+from wafermill.llm.neighbours import Lists, nearest_neighbours
 
 SCHEMA = "vec_id bigint, embedding array<float>, rank string, score string"
 
@@ -65,3 +65,26 @@ def test_few_and_none(spark):
     assert nearest_neighbours(df.where("false"), df).collect() == []
     assert nearest_neighbours(df, df.where("false")).collect() == []
     assert gathered(nearest_neighbours(df.limit(1), df.limit(1))) == {}
+
+
+def test_empty_lists_are_not_searched_again():
+    rng = np.random.default_rng(5)
+    lists = Lists(rng.normal(size=(400, 8)), 10.0, 20)
+    lists.sizes[:], lists.spread[:] = 50, 1
+    lists.sizes[::2] = 0
+    asked = rng.normal(size=(30, 8))
+    first = np.argsort(-lists.scores(asked), axis=1, kind="stable")[:, :4]
+    later = lists.visits(asked, np.full(30, -np.inf), 4, 0.0, 20)
+    for own, others in zip(first, later, strict=True):
+        assert (lists.sizes[own] > 0).all() and sorted([*own, *others]) == list(range(1, 20, 2))
+
+
+def test_dense_groups_give_no_repeats(spark):
+    rng = np.random.default_rng(6)
+    tight = rng.normal(size=(3, 8)).repeat(1200, axis=0) + 1e-4 * rng.normal(size=(3600, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((rng.normal(size=(2400, 8)), tight)).astype(np.float32))]
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
+    got = gathered(nearest_neighbours(df, df.where("vec_id % 40 = 0"), k=20))
+    want = brute(rows, [r for r in rows if r[0] % 40 == 0], 20)
+    assert all(len({i for i, _ in got[q]}) == 20 for q in want)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.95 * 20 * len(want)

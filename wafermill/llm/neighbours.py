@@ -78,12 +78,18 @@ class Lists:
     def nearest(self, points: np.ndarray) -> np.ndarray:
         return ((self.centres**2).sum(axis=1)[None, :] - 2 * points @ self.centres.T).argmin(axis=1)
 
+    def scores(self, queries: np.ndarray) -> np.ndarray:
+        """Inner products of queries and centres; those of empty lists come last."""
+        score = self.turned(queries) @ self.centres.T
+        score[:, self.sizes == 0] = -np.inf
+        return score
+
     def visits(self, queries: np.ndarray, beat: np.ndarray, done: int, share: float, k: int) -> list[np.ndarray]:
         """Lists that each query still has to visit after its ``done`` nearest ones."""
-        score = self.turned(queries) @ self.centres.T
+        score = self.scores(queries)
         order = np.argsort(-score, axis=1, kind="stable")[:, :done]
         spread = np.maximum(np.sqrt((queries**2).sum(axis=1))[:, None] * self.spread[None, :], 1e-12)
-        expected = self.sizes[None, :] * _upper_tail((beat[:, None] - score) / spread)
+        expected = self.sizes[None, :] * _upper_tail((beat[:, None] - np.where(self.sizes == 0, 0, score)) / spread)
         expected[self.sizes[None, :].repeat(len(queries), 0) == 0] = 0
         np.put_along_axis(expected, order, 0, axis=1)
         low = np.argsort(expected, axis=1, kind="stable")
@@ -226,8 +232,7 @@ def nearest_neighbours(
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                score = lists.turned(_matrix(part.column("vec"), width)) @ lists.centres.T
-                score[:, lists.sizes == 0] = -np.inf
+                score = lists.scores(_matrix(part.column("vec"), width))
                 near = np.argsort(-score, axis=1, kind="stable")[:, :first_lists]
                 rows = np.repeat(np.arange(part.num_rows), near.shape[1])
                 near = near.reshape(-1)
@@ -254,10 +259,11 @@ def nearest_neighbours(
                 )
 
     late = searched(stored(goals.mapInArrow(onward, schema), "probes"))
-    best = early.union(late).withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k + 1)
+    # A vector found twice shares its rank with itself and counts once.
+    best = early.union(late).withColumn("_n", F.dense_rank().over(place)).where(F.col("_n") <= k + 1)
     flat = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("id")))))
     # Written out: one row for each distinct query vector, so that a hot one can be split below.
-    answers = stored(best.groupBy("query").agg(F.sort_array(flat).alias("found")), "answers")
+    answers = stored(best.groupBy("query").agg(F.sort_array(F.array_distinct(flat)).alias("found")), "answers")
     rows = asked.select(F.col("_id").alias("query_id"), "query").join(answers, "query")
     own = F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, k)
     return rows.select("query_id", F.posexplode(own).alias("at", "f")).select(
