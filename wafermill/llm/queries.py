@@ -191,3 +191,30 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many go as repeats, and a digest of what stays."""
+    from wafermill.llm.lines import drop_repeated_lines
+
+    got = drop_repeated_lines(table(spark, sf_dir, "documents"), least=10)
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op13_line_dedup"] = """
+WITH lines AS (
+    SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS p
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+    SELECT doc_id, p, line,
+           translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM lines),
+firsts AS (
+    SELECT k, min(doc_id) AS lo FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (doc_id > lo))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (lo IS NULL OR doc_id <= lo), '')) AS kept_sha256
+FROM keyed LEFT JOIN firsts ON keyed.k = firsts.k
+GROUP BY doc_id
+"""
