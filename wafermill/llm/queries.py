@@ -218,3 +218,20 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (doc_id > lo))::BIG
 FROM keyed LEFT JOIN firsts ON keyed.k = firsts.k
 GROUP BY doc_id
 """
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and the audit of its cheapest repair."""
+    from wafermill.llm.dialogues import damaged, repair_conversations
+
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")), lost="lost")
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some with a letter lost, and the frequent word that each is a variant of."""
+    from wafermill.llm.spelling import group_variants, word_counts
+
+    counts = word_counts(table(spark, sf_dir, "documents"), least=7, erase=31).where("n >= 2")
+    return group_variants(counts, ratio=10)
