@@ -10,7 +10,8 @@ from wafermill.operators import boolean, coverage, design, nets, spatial
 from wafermill.plans.attach import attach
 from wafermill.plans.components import connected_components
 from wafermill.plans.expand import numbered_rows
-from wafermill.plans.gridjoin import candidates, near_pairs
+from wafermill.plans.gridjoin import candidates, ladder, near_pairs, placed_sides
+from wafermill.plans.metricindex import MetricIndex
 from wafermill.plans.quantiles import exact_percentiles
 from wafermill.plans.ranks import hash_rank, range_rank, running_sums
 
@@ -100,14 +101,15 @@ def brute_components(edges):
     return label
 
 
-def test_components_of_chain_star_and_noise(spark):
+@pytest.mark.parametrize("per_task", [1 << 20, 100])
+def test_components_of_chain_star_and_noise(spark, per_task):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(200)]
     star = [(1000, 1001 + i) for i in range(300)]
     noise = [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)]
     edges = chain + star + [e for e in noise if e[0] != e[1]]
     df = spark.createDataFrame([(1, u, v) for u, v in edges], "g int, u bigint, v bigint")
-    got = {r.node: r.label for r in connected_components(df, ["g"]).collect()}
+    got = {r.node: r.label for r in connected_components(df, ["g"], per_task).collect()}
     assert got == brute_components(edges)
 
 
@@ -160,6 +162,34 @@ def test_long_wires_meet_their_neighbours_only(spark):
     assert looked_at(turned) == alone
 
 
+def test_mixed_sizes_go_to_few_levels(spark):
+    rng = random.Random(6)
+    side = lambda: int(2 ** rng.uniform(0, 11))
+    rows = [(0, k, "l", x, y, x + side(), y + side()) for k in range(2000) for x, y in [(rng.randrange(60_000), rng.randrange(60_000))]]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("shape_id", "id")
+    left, right = placed_sides(df, df, ["component"])
+    assert left.count() + right.count() < 20 * len(rows)
+    assert candidates(df, df, ["component"]).count() < 0.03 * len(rows) ** 2
+    want = {(a[1], b[1]) for a in rows for b in rows if a[3] <= b[5] and b[3] <= a[5] and a[4] <= b[6] and b[4] <= a[6]}
+    assert {(r.a_id, r.b_id) for r in near_pairs(df, df, ["component"]).collect()} == want
+
+
+def test_tiles_are_even_along_a_diagonal(spark):
+    rng = random.Random(3)
+    rows = [(0, k, "l", x, y, x + 30, y + 30) for k in range(20_000) for x in [rng.randrange(10**6)] for y in [x + rng.randrange(-500, 500)]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = sorted(r["count"] for r in boolean.tiled(df, ["component"]).groupBy("tx", "ty").count().collect())
+    assert sizes[-1] < 4 * 64 and len(sizes) > 200
+    assert sum(sizes) < 1.4 * len(rows)
+
+
+def test_ladder_keeps_the_sizes_in_use():
+    assert ladder({3: 5, 7: 9}) == [3, 7] and ladder({}) == []
+    assert ladder({k: 10 for k in range(12)})[-1] == 11 and len(ladder({k: 10 for k in range(12)})) == 3
+    assert ladder({5: 21, 6: 52, 7: 26}) == [7]
+    assert ladder({0: 1, 1: 10**6, 2: 1, 9: 1, 10: 10**6, 15: 1}) == [1, 10, 15]
+
+
 def test_large_shapes_make_few_pieces(spark):
     rows = [(0, 1, "l", 0, 0, 10**6, 10**6), (0, 2, "l", 10**6, 0, 2 * 10**6, 10**6), (None, 3, "l", -5, -5, 10**9, 10**9)]
     pieces = boolean.layer_or(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(rows[:1], SCHEMA), ["component"]).collect()
@@ -235,7 +265,7 @@ def test_shrink_and_wide_parts_equal_raster(spark):
     assert area(boolean.boolean_rects(spatial.wide_parts(df, ["component"], 2 * d), None, ["component"], "or")) == opened.sum()
 
 
-@pytest.mark.parametrize("dims", [2, 3])
+@pytest.mark.parametrize("dims", [1, 2, 3, 16])
 def test_nearest_neighbour_in_clusters(spark, dims):
     rng = np.random.default_rng(4)
     dense = rng.normal(0, 1e-4, (150, dims))
@@ -254,6 +284,29 @@ def test_nearest_neighbour_in_clusters(spark, dims):
     assert small == {1: 0.0, 2: 0.0}
 
 
+def test_metric_index_compares_few_pairs_of_clusters(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.uniform(-1, 1, (25, 16))
+    points = np.vstack([c + rng.normal(0, 0.02, (80, 16)) for c in centres])
+    rows = [(None if i % 2 else "f", i, p.tolist()) for i, p in enumerate(points)]
+    index = MetricIndex(spark.createDataFrame(rows, "f string, id bigint, v array<double>"), ["f"], 16)
+    pairs = index.own_ring_pairs().count() + index.visiting_pairs(index.bounded()).count()
+    assert pairs < 0.1 * 2 * 1000 * 999
+    got = {r.id: r.nearest for r in index.nearest().collect()}
+    for part in (0, 1):
+        mine = points[part::2]
+        for k, p in enumerate(mine):
+            distance = np.sqrt(((mine - p) ** 2).sum(1))
+            distance[k] = np.inf
+            assert got[2 * k + part] == pytest.approx(distance.min(), rel=1e-12)
+
+
+def test_nearest_neighbour_of_odd_points(spark):
+    rows = [(None, 1, 0.0, 0.0), (None, 2, 3.0, 4.0), (None, 3, None, 1.0), (None, 4, float("nan"), 1.0), (None, 5, float("inf"), 1.0), ("a", 6, 0.0, -0.0), ("a", 7, 0.0, 0.0), ("b", 8, 1.0, 1.0)]
+    got = coverage.nearest_neighbour(spark.createDataFrame(rows, "f string, id bigint, x double, y double"), ["f"], "id", ["x", "y"])
+    assert {r.id: r.nn_distance for r in got.collect()} == {1: 5.0, 2: 5.0, 3: None, 4: None, 5: None, 6: 0.0, 7: 0.0, 8: None}
+
+
 def test_nets_follow_declared_layers_only(spark):
     rows = [(0, 1, "m1", 0, 0, 10, 10), (0, 2, "v1", 5, 5, 8, 8), (0, 3, "m2", 6, 6, 20, 20), (0, 4, "po", 0, 0, 9, 9), (0, 5, "m1", 10, 0, 12, 5)]
     got = {r.shape_id: r.net for r in nets.extract_nets(spark.createDataFrame(rows, SCHEMA), [("m1", "v1"), ("m2", "v1")]).collect()}

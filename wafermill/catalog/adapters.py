@@ -74,9 +74,11 @@ UNION ALL SELECT concat('n', s_nationkey), concat('s', s_suppkey), CAST(1 AS BIG
 UNION ALL SELECT concat('s', l_suppkey), concat('model_', l_partkey % 3), count(*) FROM {lineitem} GROUP BY l_suppkey, l_partkey % 3
 """
 
-VIEWS["points"] = """
-SELECT vec_id, label AS pcell, CAST(embedding[{first}] AS DOUBLE) AS u0, CAST(embedding[{second}] AS DOUBLE) AS u1
-FROM {embeddings}
+# All values of an embedding are the axes of a design.
+AXES = 64
+VIEWS["points"] = f"""
+SELECT vec_id, label AS pcell, {", ".join(f"CAST(embedding[{{at {i}}}] AS DOUBLE) AS u{i}" for i in range(AXES))}
+FROM {{embeddings}}
 """
 
 VIEWS["predictions"] = """
@@ -111,9 +113,14 @@ def _each(text: str, form: str) -> str:
     return re.sub(r"\{each (\w+) (\d+)\}", fill, text)
 
 
+def _at(text: str, first: int) -> str:
+    """Array places, which count from 0 in Spark and from 1 in DuckDB."""
+    return re.sub(r"\{at (\d+)\}", lambda mark: str(int(mark[1]) + first), text)
+
+
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run ``text`` in Spark with each ``{table}`` bound to the Parquet table."""
-    text = text.replace("{first}", "0").replace("{second}", "1")
+    text = _at(text, 0)
     text = _each(text, "LATERAL VIEW explode(array({numbers})) each_{name} AS {name}")
     bound = {t: load(spark, sf_dir, t) for t in _marks(text)}
     return spark.sql(text, **bound)
@@ -125,7 +132,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(text: str) -> str:
     """The DuckDB form of an adapter text."""
-    text = text.replace("{first}", "1").replace("{second}", "2")
+    text = _at(text, 1)
     text = _each(text, "CROSS JOIN (SELECT unnest([{numbers}]) AS {name}) each_{name}")
     for t in _marks(text):
         text = text.replace("{" + t + "}", t)

@@ -126,6 +126,22 @@ def _(spark, sf):
     )
 
 
+# Angles off the four directions for some ports, and places that differ by less than the tolerance.
+SHIFTED = "SELECT component, port_id, cx + (port_id % 7) * CAST(0.02 AS DOUBLE) AS cx, cy + (port_id % 5) * CAST(0.03 AS DOUBLE) AS cy, CASE WHEN port_id % 11 = 0 THEN orientation + 45 ELSE orientation - 360 END AS orientation FROM ports"
+
+
+@query(
+    "find_inline_pairs",
+    with_views("ports") + f", shifted AS ({SHIFTED})" + """
+, p AS (SELECT component, port_id, orientation % 180 <> 0 AS upright, CASE WHEN orientation % 180 <> 0 THEN cx ELSE cy END AS at FROM shifted WHERE orientation % 90 = 0)
+SELECT a.component, a.port_id AS a_id, b.port_id AS b_id, CASE WHEN a.upright THEN 90 ELSE 0 END AS angle
+FROM p a JOIN p b ON a.component IS NOT DISTINCT FROM b.component AND a.upright = b.upright AND a.port_id < b.port_id AND NOT least(a.at, b.at) < greatest(a.at, b.at) - CAST(0.1 AS DOUBLE)""",
+)
+def _(spark, sf):
+    rows = spark.sql(SHIFTED.replace("FROM ports", "FROM {ports}"), ports=view(spark, sf, "ports"))
+    return ports.find_inline_pairs(rows, 0.1).withColumn("angle", F.col("angle").cast("int"))
+
+
 @query(
     "port_checks",
     with_views("ports", pairs=PORT_PAIRS) + """

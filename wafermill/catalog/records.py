@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wafermill.catalog import query
+from wafermill.catalog import reports as _report_views  # noqa: F401  (its views are used here)
 from wafermill.catalog.adapters import run_sql, view, with_views
 from wafermill.operators import records
 
@@ -131,6 +132,56 @@ def _(spark, sf):
     )
 
 
+RUNS = """
+SELECT o_orderkey AS component, concat('c_', o_orderkey) AS component_name, o_orderdate AS timestamp,
+       concat('drc/', o_orderkey, '.rpt') AS drc_report_path, CASE WHEN o_orderkey % 13 = 0 THEN 'no tool' END AS drc_error,
+       CASE WHEN o_orderkey % 7 > 0 THEN concat('lvs/', o_orderkey, '.rpt') END AS lvs_report_path, CASE WHEN o_orderkey % 17 = 0 THEN 'timeout' END AS lvs_error
+FROM {orders}
+"""
+MEASURES = "SELECT sample_id AS component, CASE WHEN success THEN 'PEX Complete' END AS pex_status, total_resistance_ohms, total_capacitance_farads, area_um2, symmetry_horizontal, symmetry_vertical FROM results WHERE sample_id % 3 > 0"
+DRC_ROWS = "SELECT component, line_no, line FROM report_lines WHERE component % 11 > 0"
+LVS_ROWS = "SELECT component, line_no, line FROM lvs_lines WHERE component % 5 > 0"
+DOCUMENTS = with_views("results", "report_lines", "lvs_lines", runs=RUNS) + f"""
+, measures AS ({MEASURES}), dl AS ({DRC_ROWS}), ll AS ({LVS_ROWS})""" + r"""
+, dt AS (SELECT component, line_no, trim(line) AS line FROM dl WHERE trim(line) <> '----------------------------------------'),
+dm AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^[a-zA-Z]') THEN line END IGNORE NULLS) OVER (PARTITION BY component ORDER BY line_no) AS rule FROM dt),
+de AS (SELECT component, count(*) FILTER (regexp_matches(line, '^[0-9]')) AS n, string_agg(concat(COALESCE(rule, ''), ' > ', line), ';' ORDER BY line_no) FILTER (regexp_matches(line, '^[0-9]')) AS e FROM dm GROUP BY component),
+lm AS (SELECT component, line_no, line, CASE WHEN regexp_matches(line, 'Net:\s*([^|]+)\s*\|\s*\(no matching net\)') THEN 1 WHEN regexp_matches(line, 'Instance:\s*([^|]+)\s*\|\s*\(no matching instance\)') THEN 2
+   WHEN regexp_matches(line, '\|\s*([^|]+)\s*\(no matching net\)') THEN 3 WHEN regexp_matches(line, '\|\s*([^|]+)\s*\(no matching instance\)') THEN 4 END AS k FROM ll),
+ln AS (SELECT *, trim(CASE k WHEN 1 THEN regexp_extract(line, 'Net:\s*([^|]+)\|', 1) WHEN 2 THEN regexp_extract(line, 'Instance:\s*([^|]+)\|', 1) ELSE regexp_extract(line, '\|\s*([^|]+)\(', 1) END) AS name FROM lm),
+le AS (SELECT component, bool_or(contains(line, 'Netlists match') OR contains(line, 'Circuits match uniquely')) AS p, count(k) AS n,
+   string_agg(concat(name, CASE WHEN k <= 2 THEN ' not in schematic' ELSE ' not in layout' END), ';' ORDER BY line_no) FILTER (k IN (1, 3)) AS nets,
+   string_agg(concat(name, CASE WHEN k <= 2 THEN ' not in schematic' ELSE ' not in layout' END), ';' ORDER BY line_no) FILTER (k IN (2, 4)) AS instances FROM ln GROUP BY component),
+j AS (SELECT r.*, de.component IS NOT NULL AS drc_ran, COALESCE(de.n = 0 AND drc_error IS NULL, false) AS drc_ok, de.n AS drc_n, de.e AS drc_e, le.component IS NOT NULL AS lvs_ran,
+   COALESCE(p AND le.n = 0 AND lvs_error IS NULL, false) AS lvs_ok, le.n AS lvs_n, le.nets, le.instances FROM runs r LEFT JOIN de ON de.component = r.component LEFT JOIN le ON le.component = r.component)
+SELECT component_name, strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, NOT (drc_ok AND lvs_ok) AS drc_lvs_fail,
+   CASE WHEN drc_error IS NOT NULL THEN concat('error: ', drc_error) WHEN NOT drc_ran THEN 'not run' WHEN drc_ok THEN 'pass' ELSE 'fail' END AS drc_status, drc_report_path,
+   CASE WHEN drc_error IS NULL THEN drc_n END AS drc_errors, CASE WHEN drc_error IS NULL AND drc_ran THEN COALESCE(drc_e, '') END AS drc_details,
+   CASE WHEN lvs_error IS NOT NULL THEN concat('error: ', lvs_error) WHEN NOT lvs_ran THEN 'not run' WHEN lvs_ok THEN 'pass' ELSE 'fail' END AS lvs_status, lvs_report_path,
+   CASE WHEN lvs_error IS NULL AND lvs_ran THEN COALESCE(j.nets, '') END AS lvs_nets, CASE WHEN lvs_error IS NULL AND lvs_ran THEN COALESCE(j.instances, '') END AS lvs_instances,
+   COALESCE(pex_status, 'not run') AS pex_status, COALESCE(area_um2, 0) AS raw_area_um2
+FROM j LEFT JOIN measures m ON m.component = j.component"""
+
+
+@query("evaluation_documents", DOCUMENTS)
+def _(spark, sf):
+    measures = spark.sql(MEASURES.replace("FROM results", "FROM {results}"), results=view(spark, sf, "results"))
+    drc = view(spark, sf, "report_lines").where("component % 11 > 0")
+    lvs = view(spark, sf, "lvs_lines").where("component % 5 > 0")
+    parasitics = measures.select("component", "pex_status", "total_resistance_ohms", "total_capacitance_farads")
+    geometry = measures.select("component", "area_um2", "symmetry_horizontal", "symmetry_vertical")
+    got = records.evaluation_documents(run_sql(spark, sf, RUNS), drc, lvs, parasitics, geometry)
+    lost = lambda x: F.concat(x["name"], F.lit(" not in "), x["missing_in"])
+    parsed = lambda kind: F.array_join(F.transform(f"lvs.summary.mismatch_details.unmatched_{kind}_parsed", lost), ";").alias(f"lvs_{kind}")
+    return got.select(
+        "component_name", "timestamp", "drc_lvs_fail", F.col("drc.status").alias("drc_status"), F.col("drc.report_path").alias("drc_report_path"),
+        F.col("drc.summary.total_errors").alias("drc_errors"),
+        F.array_join(F.transform("drc.summary.error_details", lambda x: F.concat(x["rule"], F.lit(" > "), x["details"])), ";").alias("drc_details"),
+        F.col("lvs.status").alias("lvs_status"), F.col("lvs.report_path").alias("lvs_report_path"), parsed("nets"), parsed("instances"),
+        F.col("pex.status").alias("pex_status"), "geometric.raw_area_um2",
+    )
+
+
 @query("result_rows", with_views("results") + FLAT)
 def _(spark, sf):
     return records.result_rows(_evaluations(spark, sf), "component_name")

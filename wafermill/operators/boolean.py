@@ -1,11 +1,11 @@
 """Boolean combination of rectangle layers by tiles and slabs.
 
-Tiles follow the data, not a unit of length: their borders are rectangle edges picked by digest,
-about as many along each axis as make PER_TILE rectangles a tile if they were spread evenly. One
-rectangle alone is one tile, however large it is; a rectangle as long as the chip spans as many
-tiles as there are borders, which is the root of the number of rectangles. In a tile the
-distinct x edges make slabs, and in a slab the y edges are swept with a running depth for each
-side. Equal edges are summed before the shuffle.
+Tiles follow the data, not a unit of length: the plane is cut into strips at quantiles of the x
+edges, and each strip into tiles at quantiles of the y edges inside it, so tiles hold about PER_TILE
+rectangles each also where the data lie along a line. One rectangle alone is one tile, however
+large it is; a rectangle as long as the chip spans as many strips as there are, which is the root
+of the number of tiles. In a tile the distinct x edges make slabs, and in a slab the y edges
+are swept with a running depth for each side. Equal edges are summed before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wafermill.plans.attach import attach, null_safe_join
+from wafermill.plans.attach import attach
 from wafermill.session import cut_lineage
 
 PER_TILE = 64
+#: Sampled edges for each border: the more, the more even the tiles.
+SAMPLED = 16
 #: Stands for the open end of the first and the last tile.
 FAR = 2**60
 BOX = ["xl", "yl", "xh", "yh"]
@@ -29,32 +31,52 @@ OPERATIONS = {
 }
 
 
-def tile_borders(rects: DataFrame, by: list[str], per_tile: int = PER_TILE) -> DataFrame:
-    """Sorted tile borders ``_bx`` and ``_by`` of every group.
+def borders(rects: DataFrame, by: list[str], axis: str, classes: Column) -> DataFrame:
+    """Sorted places ``_b`` that cut the edges of an axis into even parts in every group.
 
-    An edge is a border if its digest falls into one of as many classes as leave about
-    sqrt(rectangles / ``per_tile``) of the distinct edges of an axis; groups up to ``per_tile``
-    rectangles have none.
+    Of the digests of edges one in ``classes`` is sampled, and every SAMPLED-th sample is a border.
+    Groups of so few edges that one part holds them are left out.
     """
-    edges = rects.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(axis).alias("axis"), F.col(f"{axis}{end}").alias("v")) for axis in ("x", "y") for end in ("l", "h")
-    ])).alias("e")).select(*by, "e.*")
-    on = lambda axis: F.when(F.col("axis") == axis, F.col("v"))
-    sizes = edges.groupBy(*by).agg(
-        (F.count(F.lit(1)) / 4).alias("_n"), *[F.approx_count_distinct(on(axis)).alias(f"_d{axis}") for axis in ("x", "y")]
-    ).where(F.col("_n") > per_tile)
-    wanted = F.sqrt(F.col("_n") / F.lit(float(per_tile)))
-    classes = F.ceil(F.when(F.col("axis") == "x", F.col("_dx")).otherwise(F.col("_dy")) / wanted).cast("long")
-    picked = attach(edges, sizes, by).where(F.pmod(F.xxhash64("v"), classes) == 0)
-    return picked.groupBy(*by).agg(*[
-        F.sort_array(F.collect_set(on(axis))).alias(f"_b{axis}") for axis in ("x", "y")
-    ])
-
-
-def _tiles(borders: Column, low: Column, high: Column) -> Column:
-    """Numbers of the tiles that [low, high) touches."""
-    first = F.size(F.filter(borders, lambda v: v <= low))
-    return F.explode(F.sequence(first, F.greatest(first, F.size(F.filter(borders, lambda v: v < high)))))
+    edges = rects.select(*by, classes.alias("_c"), F.xxhash64(*BOX).alias("_h"), F.explode(F.array(f"{axis}l", f"{axis}h")).alias("v"))
+    picked = edges.where(F.pmod(F.xxhash64("_h", "v"), F.col("_c")) == 0).groupBy(*by).agg(F.sort_array(F.collect_list("v")).alias("_v"))
+    every = F.filter("_v", lambda v, k: k % SAMPLED == SAMPLED // 2)
+    return picked.where(F.size("_v") > SAMPLED).select(*by, F.array_distinct(every).alias("_b"))
+
+
+def _below(places: Column, value: Column, equal: bool) -> Column:
+    """How many of the sorted ``places`` are below ``value`` (or equal to it): a binary search."""
+
+    def step(found: Column, size: Column) -> Column:
+        at = F.get(places, found + size - 1)
+        return F.when(at <= value if equal else at < value, found + size).otherwise(found)
+
+    sizes = F.array(*[F.lit(1 << k) for k in reversed(range(20))])
+    return F.when(F.size(places) == 0, 0).otherwise(F.aggregate(F.filter(sizes, lambda x: x <= F.size(places)), F.lit(0), step))
+
+
+def _cut(rects: DataFrame, by: list[str], axis: str, places: DataFrame, halo: int) -> DataFrame:
+    """A row for each part between ``places`` that a rectangle touches along ``axis``: its number
+    ``t{axis}`` and its ends ``_{axis}0`` and ``_{axis}1``."""
+    none = F.array().cast("array<bigint>")
+    placed = attach(rects, places, by, "left").withColumn("_b", F.coalesce("_b", none))
+    first = _below(F.col("_b"), F.col(f"{axis}l") - halo, True)
+    placed = placed.withColumn("_first", first).withColumn("_last", F.greatest("_first", _below(F.col("_b"), F.col(f"{axis}h") + halo, False)))
+    placed = placed.withColumn(f"t{axis}", F.explode(F.sequence("_first", "_last")))
+    place = F.col(f"t{axis}")
+    start = F.coalesce(F.when(place > 0, F.get("_b", place - 1)), F.lit(-FAR).cast("long"))
+    return placed.withColumn(f"_{axis}0", start).withColumn(f"_{axis}1", F.coalesce(F.get("_b", place), F.lit(FAR).cast("long"))).drop("_b", "_first", "_last")
+
+
+def tiled(rects: DataFrame, by: list[str], per_tile: int = PER_TILE, halo: int = 0) -> DataFrame:
+    """A row for each tile (``tx``, ``ty``, ends ``_x0`` to ``_y1``) that a rectangle touches; along y
+    also those that only its ``halo`` touches. Strips are about as many as tiles in each."""
+    sizes = rects.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_tile)
+    strips = F.ceil(F.sqrt(F.col("_n") / F.lit(float(per_tile))))
+    sizes = sizes.select(*by, F.greatest(F.lit(1), F.floor(2 * F.col("_n") / (strips * SAMPLED))).cast("long").alias("_classes"))
+    cut = _cut(rects, by, "x", borders(attach(rects, sizes, by), by, "x", F.col("_classes")), 0)
+    cut = cut_lineage(cut)
+    inside = [*by, "tx"]
+    return _cut(cut, inside, "y", borders(cut, inside, "y", F.lit(max(1, 2 * per_tile // SAMPLED))), halo)
 
 
 def slab_intervals(sides: DataFrame, by: list[str], op: str, halo: int = 0, per_tile: int = PER_TILE) -> DataFrame:
@@ -67,25 +89,18 @@ def slab_intervals(sides: DataFrame, by: list[str], op: str, halo: int = 0, per_
     """
     cut = sides.where("xl < xh AND yl < yh").select(*by, *BOX, "a", "b")
     cut = cut_lineage(cut.groupBy(*by, *BOX).agg(F.max("a").alias("a"), F.max("b").alias("b")))
-    none = F.array().cast("array<bigint>")
-    cut = attach(cut, tile_borders(cut, by, per_tile), by, "left")
-    cut = cut.withColumn("_bx", F.coalesce("_bx", none)).withColumn("_by", F.coalesce("_by", none))
-    cut = cut.withColumn("tx", _tiles(F.col("_bx"), F.col("xl"), F.col("xh")))
-    cut = cut.withColumn("ty", _tiles(F.col("_by"), F.col("yl") - halo, F.col("yh") + halo))
-    border = lambda name, i, end: F.coalesce(F.try_element_at(name, F.when(i > 0, i)), F.lit(end).cast("long"))
-    x0, x1 = border(F.col("_bx"), F.col("tx"), -FAR), border(F.col("_bx"), F.col("tx") + 1, FAR)
-    y0, y1 = border(F.col("_by"), F.col("ty"), -FAR), border(F.col("_by"), F.col("ty") + 1, FAR)
-    cut = cut.select(
-        *by, "tx", "ty", "a", "b", y0.alias("_y0"), y1.alias("_y1"),
-        F.greatest("xl", x0).alias("xl"), F.greatest("yl", y0 - halo).alias("yl"),
-        F.least("xh", x1).alias("xh"), F.least("yh", y1 + halo).alias("yh"),
-    )
-    place = [*by, "tx", "ty", "_y0", "_y1"]
-    cut = cut.groupBy(*place, *BOX).agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    edges = cut.select(*place, F.explode(F.array("xl", "xh")).alias("x")).groupBy(*place).agg(
-        F.sort_array(F.collect_set("x")).alias("xs")
+    cut = tiled(cut, by, per_tile, halo).select(
+        *by, "tx", "ty", "a", "b", "_y0", "_y1",
+        F.greatest("xl", "_x0").alias("xl"), F.greatest("yl", F.col("_y0") - halo).alias("yl"),
+        F.least("xh", "_x1").alias("xh"), F.least("yh", F.col("_y1") + halo).alias("yh"),
     )
-    spread = null_safe_join(cut, edges, place)
+    # All that follows works inside tiles, so the rows are shuffled once.
+    place = [*by, "tx", "ty"]
+    cut = cut.repartition(*place).groupBy(*place, "_y0", "_y1", *BOX).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    tile = Window.partitionBy(*place)
+    xs = F.array_union(F.collect_set("xl").over(tile), F.collect_set("xh").over(tile))
+    place = [*place, "_y0", "_y1"]
+    spread = cut.withColumn("xs", F.sort_array(xs))
     first, last = F.array_position("xs", F.col("xl")), F.array_position("xs", F.col("xh"))
     spread = spread.withColumn("i", F.explode(F.sequence(first, last - 1)))
     slab = spread.select(

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wafermill.plans.attach import attach
-from wafermill.plans.gridjoin import near_pairs
-from wafermill.plans.ranks import range_rank
+from wafermill.plans.attach import attach, null_safe_join
+from wafermill.plans.metricindex import MetricIndex
 from wafermill.session import cut_lineage
 
-GRID = 2**20
-
 
 def normalise_axes(samples: DataFrame, specs: DataFrame) -> DataFrame:
     """(value - min) / (max - min) per (pcell, axis); every place of an axis has its own value."""
@@ -21,88 +16,26 @@ def normalise_axes(samples: DataFrame, specs: DataFrame) -> DataFrame:
     return both.withColumn("unit", (F.col("value") - F.col("min")) / (F.col("max") - F.col("min"))).drop("min", "max")
 
 
-def _squared(a: str, b: str, dims: int) -> Column:
-    steps = [F.pow(F.col(f"{a}{i}") - F.col(f"{b}{i}"), F.lit(2.0)) for i in range(dims)]
-    return reduce(lambda x, y: x + y, steps)
-
-
 def nearest_neighbour(points: DataFrame, family: list[str], key: str, axes: list[str]) -> DataFrame:
-    """Exact distance of each point to the closest other point of its family.
-
-    1. Equal points are merged; copies of a point have distance 0.
-    2. Along a Z-order curve each point has a neighbour that shares the smallest grid
-       square with it. Its distance is an upper bound, found by a range sort and an
-       equi-join on consecutive ranks.
-    3. The points inside that bound are looked up by the pyramid grid join on the first
-       two axes, where the distance is never larger than the full one.
-
-    Dense clusters get small bounds and sparse regions large ones, so neither all pairs of
-    a family nor all points of a crowded cell are compared. A family of one point has no
-    neighbour and gives null.
+    """Exact distance of each point to the closest other point of its family, over all ``axes``.
+
+    Equal points are merged; copies of a point have distance 0. The others are looked up in a
+    metric index (:mod:`wafermill.plans.metricindex`): the points beside them in a ring around a
+    pivot give an upper bound, and only rings that may hold a nearer point are compared. Points
+    spread evenly over many axes are all about equally far from each other; there every exact
+    method compares most pairs, and this one too. A family of one point has no neighbour and
+    gives null, and so does a point with a coordinate that is null or not finite, which is
+    nobody's neighbour. Null families are one family.
     """
-    dims = len(axes)
-    named = points.select(*family, key, *[F.col(a).cast("double").alias(f"c{i}") for i, a in enumerate(axes)])
-    coords = [f"c{i}" for i in range(dims)]
-    merged = named.groupBy(*family, *coords).agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("copies"))
-    box = merged.groupBy(*family).agg(
-        *[f(c).alias(f"{n}_{c}") for c in coords[:2] for n, f in (("lo", F.min), ("hi", F.max))]
-    )
-    merged = attach(merged, box, family)
-    span = reduce(F.greatest, [F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in coords[:2]]) if dims > 1 else F.col("hi_c0") - F.col("lo_c0")
-    unit = F.when(span > 0, F.lit(float(GRID)) / span).otherwise(1.0)
-    merged = merged.withColumn("_s", unit)
-    for i, c in enumerate(coords[:2]):
-        merged = merged.withColumn(f"g{i}", (F.col(c) - F.col(f"lo_{c}")) * F.col("_s"))
-    if dims == 1:
-        merged = merged.withColumn("g1", F.lit(0.0))
-    merged = merged.drop(*[f"{n}_{c}" for c in coords[:2] for n in ("lo", "hi")])
-    ranked = range_rank(
-        merged.withColumn("_z", _z_order(F.col("g0"), F.col("g1"))), family, [F.col("_z").asc(), F.col("id").asc()], "_r"
-    )
-    follower = ranked.select(
-        *family, (F.col("_r") - 1).alias("_r"), F.col("id").alias("n_id"), *[F.col(c).alias(f"n{c}") for c in coords]
-    )
-    steps = ranked.join(follower, [*family, "_r"]).select(
-        *family, "id", "n_id", F.sqrt(_squared("c", "nc", dims)).alias("d")
-    )
-    bounds = (
-        steps.select(*family, "id", "d").union(steps.select(*family, F.col("n_id").alias("id"), "d"))
-        .groupBy(*family, "id").agg(F.min("d").alias("_bound"))
-    )
-    # The bound may be rounded up, never down, or the nearest point could be cut off.
-    bounded = cut_lineage(ranked.join(bounds, [*family, "id"], "left"))
-    reach = F.col("_bound") * F.col("_s") * (1 + 1e-9)
-    queries = bounded.where("_bound IS NOT NULL AND copies = 1").select(
-        *family, "id", *coords,
-        F.floor(F.col("g0") - reach).alias("xl"), F.floor(F.col("g1") - reach).alias("yl"),
-        F.ceil(F.col("g0") + reach).alias("xh"), F.ceil(F.col("g1") + reach).alias("yh"),
-    )
-    targets = bounded.select(
-        *family, "id", *coords,
-        F.floor("g0").alias("xl"), F.floor("g1").alias("yl"),
-        F.ceil("g0").alias("xh"), F.ceil("g1").alias("yh"),
-    )
-    pairs = near_pairs(queries, targets, family, 0, coords).where("a_id <> b_id")
-    near = pairs.groupBy(*family, F.col("a_id").alias("id")).agg(
-        F.min(F.sqrt(_squared("a_c", "b_c", dims))).alias("_near")
-    )
-    found = bounded.join(near, [*family, "id"], "left").select(
-        *family, *coords,
-        F.when(F.col("copies") > 1, 0.0).otherwise(F.col("_near")).alias("nn_distance"),
-    )
-    return named.join(found, [*family, *coords]).select(*family, key, "nn_distance")
-
-
-def _z_order(x: Column, y: Column) -> Column:
-    """Interleave the bits of two numbers below 2^20 + 1 by the usual spreading masks."""
-
-    def spread(value: Column) -> Column:
-        v = F.least(F.floor(value), F.lit(GRID - 1)).cast("long")
-        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
-        return v
-
-    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+    place = F.array(*[F.col(a).cast("double") + F.lit(0.0) for a in axes])
+    named = points.select(*family, key, place.alias("v"))
+    known = F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    merged = named.where(known).groupBy(*family, "v").agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("copies"))
+    merged = cut_lineage(merged)
+    nearest = MetricIndex(merged, family, len(axes)).nearest()
+    found = null_safe_join(merged, nearest, [*family, "id"])
+    found = found.select(*family, "v", F.when(F.col("copies") > 1, 0.0).otherwise(F.col("nearest")).alias("nn_distance"))
+    return null_safe_join(named, found, [*family, "v"], "left").select(*family, key, "nn_distance")
 
 
 def min_pairwise_distance(points: DataFrame, family: list[str], key: str, axes: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wafermill.functions.columns import strip, tokens
-from wafermill.plans.attach import attach
+from wafermill.plans.attach import attach, null_safe_join
 from wafermill.plans.components import connected_components
 from wafermill.plans.expand import numbered_rows
 from wafermill.plans.ranks import range_rank
@@ -64,7 +64,7 @@ def netlist_name(lines: DataFrame) -> DataFrame:
     named = lines.where(F.contains("line", F.lit("subckt")))
     first = named.groupBy("path").agg(F.min_by("line", "line_no").alias("_first"))
     name = F.coalesce(F.try_element_at(F.split("_first", " "), F.lit(2)), F.lit("Netlist"))
-    return lines.select("path").distinct().join(first, "path", "left").select("path", name.alias("circuit_name"))
+    return null_safe_join(lines.select("path").distinct(), first, ["path"], "left").select("path", name.alias("circuit_name"))
 
 
 def top_design_name(lines: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def top_design_name(lines: DataFrame) -> DataFrame:
     ends = lines.where(text.startswith(".ends"))
     last = ends.groupBy("path").agg(F.max_by(text, "line_no").alias("_last"))
     top = F.try_element_at(tokens(F.col("_last")), F.lit(2))
-    return lines.select("path").distinct().join(last, "path", "left").select("path", top.alias("top"))
+    return null_safe_join(lines.select("path").distinct(), last, ["path"], "left").select("path", top.alias("top"))
 
 
 def connection_table(instances: DataFrame, subckts: DataFrame) -> DataFrame:
@@ -231,10 +231,10 @@ def name_wires(pairs: DataFrame) -> DataFrame:
     edges = pairs.select("netlist", F.col("pin_a").alias("u"), F.col("pin_b").alias("v"))
     labels = connected_components(edges, ["netlist"])
     alone = edges.where("u = v").select("netlist", F.col("u").alias("node"), F.col("v").alias("label"))
-    alone = alone.distinct().join(labels.select("netlist", "node"), ["netlist", "node"], "left_anti")
+    alone = null_safe_join(alone.distinct(), labels.select("netlist", "node"), ["netlist", "node"], "left_anti")
     labels = labels.union(alone)
     order = range_rank(labels.select("netlist", "label").distinct(), ["netlist"], [F.col("label").asc()], "_k")
-    return labels.join(order, ["netlist", "label"]).select(
+    return null_safe_join(labels, order, ["netlist", "label"]).select(
         "netlist", F.col("node").alias("pin"), F.concat(F.lit("wire"), F.col("_k") - 1).alias("wire")
     )
 

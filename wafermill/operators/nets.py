@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wafermill.operators.boolean import BOX
 from wafermill.operators.spatial import _spaced, distinct_rects
+from wafermill.plans.attach import null_safe_join
 from wafermill.plans.components import connected_components
 from wafermill.plans.gridjoin import near_pairs
 
@@ -34,9 +35,9 @@ def extract_nets(shapes: DataFrame, connections: list[tuple[str, str]]) -> DataF
     pairs = near_pairs(linked(0), linked(1), ["component", "_link", "_own"]).where("_link >= 0 OR a_id < b_id")
     edges = pairs.select("component", F.col("a_id").alias("u"), F.col("b_id").alias("v"))
     labels = connected_components(edges, ["component"])
-    named = rects.join(labels.select("component", F.col("node").alias("id"), "label"), ["component", "id"], "left")
+    named = null_safe_join(rects, labels.select("component", F.col("node").alias("id"), "label"), ["component", "id"], "left")
     named = named.select("component", "layer", *BOX, F.coalesce("label", "id").alias("net"))
-    return shapes.join(named, ["component", "layer", *BOX])
+    return null_safe_join(shapes, named, ["component", "layer", *BOX])
 
 
 def net_aware_spacing(netted: DataFrame, layer1: str, layer2: str, conn: int, not_conn: int) -> DataFrame:

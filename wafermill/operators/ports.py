@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wafermill.functions.columns import strip
+from wafermill.plans.attach import attach, null_safe_join
 from wafermill.plans.ranks import range_rank
+from wafermill.session import cut_lineage
 
 # Direction words by first letter, west to south as 1 to 4.
 DIRECTIONS = {1: ["l", "w", "1"], 2: ["u", "n", "2"], 3: ["r", "e", "3"], 4: ["d", "s", "4"]}
@@ -34,7 +36,7 @@ def port_ls(tree: DataFrame, path: str = "") -> DataFrame:
         F.bool_or(F.lit(path == "") | (F.col("path") == path)).alias("known"),
     )
     children = tree.where(here).select("component", "child").distinct()
-    return listed.join(children, "component", "left")
+    return null_safe_join(listed, children, ["component"], "left")
 
 
 def compass(angle: Column) -> Column:
@@ -165,6 +167,44 @@ def parallel_inline_pairs(pairs: DataFrame, tolerance: float = 0.1) -> DataFrame
     return pairs.withColumn("parallel", parallel).withColumn("inline", parallel & (apart <= tolerance))
 
 
+#: Ports of a bucket that one task pairs; a fuller bucket is dealt to several.
+PER_BUCKET = 2000
+
+
+def find_inline_pairs(ports: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """All pairs of ports of a component that are parallel and inline within the tolerance.
+
+    ``ports`` has (component, port_id, cx, cy, orientation); returns (component, a_id, b_id) with
+    ``a_id < b_id`` and the signed ``angle`` of both without its sign. Ports off the four directions
+    have no pairs (:func:`port_checks` names them), nor have those with a null place.
+
+    A band join: the coordinate across the axis falls into buckets as wide as the tolerance, and a port
+    meets the bucket of its own and the next one. The ports of a bucket with many (a long row of
+    ports) are dealt to parts by their id, and the others are sent to every part.
+    """
+    width = F.lit(max(tolerance, 1e-9) * 1.001)
+    angle = F.abs(signed_angle(F.col("orientation")))
+    straight = F.pmod(F.bround(F.col("orientation").cast("double")), F.lit(90.0)) == 0
+    across = F.when(angle == 90, F.col("cx")).otherwise(F.col("cy")).cast("double")
+    rows = ports.where(straight).select(
+        "component", "port_id", (angle == 90).alias("upright"), across.alias("at"), F.when(angle == 90, angle).otherwise(0).alias("angle")
+    )
+    rows = cut_lineage(rows.where("at IS NOT NULL").withColumn("bucket", F.floor(F.col("at") / width)))
+    key = ["component", "upright", "bucket"]
+    parts = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / PER_BUCKET).cast("int").alias("parts")).where("parts > 1")
+    dealt = attach(rows, parts, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    there = dealt.select(*key, F.pmod(F.xxhash64("port_id"), F.col("parts")).alias("part"), F.col("port_id").alias("b_id"), F.col("at").alias("b_at"))
+    # A pair is looked for in the bucket of either; from the lower bucket only, or by id in the same.
+    here = rows.withColumn("_own", F.col("bucket")).withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    here = attach(here, parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    met = null_safe_join(here.withColumn("part", F.col("part").cast("long")), there, [*key, "part"])
+    near = ~(F.least("at", "b_at") < F.greatest("at", "b_at") - tolerance)
+    once = (F.col("_own") < F.col("bucket")) | (F.col("port_id") < F.col("b_id"))
+    return met.where(near & once).select(
+        "component", F.least("port_id", "b_id").alias("a_id"), F.greatest("port_id", "b_id").alias("b_id"), "angle"
+    )
+
+
 def port_checks(ports: DataFrame) -> DataFrame:
     """Ports off the four directions, and ports stored under another name than their own."""
     kinds = F.array_compact(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wafermill.operators import reports
+from wafermill.plans.attach import null_safe_join
+
 METRICS = [
     "total_resistance_ohms", "total_capacitance_farads", "area_um2",
     "symmetry_horizontal", "symmetry_vertical",
@@ -18,8 +21,7 @@ def assemble_evaluation(
     drc_ok = F.coalesce(F.col("drc_pass"), F.lit(False))
     lvs_ok = F.coalesce(F.col("lvs_pass"), F.lit(False))
     return (
-        checks.join(parasitics, key, "left")
-        .join(geometry, key, "left")
+        null_safe_join(null_safe_join(checks, parasitics, [key], "left"), geometry, [key], "left")
         .select(
             key,
             (~(drc_ok & lvs_ok)).alias("drc_lvs_fail"),
@@ -39,6 +41,56 @@ def assemble_evaluation(
     )
 
 
+def evaluation_documents(runs: DataFrame, drc_lines: DataFrame, lvs_lines: DataFrame, parasitics: DataFrame, geometry: DataFrame) -> DataFrame:
+    """The whole evaluation document of every component, joined from its reports and measures.
+
+    ``runs`` has (component, component_name, timestamp, drc_report_path, drc_error, lvs_report_path,
+    lvs_error), one row a component; the reports are lines (component, line_no, line). ``parasitics``
+    and ``geometry`` are those of :func:`assemble_evaluation` by component. A check is "not run" with
+    an empty summary where its report has no lines, "error: ..." where its run has an error, else
+    "pass" or "fail". Errors and mismatches stand in the order of their lines. Null components
+    match each other.
+    """
+    drc = null_safe_join(
+        reports.drc_summary(drc_lines), _listed(reports.drc_violations(drc_lines), "error_details", "rule", "details"), ["component"], "left"
+    )
+    missing = reports.lvs_mismatches(lvs_lines)
+    names = ["type", "name", "present_in", "missing_in"]
+    lvs = reports.lvs_summary(lvs_lines)
+    for kind in ("net", "instance"):
+        lvs = null_safe_join(lvs, _listed(missing.where(F.col("type") == kind), f"unmatched_{kind}s_parsed", *names), ["component"], "left")
+    errors = F.coalesce("error_details", F.array().cast("array<struct<rule:string,details:string>>")).alias("error_details")
+    drc = drc.select("component", F.col("is_pass").alias("_drc_pass"), F.struct("is_pass", "total_errors", errors).alias("_drc"))
+    none = F.array().cast("array<struct<type:string,name:string,present_in:string,missing_in:string>>")
+    details = F.struct("nets", "devices", *[F.coalesce(f"unmatched_{k}s_parsed", none).alias(f"unmatched_{k}s_parsed") for k in ("net", "instance")])
+    lvs = lvs.select(
+        "component", F.col("is_pass").alias("_lvs_pass"), F.struct("is_pass", "conclusion", "total_mismatches", details.alias("mismatch_details")).alias("_lvs")
+    )
+    both = null_safe_join(null_safe_join(runs, drc, ["component"], "left"), lvs, ["component"], "left")
+    seen = {k: F.when(F.col(f"{k}_error").isNull(), F.col(f"_{k}")) for k in ("drc", "lvs")}
+    passed = {k: F.coalesce(F.col(f"_{k}_pass") & F.col(f"{k}_error").isNull(), F.lit(False)) for k in seen}
+    checks = both.select(
+        "component", "component_name", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        *[p.alias(f"{k}_pass") for k, p in passed.items()],
+        *[
+            F.struct(
+                reports.check_status(F.col(f"_{k}").isNotNull(), passed[k], F.col(f"{k}_error")).alias("status"),
+                passed[k].alias("is_pass"), F.col(f"{k}_report_path").alias("report_path"), seen[k].alias("summary"),
+            ).alias(f"_{k}_part")
+            for k in seen
+        ],
+    )
+    numbers = assemble_evaluation(checks.select("component", "drc_pass", "lvs_pass"), parasitics, geometry, "component")
+    whole = null_safe_join(checks, numbers.select("component", "drc_lvs_fail", "pex", "geometric"), ["component"])
+    return whole.select("component", "component_name", "timestamp", "drc_lvs_fail", F.col("_drc_part").alias("drc"), F.col("_lvs_part").alias("lvs"), "pex", "geometric")
+
+
+def _listed(rows: DataFrame, out: str, *names: str) -> DataFrame:
+    """Rows of each component as an array of structs in line order."""
+    ordered = F.sort_array(F.collect_list(F.struct("line_no", *names)))
+    return rows.groupBy("component").agg(F.transform(ordered, lambda x: F.struct(*[x[n].alias(n) for n in names])).alias(out))
+
+
 def result_rows(evaluations: DataFrame, *keep: str) -> DataFrame:
     """Flat result rows from nested evaluations; success means both checks passed."""
     return evaluations.select(

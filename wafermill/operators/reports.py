@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wafermill.functions.columns import plain_float, strip, tokens
+from wafermill.plans.attach import null_safe_join
 from wafermill.plans.scan import LINES_PER_CHUNK, carry_forward
 
 # Texts and patterns of the reports.
@@ -45,7 +46,7 @@ def drc_summary(lines: DataFrame, components: DataFrame | None = None) -> DataFr
         F.max_by(text.rlike(r"(?i)count:\s*0\s*$"), F.when(text != "", F.col("line_no"))).alias("_clean_end"),
     )
     if components is not None:
-        counted = components.join(counted, "component", "left")
+        counted = null_safe_join(components, counted, ["component"], "left")
     errors = F.coalesce("total_errors", F.lit(0))
     clean_end = F.coalesce("_clean_end", F.lit(False))
     return counted.select(
@@ -105,7 +106,7 @@ def _lvs(lines: DataFrame, strict: bool) -> DataFrame:
         F.max_by(F.when(devices, after), F.when(devices, F.col("line_no"))).alias("_devices"),
         F.max_by(F.when(nets, after), F.when(nets, F.col("line_no"))).alias("_nets"),
     )
-    seen = seen.join(numbers, "component", "left")
+    seen = null_safe_join(seen, numbers, ["component"], "left")
     clean = F.col("total_mismatches") == 0
     if strict:
         passed = F.col("_passed") & ~F.col("_failed")
@@ -152,7 +153,7 @@ def pex_totals(lines: DataFrame, components: DataFrame | None = None) -> DataFra
         F.sum(F.when(long_enough & name.startswith("C"), cap)).alias("_c"),
     )
     if components is not None:
-        sums = components.join(sums, "component", "left")
+        sums = null_safe_join(components, sums, ["component"], "left")
     return sums.select(
         "component",
         F.coalesce("_r", F.lit(0.0)).alias("total_resistance_ohms"),

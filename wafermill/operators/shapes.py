@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wafermill.operators.boolean import boolean_rects, merged_area
-from wafermill.plans.attach import attach
+from wafermill.plans.attach import attach, null_safe_join
 
 
 def extract_layers(shapes: DataFrame, layers: list[str]) -> DataFrame:
@@ -54,18 +54,22 @@ def symmetry_scores(shapes: DataFrame, by: list[str]) -> DataFrame:
     as often as they are drawn; the xor works on the union.
     """
     area = component_area(shapes, by)
-    box = ["xl", "yl", "xh", "yh"]
-    plain = shapes.select(*by, *box)
-    flips = {
-        "horizontal": (-F.col("xh"), F.col("yl"), -F.col("xl"), F.col("yh")),
-        "vertical": (F.col("xl"), -F.col("yh"), F.col("xh"), -F.col("yl")),
-    }
+    plain = shapes.select(*by, "xl", "yl", "xh", "yh")
     out = area
-    for name, coords in flips.items():
-        mirror = plain.select(*by, *[c.alias(b) for c, b in zip(coords, box, strict=True)])
-        odd = boolean_rects(plain, mirror, by, "xor")
-        size = (F.col("xh") - F.col("xl")) * (F.col("yh") - F.col("yl"))
-        out = out.join(odd.groupBy(*by).agg(F.sum(size).alias(f"_{name}")), by, "left")
+    for name, axis in (("horizontal", "x"), ("vertical", "y")):
+        # The difference is its own mirror image, so it is measured on one side of the axis: the
+        # shapes there against what lies on the other side, folded over.
+        low, high = F.col(f"{axis}l"), F.col(f"{axis}h")
+        zero = F.lit(0).cast("long")
+        here = plain.where(high > 0).withColumn(f"{axis}l", F.greatest(low, zero))
+        there = plain.where(low < 0).select(
+            *by, *[
+                {f"{axis}l": F.greatest(-high, zero), f"{axis}h": -low}.get(c, F.col(c)).alias(c) for c in ("xl", "yl", "xh", "yh")
+            ]
+        )
+        odd = boolean_rects(here, there, by, "xor")
+        size = 2 * (F.col("xh") - F.col("xl")) * (F.col("yh") - F.col("yl"))
+        out = null_safe_join(out, odd.groupBy(*by).agg(F.sum(size).alias(f"_{name}")), by, "left")
     zero = F.col("area") == 0
 
     def score(name: str) -> Column:
@@ -82,8 +86,8 @@ def move_shapes(shapes: DataFrame, moves: DataFrame, to_centre: bool = False) ->
     half units go down; components without a row stay where they are.
     """
     if to_centre:
-        box = bbox(moves.select("component").join(shapes, "component"), ["component"])
-        placed = moves.join(box.select("component", "cx", "cy"), "component")
+        box = bbox(null_safe_join(shapes, moves.select("component").distinct(), ["component"], "left_semi"), ["component"])
+        placed = null_safe_join(moves, box.select("component", "cx", "cy"), ["component"])
         moves = placed.select(
             "component",
             F.floor(F.coalesce("x", F.lit(0)) - F.col("cx")).alias("dx"),
@@ -106,7 +110,7 @@ def array_copy(shapes: DataFrame, arrays: DataFrame, between: bool = True) -> Da
     plan = arrays
     if between:
         box = bbox(shapes, ["component"]).select("component", "width", "height")
-        plan = arrays.join(box, "component").select(
+        plan = null_safe_join(arrays, box, ["component"]).select(
             "component", "rows", "cols", (F.col("dx") + F.col("width")).alias("dx"), (F.col("dy") + F.col("height")).alias("dy")
         )
     copies = attach(shapes, plan, ["component"])

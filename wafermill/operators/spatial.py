@@ -7,16 +7,19 @@ own. Filters give back all copies.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wafermill.operators.boolean import BOX, boolean_rects, rect_area, slab_intervals, two_sides
-from wafermill.plans.attach import attach
+from wafermill.operators.boundary import boundary_edges, held_shapes, margins
+from wafermill.plans.attach import attach, null_safe_join
 from wafermill.plans.components import connected_components
 from wafermill.plans.expand import numbered_rows
 from wafermill.plans.gridjoin import gap_squared, near_pairs
+from wafermill.session import cut_lineage
 
 
 def distinct_rects(shapes: DataFrame, by: list[str]) -> DataFrame:
@@ -32,7 +35,8 @@ def _swap(df: DataFrame) -> DataFrame:
 def _runs(shapes: DataFrame, by: list[str], reach: int, gaps: bool, limit: Column) -> DataFrame:
     """Merged intervals (or the gaps between them) shorter than ``limit``, both directions.
 
-    The slabs are swept along y, then with x and y exchanged along x.
+    The slabs are swept along y, then with x and y exchanged along x. Slabs side by side with the
+    same interval are one box, so the boxes do not depend on how a shape was cut.
     """
     found = []
     for direction in ("y", "x"):
@@ -43,12 +47,20 @@ def _runs(shapes: DataFrame, by: list[str], reach: int, gaps: bool, limit: Colum
             runs = runs.withColumn("_next", F.lead("yl").over(line)).where("_next IS NOT NULL")
             runs = runs.withColumn("yl", F.col("yh")).withColumn("yh", F.col("_next")).drop("_next")
         own = (F.col("yl") >= F.col("_y0")) & (F.col("yl") < F.col("_y1"))
-        short = runs.where(own & (F.col("yh") - F.col("yl") < limit)).drop("_y0", "_y1")
+        short = _side_by_side(runs.where(own & (F.col("yh") - F.col("yl") < limit)).drop("_y0", "_y1"), by)
         back = short if direction == "y" else _swap(short).select(*short.columns)
         found.append(back.select(*by, *BOX, F.lit(direction).alias("direction")))
     return found[0].union(found[1])
 
 
+def _side_by_side(boxes: DataFrame, by: list[str]) -> DataFrame:
+    """Boxes with the same y interval that touch along x become one."""
+    line = Window.partitionBy(*by, "yl", "yh").orderBy("xl")
+    new = F.coalesce(F.lag("xh").over(line) < F.col("xl"), F.lit(True)).cast("int")
+    numbered = boxes.withColumn("_new", new).withColumn("_box", F.sum("_new").over(line))
+    return numbered.groupBy(*by, "yl", "yh", "_box").agg(F.min("xl").alias("xl"), F.max("xh").alias("xh")).select(*by, *BOX)
+
+
 def min_width(shapes: DataFrame, by: list[str], width: int) -> DataFrame:
     """Parts of the merged shapes that are narrower than ``width`` along x or y."""
     return _runs(shapes, by, width, False, F.lit(width))
@@ -63,10 +75,14 @@ def merge_shapes(shapes: DataFrame, by: list[str]) -> DataFrame:
     """Label every shape with the smallest id of the touching shapes it belongs to."""
     rects = distinct_rects(shapes, by)
     touching = near_pairs(rects, rects, by).where("a_id < b_id")
+    return null_safe_join(shapes, _labelled(rects, touching, by).drop("id"), [*by, *BOX])
+
+
+def _labelled(rects: DataFrame, touching: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``, ``id``, box, ``label``): the smallest id reached over ``touching`` pairs."""
     labels = connected_components(touching.select(*by, F.col("a_id").alias("u"), F.col("b_id").alias("v")), by)
-    named = rects.join(labels.select(*by, F.col("node").alias("id"), "label"), [*by, "id"], "left")
-    named = named.select(*by, *BOX, F.coalesce("label", "id").alias("label"))
-    return shapes.join(named, [*by, *BOX])
+    named = null_safe_join(rects, labels.select(*by, F.col("node").alias("id"), "label"), [*by, "id"], "left")
+    return named.select(*by, "id", *BOX, F.coalesce("label", "id").alias("label"))
 
 
 def _spaced(pairs: DataFrame, distance: Column | int) -> DataFrame:
@@ -80,15 +96,18 @@ def min_spacing(shapes: DataFrame, by: list[str], distance: int, mode: str = "is
     ``isolated`` keeps pairs of different merged shapes, ``space`` all pairs.
     """
     rects = distinct_rects(shapes, by)
-    carry = []
+    # One search serves both: touching pairs make the merged shapes, the others are measured.
+    pairs = near_pairs(rects, rects, by, distance).where("a_id < b_id").withColumn("gap2", gap_squared())
+    pairs = pairs.where((F.col("gap2") < distance * distance)).select(*by, "a_id", "b_id", "gap2")
     if mode == "isolated":
-        labels = merge_shapes(shapes, by).groupBy(*by, *BOX).agg(F.min("label").alias("label"))
-        rects = rects.join(labels, [*by, *BOX])
-        carry = ["label"]
-    pairs = near_pairs(rects, rects, by, distance, carry=carry).where("a_id < b_id")
-    if mode == "isolated":
-        pairs = pairs.where("a_label <> b_label")
-    return _spaced(pairs, distance).select(*by, "a_id", "b_id", "gap2")
+        pairs = cut_lineage(pairs)
+        labels = connected_components(pairs.where("gap2 = 0").select(*by, F.col("a_id").alias("u"), F.col("b_id").alias("v")), by)
+        pairs = pairs.where("gap2 > 0")
+        for end in ("a", "b"):
+            named = labels.select(*by, F.col("node").alias(f"{end}_id"), F.col("label").alias(f"{end}_label"))
+            pairs = null_safe_join(pairs, named, [*by, f"{end}_id"], "left")
+        pairs = pairs.where(F.coalesce("a_label", "a_id") != F.coalesce("b_label", "b_id"))
+    return pairs.where("gap2 > 0").select(*by, "a_id", "b_id", "gap2")
 
 
 def min_separation(a: DataFrame, b: DataFrame, by: list[str], distance: int) -> DataFrame:
@@ -104,30 +123,54 @@ def _margin() -> Column:
     )
 
 
-def min_enclosure(outer: DataFrame, inner: DataFrame, by: list[str], distance: int) -> DataFrame:
-    """Outer shapes with a margin below ``distance`` around an inner shape they hold.
+def min_enclosure(outer: DataFrame, inner: DataFrame, by: list[str], distance: Column | int) -> DataFrame:
+    """Merged inner shapes that the outer layer holds with a margin below ``distance``.
 
-    Inner shapes that stick out belong to :func:`relation`.
+    Both layers are merged first, so seams between abutting rectangles are no edges. A shape is named
+    by ``label``, the smallest id of its rectangles; the margin is how far its sides can be
+    moved out before they cross the outline of the outer layer. Shapes that stick out belong to
+    :func:`relation`. ``distance`` may be a column of ``by``.
     """
-    pairs = near_pairs(distinct_rects(outer, by), distinct_rects(inner, by), by).withColumn("margin", _margin())
-    return pairs.where((F.col("margin") >= 0) & (F.col("margin") < distance)).select(*by, "a_id", "b_id", "margin")
+    limit = F.lit(distance) if isinstance(distance, int) else distance
+    parts = cut_lineage(boolean_rects(outer, None, by, "or"))
+    held = cut_lineage(held_shapes(parts, labelled_rects(inner, by), by))
+    near = null_safe_join(margins(parts, held, by, distance), held.select(*by, "id", "label"), [*by, "id"])
+    return near.groupBy(*by, "label").agg(F.min("margin").alias("margin")).where(F.col("margin") < limit)
+
+
+def labelled_rects(shapes: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``, ``id``, box, ``label``) of the distinct rectangles, labelled by their merged shape."""
+    rects = distinct_rects(shapes, by)
+    return cut_lineage(_labelled(rects, near_pairs(rects, rects, by).where("a_id < b_id"), by))
+
+
+def region_adjacency(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Merged shapes of two layers that touch or overlap: (``by``, ``a_label``, ``b_label``).
+
+    Both inputs come from :func:`labelled_rects`. A row stands for any number of rectangle pairs, which
+    are made one before the shuffle.
+    """
+    return near_pairs(a, b, by, carry=["label"]).select(*by, "a_label", "b_label").distinct()
+
+
+def _of_labels(shapes: DataFrame, rects: DataFrame, labels: DataFrame, by: list[str], how: str = "left_semi") -> DataFrame:
+    """Shapes whose merged shape is among ``labels(by, label)``, or not among them."""
+    boxes = null_safe_join(rects, labels, [*by, "label"], how).select(*by, *BOX)
+    return null_safe_join(shapes, boxes, [*by, *BOX], "left_semi")
 
 
 def interacting(
     a: DataFrame, b: DataFrame, by: list[str], least: int = 1, most: int | None = None, negate: bool = False
 ) -> DataFrame:
-    """Shapes of ``a`` that touch or overlap between ``least`` and ``most`` shapes of ``b``.
+    """Shapes of ``a`` whose merged shape touches or overlaps between ``least`` and ``most`` merged
+    shapes of ``b``.
 
     ``negate`` gives the others.
     """
-    pairs = near_pairs(distinct_rects(a, by), distinct_rects(b, by), by, carry=["copies"])
-    box = [F.col(f"a_{c}").alias(c) for c in BOX]
-    if least == 1 and most is None:
-        hits = pairs.select(*by, *box).distinct()
-    else:
-        counted = pairs.groupBy(*by, *[f"a_{c}" for c in BOX]).agg(F.sum("b_copies").alias("n"))
-        hits = counted.where((F.col("n") >= least) & (F.lit(most is None) | (F.col("n") <= (most or 0)))).select(*by, *box)
-    return a.join(hits, [*by, *BOX], "left_anti" if negate else "left_semi")
+    rects = labelled_rects(a, by)
+    counted = region_adjacency(rects, labelled_rects(b, by), by).groupBy(*by, F.col("a_label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    hits = counted.where((F.col("n") >= least) & (F.lit(most is None) | (F.col("n") <= (most or 0))))
+    return _of_labels(a, rects, hits.drop("n"), by, "left_anti" if negate else "left_semi")
 
 
 def covered_area(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
@@ -140,18 +183,20 @@ def covered_area(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
         F.least("a_xh", "b_xh").alias("xh"), F.least("a_yh", "b_yh").alias("yh"),
     ).where("xl < xh AND yl < yh")
     area = boolean_rects(inner, None, [*by, "id"], "or").groupBy(*by, "id").agg(F.sum(rect_area()).alias("covered"))
-    return rects.join(area, [*by, "id"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    return null_safe_join(rects, area, [*by, "id"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
 
 
 def relation(a: DataFrame, b: DataFrame, by: list[str], kind: str) -> DataFrame:
     """Shapes of ``a`` by their place against ``b``.
 
     ``inside``, ``not_inside`` (of the union of b), ``outside`` (no common area),
-    ``overlapping`` (some common area), ``covering`` (holds a whole shape of b).
+    ``overlapping`` (some common area), ``covering`` (its merged shape holds a whole merged shape of b).
     """
     if kind == "covering":
-        pairs = near_pairs(distinct_rects(a, by), distinct_rects(b, by), by).where(_margin() >= 0)
-        hits = pairs.select(*by, *[F.col(f"a_{c}").alias(c) for c in BOX]).distinct()
+        rects, inner = labelled_rects(a, by), labelled_rects(b, by)
+        held = held_shapes(boolean_rects(a, None, by, "or"), inner, by).select(*by, F.col("label").alias("b_label")).distinct()
+        found = null_safe_join(region_adjacency(rects, inner, by), held, [*by, "b_label"]).select(*by, F.col("a_label").alias("label"))
+        return _of_labels(a, rects, found.distinct(), by)
     else:
         area = covered_area(a, b, by)
         tests = {
@@ -161,7 +206,7 @@ def relation(a: DataFrame, b: DataFrame, by: list[str], kind: str) -> DataFrame:
             "overlapping": F.col("covered") > 0,
         }
         hits = area.where(tests[kind]).select(*by, *BOX)
-    return a.join(hits, [*by, *BOX], "left_semi")
+    return null_safe_join(a, hits, [*by, *BOX], "left_semi")
 
 
 def _sized(shapes: DataFrame, by: list[str], d: int) -> DataFrame:
@@ -223,18 +268,11 @@ def bbox_filter(shapes: DataFrame, by: list[str], low: int, high: int) -> DataFr
     return box.where((side >= low) & (side < high))
 
 
-def edge_length_filter(shapes: DataFrame, low: int, high: int | None = None, inside: bool = True) -> DataFrame:
-    """Edges with a length in [low, high] (exactly ``low`` without ``high``), or all others."""
-    edges = F.array(*[
-        F.struct(F.lit(side).alias("edge"), length.alias("length"))
-        for side, length in (
-            ("left", F.col("yh") - F.col("yl")), ("right", F.col("yh") - F.col("yl")),
-            ("bottom", F.col("xh") - F.col("xl")), ("top", F.col("xh") - F.col("xl")),
-        )
-    ])
-    hit = (F.col("length") >= low) & (F.col("length") <= (low if high is None else high))
-    flat = shapes.select("component", "shape_id", "layer", F.explode(edges).alias("e")).select("component", "shape_id", "layer", "e.*")
-    return flat.where(hit if inside else ~hit)
+def edge_length_filter(shapes: DataFrame, by: list[str], low: int, high: int | None = None, inside: bool = True) -> DataFrame:
+    """Edges of the merged shapes with a length in [low, high] (exactly ``low`` without ``high``), or all
+    others: ``by``, ``side``, the edge as a flat box, ``length``."""
+    hit = F.col("length").between(low, low if high is None else high)
+    return boundary_edges(shapes, by).where(hit if inside else ~hit)
 
 
 def offgrid(shapes: DataFrame, grid: int) -> DataFrame:
@@ -248,12 +286,28 @@ def offgrid(shapes: DataFrame, grid: int) -> DataFrame:
 
 
 def overlap_min(a: DataFrame, b: DataFrame, by: list[str], width: int) -> DataFrame:
-    """Overlaps of two layers that are narrower than ``width``."""
-    pairs = near_pairs(distinct_rects(a, by), distinct_rects(b, by), by)
-    w = F.least("a_xh", "b_xh") - F.greatest("a_xl", "b_xl")
-    h = F.least("a_yh", "b_yh") - F.greatest("a_yl", "b_yl")
-    side = F.least(w, h)
-    return pairs.withColumn("overlap", side).where((side > 0) & (side < width)).select(*by, "a_id", "b_id", "overlap")
+    """Places where the common part of two merged layers is narrower than ``width`` along x or y:
+    whole boxes with their ``direction`` and ``overlap``."""
+    thin = _runs(boolean_rects(a, b, by, "and"), by, width, False, F.lit(width))
+    along = F.when(F.col("direction") == "y", F.col("yh") - F.col("yl")).otherwise(F.col("xh") - F.col("xl"))
+    return thin.withColumn("overlap", along)
+
+
+def _box_sums(cells: DataFrame, by: list[str], value: str, spans: dict[str, int]) -> DataFrame:
+    """Sums of ``value`` over boxes of cells that begin at every cell of a full grid ``cx``, ``cy``.
+
+    A summed-area table an axis at a time: running sums along a line of cells, and the difference of
+    two of them. What a box costs does not depend on how many cells it has.
+    """
+    for axis, span in spans.items():
+        line = [*by, *[c for c in ("cx", "cy") if c != axis]]
+        order = Window.partitionBy(*line).orderBy(axis)
+        upto = F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        sums = cells.withColumn("_upto", upto)
+        whole = F.last("_upto").over(order.rowsBetween(0, Window.unboundedFollowing))
+        end = F.coalesce(F.lead("_upto", span - 1).over(order), whole)
+        cells = sums.withColumn("_sum", end - F.col("_upto") + F.col(value)).drop("_upto", value).withColumnRenamed("_sum", value)
+    return cells
 
 
 def window_density(
@@ -263,66 +317,86 @@ def window_density(
 
     Windows start at the lower left of the extent, half a step further in when they slide;
     the share is taken of the part of the window inside the extent. Empty windows count
-    with share 0. The union is cut once into disjoint rectangles, so overlapping windows
-    only repeat those.
+    with share 0. The union is cut once into disjoint rectangles and these into cells as long as
+    the largest common measure of window and step; windows are sums over cells by a
+    summed-area table, so parts are not repeated for windows that overlap.
     """
     shift = 0 if step == window else step // 2
+    cell = math.gcd(window, step)
     box = shapes.groupBy(*by).agg(
         (F.min("xl") + shift).alias("_ox"), (F.min("yl") + shift).alias("_oy"),
         F.max("xh").alias("_ex"), F.max("yh").alias("_ey"),
     ).where("_ox < _ex AND _oy < _ey")
-    nx = F.ceil((F.col("_ex") - F.col("_ox")) / step)
-    ny = F.ceil((F.col("_ey") - F.col("_oy")) / step)
-    tiles = numbered_rows(box.withColumn("_ny", ny), nx * ny, "_k", by)
-    tiles = tiles.withColumn("wx", F.floor(F.col("_k") / F.col("_ny"))).withColumn("wy", F.col("_k") % F.col("_ny"))
+    ny = F.ceil((F.col("_ey") - F.col("_oy")) / cell)
+    grid = numbered_rows(box.withColumn("_ny", ny), F.ceil((F.col("_ex") - F.col("_ox")) / cell) * ny, "_k", by)
+    grid = grid.select(*by, F.floor(F.col("_k") / F.col("_ny")).alias("cx"), (F.col("_k") % F.col("_ny")).alias("cy"), F.lit(0).cast("long").alias("covered"))
     parts = attach(boolean_rects(shapes, None, by, "or"), box, by)
     for axis in ("x", "y"):
         origin = F.col(f"_o{axis}")
-        first = F.greatest(F.lit(0), F.floor((F.col(f"{axis}l") - origin - window) / step) + 1)
-        last = F.least(F.floor((F.col(f"{axis}h") - 1 - origin) / step), F.ceil((F.col(f"_e{axis}") - origin) / step) - 1)
-        parts = parts.where(last >= first).withColumn(f"w{axis}", F.explode(F.sequence(first, last)))
-    x0, y0 = F.col("_ox") + F.col("wx") * step, F.col("_oy") + F.col("wy") * step
-    covered = parts.select(
-        *by, "wx", "wy",
-        ((F.least("xh", x0 + window) - F.greatest("xl", x0)) * (F.least("yh", y0 + window) - F.greatest("yl", y0))).alias("_a"),
-    ).groupBy(*by, "wx", "wy").agg(F.sum("_a").alias("covered"))
+        first = F.greatest(F.lit(0), F.floor((F.col(f"{axis}l") - origin) / cell))
+        last = F.floor((F.col(f"{axis}h") - 1 - origin) / cell)
+        parts = parts.where(last >= first).withColumn(f"c{axis}", F.explode(F.sequence(first, last)))
+        at = origin + F.col(f"c{axis}") * cell
+        parts = parts.withColumn(f"_{axis}", F.least(f"{axis}h", at + cell) - F.greatest(f"{axis}l", at))
+    covered = parts.select(*by, "cx", "cy", (F.col("_x") * F.col("_y")).alias("covered"))
+    cells = grid.unionByName(covered).groupBy(*by, "cx", "cy").agg(F.sum("covered").alias("covered"))
+    if window > cell:
+        cells = _box_sums(cells, by, "covered", {"cx": window // cell, "cy": window // cell})
+    each = step // cell
+    starts = attach(cells.where((F.col("cx") % each == 0) & (F.col("cy") % each == 0)), box, by)
+    x0, y0 = F.col("_ox") + F.col("cx") * cell, F.col("_oy") + F.col("cy") * cell
     size = (F.least("_ex", x0 + window) - x0) * (F.least("_ey", y0 + window) - y0)
-    shares = tiles.withColumn("_size", size).join(covered, [*by, "wx", "wy"], "left")
-    shares = shares.withColumn("covered", F.coalesce("covered", F.lit(0)))
-    shares = shares.withColumn("density", F.col("covered") / F.col("_size"))
-    return shares.where((F.col("density") < low) | (F.col("density") > high)).select(*by, "wx", "wy", "covered", "density")
+    shares = starts.withColumn("density", F.col("covered") / size)
+    wx, wy = (F.col(c) / each for c in ("cx", "cy"))
+    return shares.where((F.col("density") < low) | (F.col("density") > high)).select(
+        *by, wx.cast("long").alias("wx"), wy.cast("long").alias("wy"), "covered", "density"
+    )
 
 
 def check_rule_table(shapes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Apply the width, separation and enclosure rules of a table to all shapes at once.
+    """Apply the width, separation and enclosure rules of a table to all merged shapes at once.
 
-    ``rules`` has (glayer1, glayer2, rule, value) in database units. Output: component,
-    rule, glayer1, glayer2, a_id, b_id, measured. Width is that of the single rectangles.
+    ``rules`` has (glayer1, glayer2, rule, value) in database units. Output: component, rule, glayer1,
+    glayer2, ``a_id``, ``b_id``, ``measured`` and a box. A width row has the narrow part of the merged
+    layer as its box; a separation row names two rectangles (of different merged shapes,
+    if of one layer); an enclosure row names the merged inner shape as ``b_id``.
     """
-    rects = distinct_rects(shapes, ["component", "layer"])
-
-    def ruled(kind: str) -> DataFrame:
-        wanted = rules.where(F.col("rule") == kind).select(F.col("glayer1").alias("layer"), F.col("glayer2").alias("other"), "value")
-        return attach(rects, wanted, ["layer"])
+    none = F.lit(None).cast("long")
+    by = ["component", "glayer1", "glayer2", "value"]
+    rules = cut_lineage(rules.select("glayer1", "glayer2", "rule", F.col("value").cast("long").alias("value")).distinct())
+
+    def ruled(kind: str, end: int) -> DataFrame:
+        wanted = rules.where(F.col("rule") == kind).drop("rule").withColumn("layer", F.col(f"glayer{end}"))
+        return attach(shapes, wanted, ["layer"]).select(*by, "shape_id", *BOX)
+
+    def found(rows: DataFrame, kind: str, a, b, measured, box) -> DataFrame:
+        return rows.select(
+            "component", F.lit(kind).alias("rule"), "glayer1", "glayer2",
+            a.alias("a_id"), b.alias("b_id"), measured.cast("double").alias("measured"), *[c.alias(n) for c, n in zip(box, BOX)],
+        )
 
-    side = F.least(F.col("xh") - F.col("xl"), F.col("yh") - F.col("yl"))
-    narrow = ruled("min_width").where((F.col("layer") == F.col("other")) & (side < F.col("value"))).select(
-        "component", F.lit("min_width").alias("rule"), F.col("layer").alias("glayer1"), F.col("other").alias("glayer2"),
-        F.col("id").alias("a_id"), F.col("id").alias("b_id"), side.cast("double").alias("measured"),
-    )
-    others = rects.withColumnRenamed("layer", "other").withColumn("layer", F.col("other")).withColumn("value", F.lit(0))
-    by = ["component", "other"]
-    apart = near_pairs(ruled("min_separation"), others, by, F.col("value"), carry=["layer", "value"])
-    apart = apart.where((F.col("a_layer") != F.col("other")) | (F.col("a_id") < F.col("b_id")))
-    apart = _spaced(apart, F.col("a_value")).select(
-        "component", F.lit("min_separation").alias("rule"), F.col("a_layer").alias("glayer1"), F.col("other").alias("glayer2"),
-        "a_id", "b_id", F.sqrt("gap2").alias("measured"),
-    )
-    held = near_pairs(ruled("min_enclosure"), others, by, carry=["layer", "value"]).withColumn("margin", _margin())
-    held = held.where((F.col("margin") >= 0) & (F.col("margin") < F.col("a_value"))).where("a_layer <> other").select(
-        "component", F.lit("min_enclosure").alias("rule"), F.col("a_layer").alias("glayer1"), F.col("other").alias("glayer2"),
-        "a_id", "b_id", F.col("margin").cast("double").alias("measured"),
-    )
+    no_box, own_box = [none] * 4, [F.col(c) for c in BOX]
+    widest = rules.where("rule = 'min_width'").agg(F.coalesce(F.max("value"), F.lit(0))).first()[0]
+    narrow = _runs(ruled("min_width", 1).where("glayer1 = glayer2"), by, widest, False, F.col("value"))
+    along = F.when(F.col("direction") == "y", F.col("yh") - F.col("yl")).otherwise(F.col("xh") - F.col("xl"))
+    narrow = found(narrow, "min_width", none, none, along, own_box)
+
+    first, second = (distinct_rects(ruled("min_separation", end), by) for end in (1, 2))
+    apart = near_pairs(first, second, by, F.col("value")).withColumn("gap2", gap_squared())
+    apart = cut_lineage(apart.where((F.col("glayer1") != F.col("glayer2")) | (F.col("a_id") < F.col("b_id"))))
+    one = apart.where("glayer1 = glayer2 AND gap2 = 0")
+    labels = connected_components(one.select(*by, F.col("a_id").alias("u"), F.col("b_id").alias("v")), by)
+    apart = apart.where((F.col("gap2") > 0) & (F.col("gap2") < F.col("value") * F.col("value"))).select(*by, "a_id", "b_id", "gap2")
+    for end in ("a", "b"):
+        named = labels.select(*by, F.col("node").alias(f"{end}_id"), F.col("label").alias(f"{end}_label"))
+        apart = null_safe_join(apart, named, [*by, f"{end}_id"], "left")
+    same = F.coalesce("a_label", "a_id") == F.coalesce("b_label", "b_id")
+    apart = apart.where((F.col("glayer1") != F.col("glayer2")) | ~same)
+    apart = found(apart, "min_separation", F.col("a_id"), F.col("b_id"), F.sqrt("gap2"), no_box)
+
+    other = F.col("glayer1") != F.col("glayer2")
+    held = min_enclosure(ruled("min_enclosure", 1).where(other), ruled("min_enclosure", 2).where(other), by, F.col("value"))
+    held = found(held, "min_enclosure", none, F.col("label"), F.col("margin"), no_box)
     return narrow.union(apart).union(held)
 
 

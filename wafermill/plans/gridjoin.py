@@ -5,17 +5,49 @@ whose cells are at least as long as the grown rectangle, so it touches at most t
 axis, whatever its shape: a long wire has long, flat cells. Two rectangles meet on the coarser
 of their levels along each axis. So along each axis one of them is on its own level, which
 makes four cases; a rectangle is only sent to levels that rectangles of the other table have.
+
+The levels of an axis follow the sizes in the data: of the powers of two in use, RUNGS at most are
+kept, so that a rectangle goes to few pairs of levels however mixed the sizes are, and those are
+kept that make the cells fit most rectangles best. Sizes that are much alike share one level.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wafermill.plans.attach import null_safe_join
 from wafermill.session import cut_lineage
 
 BOX = ["xl", "yl", "xh", "yh"]
+#: Levels an axis at most.
+RUNGS = 3
+
+
+def ladder(counts: dict[int, int], rungs: int = RUNGS) -> list[int]:
+    """The sizes (exponents of two) to keep for the given numbers of rectangles by size.
+
+    Each rectangle goes to the next rung. For every number of rungs those are chosen for which the
+    cells are the least too long, summed over the rectangles; of these choices the one that balances
+    long cells (more candidates) with many rungs (more rows a rectangle) is taken.
+    """
+    sizes = sorted(counts)
+
+    def waste(low: int, top: int) -> float:
+        return sum(counts[sizes[k]] * 2.0 ** (sizes[top] - sizes[k]) for k in range(low, top + 1))
+
+    best = {top: (waste(0, top), [sizes[top]]) for top in range(len(sizes))}
+    choices = []
+    for n in range(1, rungs + 1):
+        if sizes:
+            least, chosen = best[len(sizes) - 1]
+            choices.append((math.sqrt(least) * (n + 1), chosen))
+        best = {
+            top: min([best[top]] + [(best[low][0] + waste(low + 1, top), [*best[low][1], sizes[top]]) for low in range(top)])
+            for top in range(len(sizes))
+        }
+    return min(choices)[1] if choices else []
 
 
 def _level(side: Column) -> Column:
@@ -33,9 +65,32 @@ def _levelled(df: DataFrame) -> DataFrame:
     return df.where("_lx IS NOT NULL AND _ly IS NOT NULL")
 
 
-def _levels(df: DataFrame) -> list[tuple[int, int]]:
-    """The pairs of levels in use: at most one for each two powers of two."""
-    return sorted((r["_lx"], r["_ly"]) for r in df.select("_lx", "_ly").distinct().collect())
+def _levels(df: DataFrame) -> dict[tuple[int, int], int]:
+    """The pairs of sizes in use, at most one for each two powers of two, and how many have them."""
+    return {(r["_lx"], r["_ly"]): r["count"] for r in df.groupBy("_lx", "_ly").count().collect()}
+
+
+def _ladders(*levels: dict[tuple[int, int], int]) -> list[dict[int, int]]:
+    """For each axis the rung of every size in use on either side."""
+    out = []
+    for axis in (0, 1):
+        counts: dict[int, int] = {}
+        for side in levels:
+            for pair, n in side.items():
+                counts[pair[axis]] = counts.get(pair[axis], 0) + n
+        rungs = ladder(counts)
+        out.append({size: next(r for r in rungs if r >= size) for size in counts})
+    return out
+
+
+def _on_rungs(df: DataFrame, ladders: list[dict[int, int]]) -> DataFrame:
+    for axis, rungs in zip(("_lx", "_ly"), ladders):
+        level = F.col(axis)
+        for size, rung in rungs.items():
+            if size != rung:
+                level = F.when(F.col(axis) == size, rung).otherwise(level)
+        df = df.withColumn(axis, level)
+    return df
 
 
 def _placed(df: DataFrame, places: Column) -> DataFrame:
@@ -49,17 +104,20 @@ def _placed(df: DataFrame, places: Column) -> DataFrame:
     return out
 
 
-def candidates(
+def placed_sides(
     a: DataFrame, b: DataFrame, by: list[str], grow: Column | int = 0, carry: list[str] | None = None
-) -> DataFrame:
-    """The pairs that share a cell, before their boxes are compared: what the join has to look at."""
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join: a row for each place and cell of a rectangle."""
     grow = F.lit(grow) if isinstance(grow, int) else grow
     kept = ["id", *BOX, *(carry or [])]
     own = [*by, *kept]
     first = cut_lineage(_levelled(a.withColumn("_g", grow.cast("long"))).select(*own, "_g", "_lx", "_ly"))
-    second = (first if a is b else b).select(*own).withColumn("_g", F.lit(0).cast("long"))
-    second = cut_lineage(_levelled(second).select(*own, "_g", "_lx", "_ly"))
+    second = _levelled((first if a is b else b).select(*own).withColumn("_g", F.lit(0).cast("long")))
+    second = cut_lineage(second.select(*own, "_g", "_lx", "_ly"))
     of_a, of_b = _levels(first), _levels(second)
+    ladders = _ladders(of_a, of_b)
+    of_a, of_b = ({(ladders[0][x], ladders[1][y]) for x, y in pairs} for pairs in (of_a, of_b))
+    first, second = _on_rungs(first, ladders), _on_rungs(second, ladders)
 
     def array(case: int, pairs, keep) -> Column:
         """Places of a case for which ``keep(x, y)`` holds."""
@@ -86,12 +144,27 @@ def candidates(
     )
 
     def side(df: DataFrame, tag: str, places: Column) -> DataFrame:
+        place = F.col("_at.case") * 10_000 + F.col("_at.x") * 100 + F.col("_at.y")
         return _placed(df, places).select(
-            *by, F.col("_at.case").alias("_case"), F.col("_at.x").alias("_px"), F.col("_at.y").alias("_py"), "_cx", "_cy",
-            *[F.col(c).alias(f"{tag}_{c}") for c in [*kept, "_g"]],
+            *[F.col(c).alias(f"{tag}_{c}") for c in [*by, *kept]], place.alias(f"{tag}__place"),
+            F.xxhash64(*by, place).alias("_cell"), "_cx", "_cy", *([F.col("_at.x").alias("_px"), F.col("_at.y").alias("_py"), "_g"] if tag == "a" else []),
         )
 
-    return null_safe_join(side(first, "a", places_a), side(second, "b", places_b).drop("b__g"), [*by, "_case", "_px", "_py", "_cx", "_cy"])
+    return side(first, "a", places_a), side(second, "b", places_b)
+
+
+def candidates(
+    a: DataFrame, b: DataFrame, by: list[str], grow: Column | int = 0, carry: list[str] | None = None
+) -> DataFrame:
+    """The pairs that share a cell, before their boxes are compared: what the join has to look at."""
+    left, right = placed_sides(a, b, by, grow, carry)
+    # Rows multiply after the point where their number was estimated: never broadcast them.
+    met = left.join(right.hint("merge"), ["_cell", "_cx", "_cy"])
+    # The digest stands for group and place; the groups and places themselves decide.
+    same = F.col("a__place") == F.col("b__place")
+    for c in by:
+        same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    return met.where(same).select(*[F.col(f"a_{c}").alias(c) for c in by], *[c for c in met.columns if c not in {f"{t}_{k}" for t in "ab" for k in by}])
 
 
 def near_pairs(
@@ -110,7 +183,7 @@ def near_pairs(
     match each other. The inputs are written out once, since the levels and the join read them.
     """
     pairs = candidates(a, b, by, grow, carry)
-    g = F.col("a__g")
+    g = F.col("_g")
     for axis in ("x", "y"):
         size = F.pow(F.lit(2.0), F.col(f"_p{axis}")).cast("long")
         low, high = F.col(f"a_{axis}l") - g, F.col(f"a_{axis}h") + g

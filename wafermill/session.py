@@ -17,6 +17,8 @@ def local_session(cores: str = "8", app: str = "wafermill") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Small tables with much work a row: keep all cores busy instead of merging partitions to 1 MB.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="wafermill-"))
         .config("spark.ui.enabled", "false")
