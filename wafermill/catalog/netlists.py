@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from wafermill.catalog import query
+from wafermill.catalog import ORACLES, query
 from wafermill.catalog.adapters import VIEWS, run_sql, view, with_views
 from wafermill.operators import netlist
+from wafermill.session import scratch_path
 
 # Three libraries of subcircuits: one per order, its line items are the instances.
 VIEWS["netlist"] = """
@@ -178,9 +179,21 @@ UNION ALL SELECT o_custkey % 10, 1, o_orderkey, l_linenumber, concat('X', l_part
 UNION ALL SELECT o_custkey % 10, 0, 0, 0, concat('.global ', string_agg(DISTINCT concat('g', o_orderkey % 3), ' ' ORDER BY concat('g', o_orderkey % 3))) FROM orders GROUP BY 1""",
 )
 def _(spark, sf):
+    return _rendered(spark, sf)
+
+
+def _rendered(spark, sf):
     heads = run_sql(spark, sf, "SELECT o_custkey % 10 AS netlist, o_orderkey AS def_no, concat('cell_', o_orderkey) AS name, array('A', 'B') AS pins FROM {orders}")
     body = run_sql(spark, sf, """
         SELECT o_custkey % 10 AS netlist, o_orderkey AS def_no, CAST(l_linenumber AS BIGINT) AS line_no, CAST(l_partkey AS STRING) AS inst,
                array(concat('n', l_suppkey), 'B') AS nets, concat('m', l_partkey % 3) AS model FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""")
     nodes = run_sql(spark, sf, "SELECT DISTINCT o_custkey % 10 AS netlist, concat('g', o_orderkey % 3) AS node FROM {orders}")
     return netlist.render_subcircuits(nodes, heads, body)
+
+
+@query("write_netlists", "SELECT netlist, line FROM (" + ORACLES["render_subcircuits"] + ") r")
+def _(spark, sf):
+    """The netlists as text files, read back; ``tests/test_sinks.py`` looks at the order of lines."""
+    path = scratch_path(spark, "netlists")
+    netlist.write_netlists(_rendered(spark, sf), path)
+    return spark.read.schema("value string, netlist bigint").text(path).select("netlist", F.col("value").alias("line"))

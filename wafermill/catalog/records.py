@@ -200,6 +200,27 @@ def _(spark, sf):
     return records.union_failures(good, bad)
 
 
+def _maps(spark, sf):
+    return run_sql(spark, sf, "SELECT event_id AS index, event_type AS pcell, value, props FROM {events}").select(
+        "index", "pcell",
+        F.create_map(F.concat(F.lit("w"), F.col("index") % 3), F.col("value")).alias("params"),
+        F.from_json("props", "map<string,bigint>").alias("report"),
+    )
+
+
+@query(
+    "flatten_to_variant",
+    """
+SELECT event_id AS "index", event_type AS pcell, CASE WHEN event_id % 3 = 0 THEN value END AS param_w0,
+       CASE WHEN event_id % 3 = 2 THEN value END AS param_w2, CAST(json_extract(props, '$.k') AS BIGINT) AS report_k
+FROM events""",
+)
+def _(spark, sf):
+    flat = records.flatten_to_variant(_maps(spark, sf), {"params": "param_", "report": "report_"}, "index", "pcell")
+    read = lambda key, kind: F.try_variant_get("flat", f"$.{key}", kind).alias(key)
+    return flat.select("index", "pcell", read("param_w0", "double"), read("param_w2", "double"), read("report_k", "bigint"))
+
+
 @query(
     "flatten_records",
     """
@@ -211,9 +232,4 @@ SELECT event_id AS "index", event_type AS pcell,
 FROM events""",
 )
 def _(spark, sf):
-    rows = run_sql(spark, sf, "SELECT event_id AS index, event_type AS pcell, value, props FROM {events}").select(
-        "index", "pcell",
-        F.create_map(F.concat(F.lit("w"), F.col("index") % 3), F.col("value")).alias("params"),
-        F.from_json("props", "map<string,bigint>").alias("report"),
-    )
-    return records.flatten_records(rows, {"params": "param_", "report": "report_"}, "index", "pcell")
+    return records.flatten_records(_maps(spark, sf), {"params": "param_", "report": "report_"}, "index", "pcell")

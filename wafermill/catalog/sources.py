@@ -1,5 +1,6 @@
 """Queries that write derived data to files in the shared folder and read them back."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wafermill.catalog import query
@@ -7,7 +8,8 @@ from wafermill.catalog.adapters import VIEWS, run_sql, view, with_views
 from wafermill.session import scratch_path
 from wafermill.sources import records, text
 
-FILES = 16
+#: Keys that share a file, so that the number of files follows the data.
+PER_FILE = 1000
 
 
 def written(spark, label, rows, bucket, suffix=""):
@@ -30,10 +32,11 @@ RECORDS = "SELECT sample_id, component_name, success, drc_pass, lvs_pass, execut
 
 def json_arrays(spark, label, rows, key, columns):
     """Write rows as files that hold one JSON array each."""
-    placed = rows.withColumn("f", F.col(key) % FILES)
+    placed = rows.withColumn("f", F.floor(F.col(key) / PER_FILE))
+    first = F.min(key).over(Window.partitionBy("f"))
     body = placed.select(
         "f", F.col(key).alias("line_no"),
-        F.concat(F.when(F.col(key) < FILES, "").otherwise(","), F.to_json(F.struct(*columns))).alias("line"),
+        F.concat(F.when(F.col(key) == first, "").otherwise(","), F.to_json(F.struct(*columns))).alias("line"),
     )
     brackets = placed.groupBy("f").agg(F.max(key).alias("top")).select("f", F.explode(F.array(
         F.struct(F.lit(-1).cast("long").alias("line_no"), F.lit("[").alias("line")),
@@ -92,12 +95,12 @@ def _(spark, sf):
 
 @query(
     "read_report_lines",
-    "SELECT n_regionkey AS file, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey) AS line_no, "
+    "SELECT CAST(floor(c_custkey / 500) AS INTEGER) AS file, row_number() OVER (PARTITION BY floor(c_custkey / 500) ORDER BY c_custkey) AS line_no, "
     "concat(c_name, ' ', c_mktsegment) AS line FROM customer JOIN nation ON c_nationkey = n_nationkey",
 )
 def _(spark, sf):
     rows = run_sql(spark, sf, """
-        SELECT CAST(n_regionkey AS STRING) AS f, c_custkey AS line_no, concat('  ', c_name, ' ', c_mktsegment, '\t ') AS line
+        SELECT CAST(CAST(floor(c_custkey / 500) AS INT) AS STRING) AS f, c_custkey AS line_no, concat('  ', c_name, ' ', c_mktsegment, '\t ') AS line
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""")
     got = text.read_report_lines(spark, written(spark, "lines", rows, "f"))
     return got.select(bucket_of("f").cast("int").alias("file"), "line_no", "line")
@@ -186,7 +189,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "predictions")
     rows = run_sql(spark, sf, "SELECT source AS run, lang AS model_size, trim(text) AS text FROM {documents}")
-    rows.repartition("run", "model_size").write.option("maxRecordsPerFile", 1).partitionBy("run", "model_size").text(path)
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("run", "model_size").text(path)
     got = text.read_predictions(spark, path, "part-*.txt")
     return got.select(
         F.url_decode(F.substring_index("run", "=", -1)).alias("run"),
@@ -196,7 +199,7 @@ def _(spark, sf):
 
 
 VIEWS["scored"] = """
-SELECT concat('s', o_custkey % 16) AS path, o_orderkey, o_orderkey % 5 AS kind, o_custkey, o_totalprice, o_orderstatus FROM {orders}
+SELECT concat('s', CAST(floor(o_custkey / 100) AS BIGINT)) AS path, o_orderkey, o_orderkey % 5 AS kind, o_custkey, o_totalprice, o_orderstatus FROM {orders}
 """
 
 
@@ -267,7 +270,7 @@ def _(spark, sf):
 
 
 NETLIST_TEXT = """
-SELECT concat('n', s_suppkey % 16) AS path, s_suppkey, s_nationkey, s_name FROM {supplier}
+SELECT concat('n', CAST(floor(s_suppkey / 10) AS BIGINT)) AS path, s_suppkey, s_nationkey, s_name FROM {supplier}
 """
 
 
@@ -292,12 +295,12 @@ def _(spark, sf):
 
 @query(
     "read_violation_xml",
-    """SELECT concat('x', event_id % 16) AS file, event_type AS category, count(*) AS violations, false AS is_pass
-       FROM events WHERE event_id % 16 <> 3 GROUP BY 1, 2 UNION ALL SELECT 'x3', NULL, 0, true""",
+    """SELECT concat('x', CAST(floor(event_id / 500) AS BIGINT)) AS file, event_type AS category, count(*) AS violations, false AS is_pass
+       FROM events WHERE floor(event_id / 500) <> 1 GROUP BY 1, 2 UNION ALL SELECT 'x1', NULL, 0, true""",
 )
 def _(spark, sf):
-    rows = run_sql(spark, sf, "SELECT concat('x', event_id % 16) AS f, event_id, event_type FROM {events}")
-    items = rows.where("f <> 'x3'").select(
+    rows = run_sql(spark, sf, "SELECT concat('x', CAST(floor(event_id / 500) AS BIGINT)) AS f, event_id, event_type FROM {events}")
+    items = rows.where("f <> 'x1'").select(
         "f", F.col("event_id").alias("line_no"),
         F.concat(F.lit("<item><category>"), F.col("event_type"), F.lit("</category><cell>top</cell></item>")).alias("line"),
     )

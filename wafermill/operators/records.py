@@ -230,3 +230,18 @@ def flatten_records(records: DataFrame, maps: dict[str, str], *keep: str) -> Dat
         keys = one if keys is None else keys.union(one)
     found = sorted((r["m"], r["k"]) for r in keys.distinct().collect())
     return records.select(*keep, *[F.col(m).getItem(k).alias(f"{maps[m]}{k}") for m, k in found])
+
+
+def flatten_to_variant(records: DataFrame, maps: dict[str, str], *keep: str) -> DataFrame:
+    """Top-level columns plus one VARIANT ``flat`` with every map key as ``prefix + key``.
+
+    The form for records with thousands of keys: nothing has to know them before a row is read, so
+    no key goes to the driver. The prefixes must keep the keys of the maps apart (Spark stops at a
+    key that comes twice); a null map adds nothing. Values are read with ``variant_get(flat, '$["key"]', type)``.
+    """
+    parts = []
+    for column, prefix in maps.items():
+        named = F.transform_keys(column, lambda k, _: F.concat(F.lit(prefix), k))
+        values = F.transform_values(named, lambda _, v: v.cast("variant"))
+        parts.append(F.coalesce(values, F.create_map().cast("map<string,variant>")))
+    return records.select(*keep, F.to_variant_object(F.map_concat(*parts)).alias("flat"))
