@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from tokenizers import Tokenizer
@@ -40,6 +41,27 @@ def test_pieces_are_exact_on_random_letters():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_slices_equal_library():
+    own, library = tokenfile.LibraryCodec(BYTE, 50), Tokenizer.from_file(BYTE)
+    rng = np.random.default_rng(5)
+    letters = list("aeinrstho'AZ09.,-é\n…ɏ–<ß²½_")
+    plain = [" ".join("".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(rng.integers(1, 60))) for _ in range(300)]
+    texts = [*ODD, None, *plain, *ODD, "", *plain[:20]]
+    for part in (texts, texts[7:19], texts[-1:], [None, ""], []):
+        got = own.encode_slice(pa.array(["cut off", *part], pa.string()).slice(1), 2)
+        want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in part]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
+def test_merged_pieces_equal_library():
+    merger, library = tokenfile.LibraryCodec(BYTE, 50).merger, Tokenizer.from_file(BYTE)
+    rng = np.random.default_rng(6)
+    pieces = ["".join(rng.choice(list("abeinrst"), rng.integers(1, 60))) for _ in range(2000)] + ["a", "aa" * 30, "é", "x"]
+    raw = [p.encode() for p in pieces]
+    ids, counts = merger.encode(np.frombuffer(b"".join(raw), np.uint8), np.array([len(b) for b in raw]))
+    assert merger.usable and [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(p, add_special_tokens=False).ids for p in pieces]
+
+
 def documents(spark):
     return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
 
