@@ -360,3 +360,39 @@ def test_split_sizes_are_exact(spark):
     for n in (1, 9, 10, 101):
         got = train_eval_split(spark.range(n), "id", "s").where("split = 'train'").count()
         assert got == int(0.9 * n)
+
+
+def no_index(*_):
+    raise AssertionError("these points need no metric index")
+
+
+def test_small_families_need_no_index(spark, monkeypatch):
+    monkeypatch.setattr(coverage, "MetricIndex", no_index)
+    rng = np.random.default_rng(9)
+    points = rng.uniform(0, 1, (900, 2))
+    rows = [(i % 300, i, *map(float, p)) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "f int, id bigint, x double, y double")
+    got = {r.f: r.min_distance for r in coverage.min_pairwise_distance(df, ["f"], "id", ["x", "y"]).collect()}
+    for f in range(300):
+        a, b, c = points[f::300]
+        assert got[f] == pytest.approx(min(np.hypot(*(a - b)), np.hypot(*(a - c)), np.hypot(*(b - c))), rel=1e-12)
+
+
+@pytest.mark.parametrize("offset, spread", [(0.0, 1.0), (1e6, 1e-3), (0.0, 1e-200), (0.0, 1e150)])
+def test_blocks_of_points_over_many_axes(spark, monkeypatch, offset, spread):
+    from wafermill.plans import blockpairs
+
+    monkeypatch.setattr(coverage, "MetricIndex", no_index)
+    monkeypatch.setattr(blockpairs, "STRIPE", 50)
+    monkeypatch.setattr(blockpairs, "ROWS", 16)
+    monkeypatch.setattr(blockpairs, "MEASURED", 100)
+    rng = np.random.default_rng(10)
+    points = offset + spread * rng.normal(0, 1, (240, 24))
+    names = [f"u{i}" for i in range(24)]
+    rows = [(None if i % 2 else "f", i, *map(float, p)) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "f string, id bigint, " + ", ".join(f"{n} double" for n in names))
+    got = {r.id: r.nn_distance for r in coverage.nearest_neighbour(df, ["f"], "id", names).collect()}
+    for i, p in enumerate(points):
+        distance = np.sqrt(((points - p) ** 2).sum(1))
+        distance[i] = distance[1 - i % 2 :: 2] = np.inf
+        assert got[i] == pytest.approx(distance.min(), rel=1e-12, abs=0)
