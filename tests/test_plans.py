@@ -396,3 +396,33 @@ def test_blocks_of_points_over_many_axes(spark, monkeypatch, offset, spread):
         distance = np.sqrt(((points - p) ** 2).sum(1))
         distance[i] = distance[1 - i % 2 :: 2] = np.inf
         assert got[i] == pytest.approx(distance.min(), rel=1e-12, abs=0)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_a_long_layer_is_not_cut_into_flat_tiles(spark, turned):
+    rng = random.Random(3)
+    rows = [(0, k, "l", x, y, x + 60, y + 60) for k in range(20_000) for x, y in [(rng.randrange(5 * 10**6), rng.randrange(1000))]]
+    if turned:
+        rows = [(c, k, layer, yl, xl, yh, xh) for c, k, layer, xl, yl, xh, yh in rows]
+    sizes = [r["count"] for r in boolean.tiled(spark.createDataFrame(rows, SCHEMA), ["component"], halo=10).groupBy("tx", "ty").count().collect()]
+    assert sum(sizes) < 1.3 * len(rows) and max(sizes) < 4 * 64 and len(sizes) > 200
+
+
+def test_tiles_in_two_steps_equal_raster(spark, monkeypatch):
+    monkeypatch.setattr(boolean, "MOST_PLACES", 2)
+    monkeypatch.setattr(boolean, "SAMPLED", 2)
+    monkeypatch.setattr(boolean, "PER_TASK", 10)
+    rows = [r for r in random_shapes(400, 23) if r[0] == 0]
+    grid, df = raster(rows), spark.createDataFrame(rows, SCHEMA)
+    pieces = boolean.boolean_rects(df, None, ["component"], "or", per_tile=3)
+    assert area(pieces) == grid.sum()
+    assert (raster([(0, 0, "l", r.xl, r.yl, r.xh, r.yh) for r in pieces.collect()]) == grid).all()
+    sides = boolean.two_sides(df, None, ["component"])
+    runs = boolean.slab_intervals(sides, ["component"], "or", 9, per_tile=3).where("yl >= _y0 AND yl < _y1 AND yh - yl < 9")
+    inside = np.pad(grid, ((0, 0), (1, 1)))
+    short = 0
+    for line in inside:
+        turns = np.flatnonzero(np.diff(line.astype(int)))
+        lengths = turns[1::2] - turns[::2]
+        short += lengths[lengths < 9].sum()
+    assert area(runs) == short

@@ -221,7 +221,7 @@ def _shrink_y(shapes: DataFrame, by: list[str], d: int) -> DataFrame:
 
     A tile sees ``d`` beyond its borders, so the part of the result inside it is exact.
     """
-    runs = slab_intervals(two_sides(shapes, None, by), by, "or", d)
+    runs = slab_intervals(two_sides(shapes, None, by), by, "or", d, joined=True)
     return runs.select(
         *by, "xl", F.greatest(F.col("yl") + d, F.col("_y0")).alias("yl"), "xh", F.least(F.col("yh") - d, F.col("_y1")).alias("yh")
     ).where("yl < yh")
