@@ -5,17 +5,19 @@ edges, and each strip into tiles at quantiles of the y edges inside it, so tiles
 rectangles each also where the data lie along a line. The number of strips follows the shape of the
 layer and of its rectangles, so that a long layer is not cut into tiles flatter than what they hold. One
 rectangle alone is one tile, however large it is. In a tile the distinct x edges make slabs, and in a slab the y edges
-are swept with a running depth for each side. Equal edges are summed before the shuffle.
+are swept with a running depth for each side (``plans/sweep.py``, in arrays).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wafermill.plans.attach import attach
+from wafermill.plans.sweep import swept_tiles
 from wafermill.session import cut_lineage
 
 PER_TILE = 64
@@ -137,8 +139,8 @@ def tiled(rects: DataFrame, by: list[str], per_tile: int = PER_TILE, halo: int =
     return _cut_twice(cut, inside, "y", coarse, dense, halo)
 
 
-def slab_intervals(sides: DataFrame, by: list[str], op: str, halo: int = 0, per_tile: int = PER_TILE, joined: bool = False) -> DataFrame:
-    """Maximal y intervals of the combined layers in every slab of every tile.
+def slab_intervals(sides: DataFrame, by: list[str], op: str, halo: int = 0, per_tile: int = PER_TILE, joined: bool = False, gaps: bool = False) -> DataFrame:
+    """Maximal y intervals of the combined layers in every slab of every tile, or the gaps between them.
 
     ``sides`` has ``by``, the box, and ``a``/``b`` with 1 on the side a rectangle is on.
     With ``halo`` a tile also sees that far beyond its lower and upper border, so an
@@ -156,41 +158,15 @@ def slab_intervals(sides: DataFrame, by: list[str], op: str, halo: int = 0, per_
         F.least("xh", "_x1").alias("xh"), F.least("yh", F.col("_y1") + halo).alias("yh"),
     )
     # All that follows works inside tiles, so the rows are shuffled once. The number of tasks follows the
-    # rows: a task holds some sorts of all that its tiles become.
+    # rows: a task holds the rectangles of its tiles and sweeps some of them at a time.
     place = [*by, "tx", "ty"]
     tasks = math.ceil(count / PER_TASK)
     many = tasks > cut.sparkSession.sparkContext.defaultParallelism
-    cut = (cut.repartition(tasks, *place) if many else cut.repartition(*place)).groupBy(*place, "_y0", "_y1", *BOX).agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    # One row a tile: its edges are sorted once, not for every rectangle.
+    cut = cut.repartition(tasks, *place) if many else cut.repartition(*place)
     whole = cut.groupBy(*place, "_y0", "_y1").agg(F.collect_list(F.struct(*BOX, "a", "b")).alias("r"))
-    place = [*place, "_y0", "_y1"]
-    edges = F.array_sort(F.array_distinct(F.concat(F.col("r.xl"), F.col("r.xh"))))
-    spread = whole.withColumn("xs", edges).select(*place, "xs", F.explode("r").alias("r")).select(*place, "xs", "r.*")
-    first, last = F.array_position("xs", F.col("xl")), F.array_position("xs", F.col("xh"))
-    spread = spread.withColumn("i", F.explode(F.sequence(first, last - 1)))
-    slab = spread.select(
-        *place, F.element_at("xs", F.col("i").cast("int")).alias("x0"), F.element_at("xs", F.col("i").cast("int") + 1).alias("x1"),
-        F.explode(F.array(
-            F.struct(F.col("yl").alias("y"), F.col("a").alias("da"), F.col("b").alias("db")),
-            F.struct(F.col("yh").alias("y"), (-F.col("a")).alias("da"), (-F.col("b")).alias("db")),
-        )).alias("e"),
-    )
-    line = [*place, "x0", "x1"]
-    steps = slab.groupBy(*line, "e.y").agg(F.sum("e.da").alias("da"), F.sum("e.db").alias("db"))
-    w = Window.partitionBy(*line).orderBy("y")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    on = OPERATIONS[op](F.sum("da").over(upto) > 0, F.sum("db").over(upto) > 0)
-    state = steps.withColumn("on", on).withColumn("was", F.lag("on", 1, False).over(w))
-    turns = state.where("on <> was").withColumn("end", F.lead("y").over(w)).where("on")
-    if joined:
-        # Still inside the tiles: no shuffle.
-        same = Window.partitionBy(*place, "y", "end").orderBy("x0")
-        new = F.coalesce(F.lag("x1").over(same) < F.col("x0"), F.lit(True)).cast("int")
-        turns = turns.withColumn("_new", new).withColumn("_box", F.sum("_new").over(same))
-        turns = turns.groupBy(*place, "y", "end", "_box").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-    return turns.select(
-        *by, "_y0", "_y1", F.col("x0").alias("xl"), F.col("y").alias("yl"), F.col("x1").alias("xh"), F.col("end").alias("yh")
-    )
+    kept, on = [*by, "_y0", "_y1"], OPERATIONS[op]
+    schema = T.StructType([*[T.StructField(c, whole.schema[c].dataType) for c in kept], *[T.StructField(c, T.LongType()) for c in BOX]])
+    return whole.select(*kept, "r").mapInArrow(lambda batches: swept_tiles(batches, on, joined, gaps), schema)
 
 
 def two_sides(a: DataFrame, b: DataFrame | None, by: list[str]) -> DataFrame:

@@ -41,11 +41,7 @@ def _runs(shapes: DataFrame, by: list[str], reach: int, gaps: bool, limit: Colum
     found = []
     for direction in ("y", "x"):
         turned = shapes if direction == "y" else _swap(shapes)
-        runs = slab_intervals(two_sides(turned, None, by), by, "or", reach)
-        if gaps:
-            line = Window.partitionBy(*by, "_y0", "_y1", "xl", "xh").orderBy("yl")
-            runs = runs.withColumn("_next", F.lead("yl").over(line)).where("_next IS NOT NULL")
-            runs = runs.withColumn("yl", F.col("yh")).withColumn("yh", F.col("_next")).drop("_next")
+        runs = slab_intervals(two_sides(turned, None, by), by, "or", reach, joined=True, gaps=gaps)
         own = (F.col("yl") >= F.col("_y0")) & (F.col("yl") < F.col("_y1"))
         short = _side_by_side(runs.where(own & (F.col("yh") - F.col("yl") < limit)).drop("_y0", "_y1"), by)
         back = short if direction == "y" else _swap(short).select(*short.columns)
