@@ -188,12 +188,12 @@ def _(spark, sf):
 @query("read_predictions", "SELECT source AS run, lang AS model_size, md5(trim(text)) AS digest FROM documents")
 def _(spark, sf):
     path = scratch_path(spark, "predictions")
-    rows = run_sql(spark, sf, "SELECT source AS run, lang AS model_size, trim(text) AS text FROM {documents}")
-    rows.write.option("maxRecordsPerFile", 1).partitionBy("run", "model_size").text(path)
+    rows = run_sql(spark, sf, "SELECT source AS run, lang AS model_size, trim(text) AS content FROM {documents}")
+    text.write_predictions(rows, path)
     got = text.read_predictions(spark, path, "part-*.txt")
     return got.select(
-        F.url_decode(F.substring_index("run", "=", -1)).alias("run"),
-        F.substring_index("model_size", "=", -1).alias("model_size"),
+        # Paths are escaped once more than the names of folders.
+        *[F.url_decode(F.url_decode(F.substring_index(c, "=", -1))).alias(c) for c in ("run", "model_size")],
         F.md5(F.rtrim(F.regexp_replace("content", r"\n\z", ""))).alias("digest"),
     )
 

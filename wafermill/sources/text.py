@@ -6,6 +6,13 @@ the same code.
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +131,45 @@ def load_json_or_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame
     raise ValueError("unsupported file type; expected .json or .jsonl")
 
 
+#: Folder of rows whose key is null or empty, as Spark names it.
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _written_files(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """Write every row (run, model_size, content as bytes) as one file; counts them. A task that runs again
+    writes the same names, and a file appears whole."""
+    task, n, made = TaskContext.get().partitionId(), 0, set()
+    for batch in batches:
+        for run, size, content in zip(*(c.to_pylist() for c in batch.columns)):
+            folder = os.path.join(root, *(f"{k}={quote(v, safe='') if v else NO_KEY}" for k, v in (("run", run), ("model_size", size))))
+            if folder not in made:
+                os.makedirs(folder, exist_ok=True)
+                made.add(folder)
+            draft = os.path.join(folder, f".{uuid.uuid4().hex}")
+            with open(draft, "wb") as out:
+                out.write((content or b"") + b"\n")
+            os.replace(draft, os.path.join(folder, f"part-{task:05d}-{n}.txt"))
+            n += 1
+    yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+
+def write_predictions(rows: DataFrame, root: str) -> None:
+    """One file per row of ``(run, model_size, content)`` under ``root/run=<run>/model_size=<size>/``.
+
+    ``root`` must be a folder that all nodes share. Where it is a mounted one, tasks write the files
+    themselves: Hadoop's local file system starts a process for the rights of every file. Other
+    file systems are written by Spark.
+    """
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    scheme, _, folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().partition(":")
+    if scheme == "file":
+        binary = rows.select("run", "model_size", F.col("content").cast("binary").alias("content"))
+        binary.mapInArrow(lambda batches: _written_files(batches, folder), "n bigint").agg(F.sum("n")).first()
+    else:
+        rows.select("run", "model_size", "content").write.option("maxRecordsPerFile", 1).partitionBy("run", "model_size").text(root)
+
+
 def read_predictions(spark: SparkSession, root: str, pattern: str = "prediction_*.txt") -> DataFrame:
     """``<run>/<size>/prediction_*.txt`` as (run, model_size, file, content)."""
     files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(root, wholetext=True)
