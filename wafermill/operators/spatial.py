@@ -300,7 +300,8 @@ def _box_sums(cells: DataFrame, by: list[str], value: str, spans: dict[str, int]
         order = Window.partitionBy(*line).orderBy(axis)
         upto = F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0))
         sums = cells.withColumn("_upto", upto)
-        whole = F.last("_upto").over(order.rowsBetween(0, Window.unboundedFollowing))
+        # The sum of a line is taken once: a frame up to the end of the line is read anew for every row.
+        whole = F.sum(value).over(Window.partitionBy(*line))
         end = F.coalesce(F.lead("_upto", span - 1).over(order), whole)
         cells = sums.withColumn("_sum", end - F.col("_upto") + F.col(value)).drop("_upto", value).withColumnRenamed("_sum", value)
     return cells
