@@ -68,3 +68,33 @@ def test_odd_rows(spark):
     assert len(got) == 6 and by[1] == by[2] == "" and by[3] == "plain" and by[None] == "text only"
     assert by[4].startswith("word & word word") and by[4].endswith("deep")
     assert extract_text(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def layouts(n):
+    """Pages of one host in eight layouts, each with a notice of its own; stories differ."""
+    return [
+        f"<html><body><div class='lay{'abcdefgh'[k % 8]}'><b>Daily {k % 8} notice</b><section><p>Story {k} goes on.</p></section></div></body></html>"
+        for k in range(n)
+    ]
+
+
+def test_wrapper_comes_from_all_pages(spark):
+    rows = [(k, "http://many.example.org/x", h, "x") for k, h in enumerate(layouts(200))]
+    got = extract_text(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"Story {k} goes on." for k in range(200)}
+
+
+def test_spark_learns_what_one_list_teaches(spark, monkeypatch):
+    from wafermill.llm import htmltext
+
+    # Trees are merged two at a time; odd tags are met once only, some blocks change places.
+    monkeypatch.setattr(htmltext, "MERGED", 2)
+    pages = [
+        h.replace("<section>", f"<ul class='u{'xyz'[k % 3]}'><li><a href='/'>go {k % 5}</a></li></ul><h2>Part {k % 2}</h2><section class='s{'pqrst'[k % 5]}'>")
+        .replace("</body>", f"<{'ab'[k % 2]}x>{'same' if k % 30 else k}</{'ab'[k % 2]}x><o{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{'abcdefghijklmnopqrstuvwxyz'[k // 26]}>once</body>")
+        for k, h in enumerate(layouts(120))
+    ]
+    rows = [(k, "http://a.example.org/", h, "x") for k, h in enumerate(pages)] + [(1000 + k, "http://b.example.org/", h, "x") for k, h in enumerate(pages[:2])]
+    want = {k: page_text(Page(h), learn_wrapper(pages)) for k, h in enumerate(pages)} | {1000 + k: page_text(Page(h), "null") for k, h in enumerate(pages[:2])}
+    assert {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+    assert want[7] != page_text(Page(pages[7]), None)
