@@ -87,6 +87,13 @@ class Node:
         return " ".join("".join(self.own).split())
 
 
+@lru_cache(maxsize=10_000)
+def _signature(tag: str, names: str) -> tuple[str, bool]:
+    """Tag and words of class, id and role as one string, and whether a word names a part beside the text."""
+    words = set(WORD_CUT.split(names.lower()))
+    return ".".join([tag, *sorted(words - {""})]), bool(words & BESIDE_WORDS)
+
+
 class Page(HTMLParser):
     """Parses a page to a compact tree and its text pieces (block number, node, text) in page order."""
 
@@ -98,6 +105,16 @@ class Page(HTMLParser):
         self.block = self.links = 0
         self.feed(CUT_OFF.sub("", html))
         self.close()
+        # Letters of a node are its own and those below it.
+        self.nodes = _nodes(self.root)
+        for node in reversed(self.nodes):
+            for child in node.children.values():
+                node.size += child.size
+                node.linked += child.linked
+
+    def updatepos(self, i: int, j: int) -> int:
+        """Lines and columns are not kept."""
+        return j
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while len(self.open) > 1:
@@ -116,15 +133,14 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         named = {k: (v or "") for k, v in attrs}
-        words = set(WORD_CUT.split(" ".join(named.get(k, "") for k in ("class", "id", "role")).lower()))
+        sig, marked = _signature(tag, " ".join([named.get("class", ""), named.get("id", ""), named.get("role", "")]) if named else "")
         parent = self.open[-1][1]
         beside = (
-            parent.beside or tag in BESIDE_TAGS or bool(words & BESIDE_WORDS) or "hidden" in named or named.get("aria-hidden") == "true"
+            parent.beside or tag in BESIDE_TAGS or marked or "hidden" in named or named.get("aria-hidden") == "true"
             or "display:none" in named.get("style", "").replace(" ", "").lower() or (tag == "header" and not parent.main)
         )
         if tag in ("html", "body"):
             beside = False
-        sig = ".".join([tag, *sorted(words - {""})])
         # Parts beside the text need no tree, and very deep nesting adds no more levels.
         if parent.beside or (len(self.open) > DEEPEST and not beside):
             node = parent
@@ -161,9 +177,8 @@ class Page(HTMLParser):
         node.own.append(data)
         self.pieces.append((self.block, node, data))
         size = len("".join(data.split()))
-        for n in {id(n): n for _, n in self.open}.values():
-            n.size += size
-            n.linked += size * (self.links > 0)
+        node.size += size
+        node.linked += size * (self.links > 0)
 
 
 class Tree:
@@ -192,8 +207,11 @@ def _tree(plain: list) -> Tree:
     return Tree(plain[0], [_tree(k) for k in plain[1]])
 
 
+_encode = json.JSONEncoder(check_circular=False, separators=(",", ":")).encode
+
+
 def _written(tree: Tree) -> str:
-    return json.dumps(tree.plain(), separators=(",", ":"))
+    return _encode(tree.plain())
 
 
 def _nodes(root: Node) -> list[Node]:
@@ -224,6 +242,11 @@ def _paths(tree: Tree) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=4096)
+def _paths_of(shape: str) -> list[int]:
+    return _paths(_tree(json.loads(shape)))
+
+
 def aligned(left: Tree, right: Tree) -> list[tuple[Tree, Tree]]:
     """Matched pairs of nodes of two trees with equal roots, by simple tree matching."""
     return _match(left, right)[1]
@@ -309,10 +332,11 @@ def page_record(html: str) -> tuple[str, list[int], int, list[int], list[int], l
     """What a wrapper needs of a page: its tree, the paths of its nodes, a digest of its text, and of every node
     a digest of its own text, its letters, and those in links."""
     page = Page(html)
-    tree, nodes = _shape(page.root), _nodes(page.root)
+    tree, nodes = _shape(page.root), page.nodes
     # Copies of one text must not look like template.
     body = _digest(page_text(page, None))
-    return _written(tree), _paths(tree), body, [_digest(n.text()) for n in nodes], [n.size for n in nodes], [n.linked for n in nodes]
+    shape = _written(tree)
+    return shape, _paths_of(shape), body, [_digest(n.text()) for n in nodes], [n.size for n in nodes], [n.linked for n in nodes]
 
 
 def judged(pages: int, times: int, size: int, linked: int) -> tuple[bool, bool]:
@@ -354,7 +378,7 @@ def _dropped(page: Page, wrapper: str | None) -> set[int]:
     """Nodes of the page that its host's wrapper shows to be template or menu."""
     if wrapper is None:
         return set()
-    nodes = _nodes(page.root)
+    nodes = page.nodes
     if wrapper == "null":
         slots, marks = [-1] * len(nodes), {}
     else:
