@@ -174,6 +174,21 @@ def test_mixed_sizes_go_to_few_levels(spark):
     assert {(r.a_id, r.b_id) for r in near_pairs(df, df, ["component"]).collect()} == want
 
 
+def test_thin_layers_have_one_level(spark):
+    rng = random.Random(8)
+    side = lambda: rng.choice([rng.randrange(20, 60), rng.randrange(140, 200)])
+    rows = [(0, k, "l", x, y, x + side(), y + side()) for k in range(1200) for x, y in [(rng.randrange(7000), rng.randrange(7000))]]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("shape_id", "id")
+    left, right = placed_sides(df, df, ["component"], 5)
+    assert left.count() + right.count() < 5 * len(rows)
+    want = {(a[1], b[1]) for a in rows for b in rows if a[3] - 5 <= b[5] and b[3] <= a[5] + 5 and a[4] - 5 <= b[6] and b[4] <= a[6] + 5}
+    assert {(r.a_id, r.b_id) for r in near_pairs(df, df, ["component"], 5).collect()} == want
+    # A dense spot of small rectangles beside a large one keeps small cells.
+    spot = [(0, k, "l", x, y, x + 4, y + 4) for k in range(2000) for x, y in [(rng.randrange(1000), rng.randrange(1000))]]
+    dense = spark.createDataFrame([*spot, (0, 9999, "l", 5000, 5000, 6000, 6000)], SCHEMA).withColumnRenamed("shape_id", "id")
+    assert candidates(dense, dense, ["component"]).count() < 0.02 * len(spot) ** 2
+
+
 def test_tiles_are_even_along_a_diagonal(spark):
     rng = random.Random(3)
     rows = [(0, k, "l", x, y, x + 30, y + 30) for k in range(20_000) for x in [rng.randrange(10**6)] for y in [x + rng.randrange(-500, 500)]]

@@ -8,12 +8,15 @@ makes four cases; a rectangle is only sent to levels that rectangles of the othe
 
 The levels of an axis follow the sizes in the data: of the powers of two in use, RUNGS at most are
 kept, so that a rectangle goes to few pairs of levels however mixed the sizes are, and those are
-kept that make the cells fit most rectangles best. Sizes that are much alike share one level.
+kept that make the cells fit most rectangles best. Sizes that are much alike share one level, and all
+do where the cells of the largest hold few rectangles.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import eq, ge, gt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,10 @@ from wafermill.session import cut_lineage
 BOX = ["xl", "yl", "xh", "yh"]
 #: Levels an axis at most.
 RUNGS = 3
+#: Rectangles in a cell of the largest size, as a rectangle finds them, up to which it is the only level.
+THIN = 16
+#: Whether a pair meets on the level of its first rectangle, along x and y.
+CASES = [(True, True), (True, False), (False, True), (False, False)]
 
 
 def ladder(counts: dict[int, int], rungs: int = RUNGS) -> list[int]:
@@ -83,6 +90,20 @@ def _ladders(*levels: dict[tuple[int, int], int]) -> list[dict[int, int]]:
     return out
 
 
+def _thin(sides: list[DataFrame], by: list[str], tops: list[int]) -> bool:
+    """Whether cells of the sizes ``tops`` hold THIN rectangles of a side or fewer.
+
+    All rectangles are counted, each in the cell of its lower-left corner, and a full cell counts for every
+    rectangle in it. A rectangle touches four cells at most, so with one level there are no more than
+    8 THIN candidates for each, wherever the rectangles lie.
+    """
+    cells = [_floor_div(F.col(f"{axis}l"), F.lit(2.0**top)).alias(f"_c{axis}") for axis, top in zip("xy", tops)]
+    homes = [df.select(F.lit(n).alias("_side"), F.xxhash64(*by).alias("_cell"), *cells) for n, df in enumerate(sides)]
+    counts = reduce(DataFrame.union, homes).groupBy("_side", "_cell", "_cx", "_cy").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0)).alias("met")).first()
+    return seen["met"] <= THIN * seen["n"]
+
+
 def _on_rungs(df: DataFrame, ladders: list[dict[int, int]]) -> DataFrame:
     for axis, rungs in zip(("_lx", "_ly"), ladders):
         level = F.col(axis)
@@ -116,32 +137,31 @@ def placed_sides(
     second = cut_lineage(second.select(*own, "_g", "_lx", "_ly"))
     of_a, of_b = _levels(first), _levels(second)
     ladders = _ladders(of_a, of_b)
+    tops = [max(rungs.values(), default=0) for rungs in ladders]
+    if any(len(set(rungs.values())) > 1 for rungs in ladders) and _thin([first] if a is b else [first, second], by, tops):
+        ladders = [dict.fromkeys(rungs, top) for rungs, top in zip(ladders, tops)]
     of_a, of_b = ({(ladders[0][x], ladders[1][y]) for x, y in pairs} for pairs in (of_a, of_b))
     first, second = _on_rungs(first, ladders), _on_rungs(second, ladders)
+    # The level of a pair along an axis is that of a, or of b if it is the coarser one: four cases.
+    cases = [(p[0] >= q[0], p[1] >= q[1], max(p[0], q[0]), max(p[1], q[1])) for p in of_a for q in of_b]
+    lx, ly = F.col("_lx"), F.col("_ly")
 
-    def array(case: int, pairs, keep) -> Column:
-        """Places of a case for which ``keep(x, y)`` holds."""
-        items = [F.struct(F.lit(case).alias("case"), F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs]
+    def places(tests: list[tuple]) -> Column:
+        """For each case the places where a pair can meet and for which the tests of both axes hold."""
         kind = "array<struct<case:int,x:int,y:int>>"
-        return F.filter(F.array(*items).cast(kind), lambda p: keep(p["x"], p["y"])) if items else F.array().cast(kind)
-
-    lx, ly = F.col("_lx"), F.col("_ly")
-    xs_a, ys_a = sorted({x for x, _ in of_a}), sorted({y for _, y in of_a})
-    xs_b, ys_b = sorted({x for x, _ in of_b}), sorted({y for _, y in of_b})
-    own_place = lambda case: F.array(F.struct(F.lit(case).alias("case"), lx.alias("x"), ly.alias("y")))
-    places_a = F.concat(
-        own_place(1),
-        # The other one's level along y, the own one along x, and the other way round.
-        array(2, [(x, y) for x in xs_a for y in ys_b], lambda x, y: (x == lx) & (y > ly)),
-        array(3, [(x, y) for x in xs_b for y in ys_a], lambda x, y: (x > lx) & (y == ly)),
-        array(4, of_b, lambda x, y: (x > lx) & (y > ly)),
-    )
-    places_b = F.concat(
-        array(1, of_a, lambda x, y: (x >= lx) & (y >= ly)),
-        array(2, [(x, y) for x in xs_a for y in ys_b], lambda x, y: (x >= lx) & (y == ly)),
-        array(3, [(x, y) for x in xs_b for y in ys_a], lambda x, y: (x == lx) & (y >= ly)),
-        own_place(4),
-    )
+        found = [F.array().cast(kind)]
+        for case, (along_x, along_y) in enumerate(tests, 1):
+            met = sorted({(x, y) for of_ax, of_ay, x, y in cases if (of_ax, of_ay) == CASES[case - 1]})
+            items = [F.struct(F.lit(case).alias("case"), F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in met]
+            if items:
+                found.append(F.filter(F.array(*items).cast(kind), fits(along_x, along_y)))
+        return F.concat(*found)
+
+    def fits(along_x, along_y):
+        return lambda p: along_x(p["x"], lx) & along_y(p["y"], ly)
+
+    places_a = places([(eq if of_ax else gt, eq if of_ay else gt) for of_ax, of_ay in CASES])
+    places_b = places([(ge if of_ax else eq, ge if of_ay else eq) for of_ax, of_ay in CASES])
 
     def side(df: DataFrame, tag: str, places: Column) -> DataFrame:
         place = F.col("_at.case") * 10_000 + F.col("_at.x") * 100 + F.col("_at.y")
