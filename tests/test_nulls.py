@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wafermill.functions.student_t import t_tail
+from wafermill.operators import reports
 from wafermill.operators.codemetrics import compile_check
 from wafermill.operators.netlist import device_totals, expand_hierarchy, netlist_instances
 from wafermill.operators.rules import rule_lookup
@@ -43,6 +44,19 @@ def test_ranks(rows):
     assert sorted((str(r["g"]), r["s"]) for r in sums.collect()) == [("None", 3.0), ("None", 8.0), ("a", 1.0), ("a", 3.0)]
 
 
+def test_sparse_lines_are_one_window(spark):
+    schema = "component bigint, line_no bigint, line string"
+    place = [None, None, 5, 10**12, 2 * 10**12, 3 * 10**12, 4 * 10**12]
+    told = ["m1 : width", "1 2", "3 4", "m2 : space", " 5 6", "", "7 8"]
+    lines = spark.createDataFrame([(c, n, text) for c in (1, None) for n, text in zip(place, told)], schema)
+    got = {(r.component, r.line_no, r.rule, r.details) for r in reports.drc_violations(lines).collect() if r.line_no}
+    want = [(5, "", "3 4"), (2 * 10**12, "m2 : space", "5 6"), (4 * 10**12, "m2 : space", "7 8")]
+    assert got == {(c, *w) for c in (1, None) for w in want}
+    assert got == {(r.component, r.line_no, r.rule, r.details) for r in reports.drc_violations(lines, 1).collect() if r.line_no}
+    plan = reports.drc_violations(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Join" in reports.drc_violations(lines, 1)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_carry_forward(rows):
     got = carry_forward(rows, ["g"], "k", {"m": F.when(F.col("k") % 2 == 1, F.col("x"))}, 2)
     assert sorted((str(r["g"]), r["k"], r["m"]) for r in got.collect()) == [("None", 3, 3.0), ("None", 4, 3.0), ("a", 1, 1.0), ("a", 2, 1.0)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wafermill.operators import reports
 from wafermill.plans.attach import null_safe_join
+from wafermill.session import written
 
 METRICS = [
     "total_resistance_ohms", "total_capacitance_farads", "area_um2",
@@ -15,15 +16,17 @@ METRICS = [
 
 
 def assemble_evaluation(
-    checks: DataFrame, parasitics: DataFrame, geometry: DataFrame, key: str = "component_name"
+    checks: DataFrame, parasitics: DataFrame, geometry: DataFrame, key: str = "component_name", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One nested record per component; missing parts stay at their defaults."""
+    """One nested record per component; missing parts stay at their defaults. Columns of ``checks`` named in
+    ``carry`` come along."""
     drc_ok = F.coalesce(F.col("drc_pass"), F.lit(False))
     lvs_ok = F.coalesce(F.col("lvs_pass"), F.lit(False))
     return (
         null_safe_join(null_safe_join(checks, parasitics, [key], "left"), geometry, [key], "left")
         .select(
             key,
+            *carry,
             (~(drc_ok & lvs_ok)).alias("drc_lvs_fail"),
             F.struct(drc_ok.alias("is_pass")).alias("drc"),
             F.struct(lvs_ok.alias("is_pass")).alias("lvs"),
@@ -51,14 +54,14 @@ def evaluation_documents(runs: DataFrame, drc_lines: DataFrame, lvs_lines: DataF
     "pass" or "fail". Errors and mismatches stand in the order of their lines. Null components
     match each other.
     """
-    drc = null_safe_join(
-        reports.drc_summary(drc_lines), _listed(reports.drc_violations(drc_lines), "error_details", "rule", "details"), ["component"], "left"
-    )
-    missing = reports.lvs_mismatches(lvs_lines)
-    names = ["type", "name", "present_in", "missing_in"]
-    lvs = reports.lvs_summary(lvs_lines)
-    for kind in ("net", "instance"):
-        lvs = null_safe_join(lvs, _listed(missing.where(F.col("type") == kind), f"unmatched_{kind}s_parsed", *names), ["component"], "left")
+    # Several jobs read the lines: they are parsed once and written out.
+    drc_told = written(reports.parsed_drc(drc_lines), "drc-lines")
+    lvs_told = written(reports.parsed_lvs(lvs_lines), "lvs-lines")
+    errors = _listed(reports.violations_of(drc_told), {"error_details": F.lit(True)}, "rule", "details")
+    drc = null_safe_join(reports.drc_summary_of(drc_told), errors, ["component"], "left")
+    kinds = {f"unmatched_{kind}s_parsed": F.col("type") == kind for kind in ("net", "instance")}
+    missing = _listed(reports.mismatches_of(lvs_told), kinds, "type", "name", "present_in", "missing_in")
+    lvs = null_safe_join(reports.lvs_summary_of(lvs_told), missing, ["component"], "left")
     errors = F.coalesce("error_details", F.array().cast("array<struct<rule:string,details:string>>")).alias("error_details")
     drc = drc.select("component", F.col("is_pass").alias("_drc_pass"), F.struct("is_pass", "total_errors", errors).alias("_drc"))
     none = F.array().cast("array<struct<type:string,name:string,present_in:string,missing_in:string>>")
@@ -80,15 +83,19 @@ def evaluation_documents(runs: DataFrame, drc_lines: DataFrame, lvs_lines: DataF
             for k in seen
         ],
     )
-    numbers = assemble_evaluation(checks.select("component", "drc_pass", "lvs_pass"), parasitics, geometry, "component")
-    whole = null_safe_join(checks, numbers.select("component", "drc_lvs_fail", "pex", "geometric"), ["component"])
+    own = ("component_name", "timestamp", "_drc_part", "_lvs_part")
+    whole = assemble_evaluation(checks, parasitics, geometry, "component", own)
     return whole.select("component", "component_name", "timestamp", "drc_lvs_fail", F.col("_drc_part").alias("drc"), F.col("_lvs_part").alias("lvs"), "pex", "geometric")
 
 
-def _listed(rows: DataFrame, out: str, *names: str) -> DataFrame:
-    """Rows of each component as an array of structs in line order."""
-    ordered = F.sort_array(F.collect_list(F.struct("line_no", *names)))
-    return rows.groupBy("component").agg(F.transform(ordered, lambda x: F.struct(*[x[n].alias(n) for n in names])).alias(out))
+def _listed(rows: DataFrame, kinds: dict[str, Column], *names: str) -> DataFrame:
+    """The rows of each component for which a test holds as an array of structs in line order, a column a test."""
+
+    def listed(test: Column) -> Column:
+        ordered = F.sort_array(F.collect_list(F.when(test, F.struct("line_no", *names))))
+        return F.transform(ordered, lambda x: F.struct(*[x[n].alias(n) for n in names]))
+
+    return rows.groupBy("component").agg(*[listed(test).alias(out) for out, test in kinds.items()])
 
 
 def result_rows(evaluations: DataFrame, *keep: str) -> DataFrame:

@@ -27,23 +27,40 @@ MISMATCHED = "LVS Fail: Mismatches found."
 CAP_UNITS = {"F": 1e-15, "f": 1e-15, "P": 1e-12, "N": 1e-9, "U": 1e-6}
 
 
+def parsed_drc(lines: DataFrame) -> DataFrame:
+    """What each line tells: (component, line_no, ``text`` of a rule or digit line, ``is_error`` for these,
+    ``is_clean`` for lines that are not blank)."""
+    text = strip("line")
+    told = text.rlike("^[a-zA-Z0-9]")
+    return lines.select(
+        "component", "line_no", F.when(told, text).alias("text"), F.when(told, text.rlike("^[0-9]")).alias("is_error"),
+        F.when(text != "", text.rlike(r"(?i)count:\s*0\s*$")).alias("is_clean"),
+    )
+
+
 def drc_violations(lines: DataFrame, chunk: int = LINES_PER_CHUNK) -> DataFrame:
     """Each digit line is a violation of the last rule line (letter first) above it."""
+    return violations_of(parsed_drc(lines), chunk)
+
+
+def violations_of(parsed: DataFrame, chunk: int = LINES_PER_CHUNK) -> DataFrame:
+    """:func:`drc_violations` of parsed lines."""
     # Separators, blanks and other lines play no part, so they are not moved.
-    trimmed = lines.withColumn("line", strip("line")).where(F.col("line").rlike("^[a-zA-Z0-9]"))
-    rule = F.when(F.col("line").rlike("^[a-zA-Z]"), F.col("line"))
-    marked = carry_forward(trimmed, ["component"], "line_no", {"rule": rule}, chunk)
-    return marked.where(F.col("line").rlike("^[0-9]")).select(
-        "component", "line_no", F.coalesce("rule", F.lit("")).alias("rule"), F.col("line").alias("details")
-    )
+    told = parsed.where("text IS NOT NULL").select("component", "line_no", "text", "is_error")
+    marked = carry_forward(told, ["component"], "line_no", {"rule": F.when(~F.col("is_error"), F.col("text"))}, chunk, counted=True)
+    return marked.where("is_error").select("component", "line_no", F.coalesce("rule", F.lit("")).alias("rule"), F.col("text").alias("details"))
 
 
 def drc_summary(lines: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """Error count and pass flag per report; components without a report pass with 0."""
-    text = strip("line")
-    counted = lines.groupBy("component").agg(
-        F.count_if(text.rlike("^[0-9]")).alias("total_errors"),
-        F.max_by(text.rlike(r"(?i)count:\s*0\s*$"), F.when(text != "", F.col("line_no"))).alias("_clean_end"),
+    return drc_summary_of(parsed_drc(lines), components)
+
+
+def drc_summary_of(parsed: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """:func:`drc_summary` of parsed lines."""
+    counted = parsed.groupBy("component").agg(
+        F.count_if("is_error").alias("total_errors"),
+        F.max_by("is_clean", F.when(F.col("is_clean").isNotNull(), F.col("line_no"))).alias("_clean_end"),
     )
     if components is not None:
         counted = null_safe_join(components, counted, ["component"], "left")
@@ -82,7 +99,9 @@ def lvs_mismatches(lines: DataFrame) -> DataFrame:
     )
 
 
-def _lvs(lines: DataFrame, strict: bool) -> DataFrame:
+def parsed_lvs(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """What each line tells: (component, line_no, the mismatch ``m`` or null, ``passed``, ``failed``, and the
+    count of ``devices`` or ``nets`` where the line has one)."""
     text = strip("line")
     miss = _mismatch(text)
 
@@ -90,22 +109,32 @@ def _lvs(lines: DataFrame, strict: bool) -> DataFrame:
         hit = F.lit(False)
         for t in texts:
             hit = hit | F.contains(column, F.lit(t))
-        return F.bool_or(hit)
+        return hit
 
     devices = miss.isNull() & F.contains(text, F.lit("Number of devices:"))
     nets = miss.isNull() & ~F.contains(text, F.lit("Number of devices:")) & F.contains(text, F.lit("Number of nets:"))
     after = strip(F.regexp_extract(text, r"^[^:]*:(.*)$", 1))
     failing = any_of(F.lower("line"), STRICT_FAIL_TEXTS) if strict else any_of(F.col("line"), FAIL_TEXTS)
-    seen = lines.groupBy("component").agg(
-        any_of(F.col("line"), PASS_TEXTS).alias("_passed"),
-        failing.alias("_failed"),
-        F.count_if(miss.isNotNull()).alias("total_mismatches"),
+    return lines.select(
+        "component", "line_no", miss.alias("m"), any_of(F.col("line"), PASS_TEXTS).alias("passed"), failing.alias("failed"),
+        F.when(devices, after).alias("devices"), F.when(nets, after).alias("nets"),
     )
-    # The count lines are few; only they go through the aggregate that carries text.
-    numbers = lines.where(devices | nets).groupBy("component").agg(
-        F.max_by(F.when(devices, after), F.when(devices, F.col("line_no"))).alias("_devices"),
-        F.max_by(F.when(nets, after), F.when(nets, F.col("line_no"))).alias("_nets"),
+
+
+def mismatches_of(parsed: DataFrame) -> DataFrame:
+    """:func:`lvs_mismatches` of parsed lines."""
+    return parsed.where("m IS NOT NULL").select("component", "line_no", "m.*")
+
+
+def lvs_summary_of(parsed: DataFrame, strict: bool = False) -> DataFrame:
+    """:func:`lvs_summary` of parsed lines."""
+    seen = parsed.groupBy("component").agg(
+        F.bool_or("passed").alias("_passed"), F.bool_or("failed").alias("_failed"), F.count_if(F.col("m").isNotNull()).alias("total_mismatches"),
     )
+    # The count lines are few; only they go through the aggregate that carries text.
+    numbers = parsed.where("devices IS NOT NULL OR nets IS NOT NULL").groupBy("component").agg(*[
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(f"_{c}") for c in ("devices", "nets")
+    ])
     seen = null_safe_join(seen, numbers, ["component"], "left")
     clean = F.col("total_mismatches") == 0
     if strict:
@@ -126,12 +155,12 @@ def _lvs(lines: DataFrame, strict: bool) -> DataFrame:
 
 def lvs_summary(lines: DataFrame) -> DataFrame:
     """Pass flag, conclusion and counts of a comparison report."""
-    return _lvs(lines, strict=False)
+    return lvs_summary_of(parsed_lvs(lines))
 
 
 def lvs_summary_strict(lines: DataFrame) -> DataFrame:
     """As :func:`lvs_summary`, but any failure keyword in any case forces a fail."""
-    return _lvs(lines, strict=True)
+    return lvs_summary_of(parsed_lvs(lines, strict=True), strict=True)
 
 
 def pex_totals(lines: DataFrame, components: DataFrame | None = None) -> DataFrame:
