@@ -45,9 +45,10 @@ def nearest_neighbour(points: DataFrame, family: list[str], key: str, axes: list
         nearest = MetricIndex(null_safe_join(merged, indexed, family, "left_semi"), family, len(axes)).nearest()
         rest = cut_lineage(null_safe_join(merged, indexed, family, "left_anti"))
         nearest = nearest.unionByName(nearest_others(rest, family, len(axes)))
-    found = null_safe_join(merged, nearest, [*family, "id"], "left")
+    # Both have a row for each point; the planner's guess of their size may be far too small to go by.
+    found = null_safe_join(merged, nearest.hint("merge"), [*family, "id"], "left")
     found = found.select(*family, "v", F.when(F.col("copies") > 1, 0.0).otherwise(F.col("nearest")).alias("nn_distance"))
-    return null_safe_join(named, found, [*family, "v"], "left").select(*family, key, "nn_distance")
+    return null_safe_join(named, found.hint("merge"), [*family, "v"], "left").select(*family, key, "nn_distance")
 
 
 def min_pairwise_distance(points: DataFrame, family: list[str], key: str, axes: list[str]) -> DataFrame:

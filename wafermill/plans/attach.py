@@ -36,9 +36,10 @@ def attach(df: DataFrame, small: DataFrame, on: list[str] | Column, how: str = "
     """Join ``small`` to ``df``; broadcast only after its rows have been counted.
 
     With few rows the big side stays where it is, so a hot key costs nothing. A table over
-    the limit is joined by a shuffle, where the adaptive skew join splits hot keys. Null keys
-    in ``on`` (a list of names) match each other.
+    the limit is joined by a shuffle, where the adaptive skew join splits hot keys; the planner,
+    which knows neither count, may not send it to the driver after all. Null keys in ``on`` (a list
+    of names) match each other.
     """
     kept, few = sized_small(small)
-    other = F.broadcast(kept) if few else kept
+    other = F.broadcast(kept) if few else kept.hint("merge")
     return null_safe_join(df, other, on, how) if isinstance(on, list) else df.join(other, on, how)

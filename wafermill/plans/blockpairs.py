@@ -76,7 +76,8 @@ def nearest_in_block(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, n
 
 def _self_joined(points: DataFrame, by: list[str], dims: int) -> DataFrame:
     there = points.select(*by, F.col("id").alias("_id"), F.col("v").alias("q"))
-    met = null_safe_join(points, there, by).where("id <> _id")
+    # As many rows as points, whatever the planner guesses: never a broadcast.
+    met = null_safe_join(points, there.hint("merge"), by).where("id <> _id")
     return met.groupBy(*by, "id").agg(F.min(distance("v", "q", dims)).alias("nearest"))
 
 
