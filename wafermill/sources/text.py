@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from wafermill.functions.columns import is_whole_json, plain_float, strip, tokens
 from wafermill.plans.scan import LINES_PER_CHUNK, carry_forward
 from wafermill.session import cut_lineage
+from wafermill.sources.files import whole_files
 
 # Formats of the text files.
 FENCE = "```"
@@ -172,14 +173,13 @@ def write_predictions(rows: DataFrame, root: str) -> None:
 
 def read_predictions(spark: SparkSession, root: str, pattern: str = "prediction_*.txt") -> DataFrame:
     """``<run>/<size>/prediction_*.txt`` as (run, model_size, file, content)."""
-    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(root, wholetext=True)
-    path = F.col("_metadata.file_path")
+    files = whole_files(spark, root, pattern)
     part = r"([^/]+)/([^/]+)/([^/]+)$"
     return files.select(
-        F.regexp_extract(path, part, 1).alias("run"),
-        F.regexp_extract(path, part, 2).alias("model_size"),
-        F.regexp_extract(path, part, 3).alias("file"),
-        F.col("value").alias("content"),
+        F.regexp_extract("path", part, 1).alias("run"),
+        F.regexp_extract("path", part, 2).alias("model_size"),
+        F.regexp_extract("path", part, 3).alias("file"),
+        "content",
     )
 
 
