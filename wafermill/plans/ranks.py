@@ -31,9 +31,10 @@ def hash_rank(
     )
     inside = Window.partitionBy(*by, "_slice").orderBy(token, *ties)
     # Small groups have about as many offsets as rows, and their number is guessed from a table
-    # before its rows were repeated: never broadcast them.
+    # before its rows were repeated: never broadcast them. Without groups there are few.
+    offsets = offsets.hint("merge") if by else offsets
     return (
-        null_safe_join(cut.withColumn("_rn", F.row_number().over(inside)), offsets.hint("merge"), [*by, "_slice"])
+        null_safe_join(cut.withColumn("_rn", F.row_number().over(inside)), offsets, [*by, "_slice"])
         .withColumn(out, (F.col("_rn") + F.col("_before")).cast("long"))
         .drop("_slice", "_rn", "_before")
     )
